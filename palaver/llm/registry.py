@@ -1,8 +1,9 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from palaver.llm import mixing
+from palaver.llm import mixing, secrets
 
 QUERIES = {
+    "op1_secret_scan": secrets.query,
     "op10_source_mixing": mixing.query,
 }
 
