@@ -1,9 +1,10 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from palaver.llm import mixing, secrets
+from palaver.llm import mixing, secrets, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
+    "op4_toxicity": toxicity.query,
     "op10_source_mixing": mixing.query,
 }
 
