@@ -1,10 +1,11 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from palaver.llm import mixing, secrets, toxicity
+from palaver.llm import bpe, mixing, secrets, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
     "op4_toxicity": toxicity.query,
+    "op9_bpe": bpe.query,
     "op10_source_mixing": mixing.query,
 }
 
