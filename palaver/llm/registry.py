@@ -1,10 +1,11 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from palaver.llm import bpe, jaccard, mixing, secrets, toxicity
+from palaver.llm import bpe, jaccard, mixing, secrets, toxicity, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
     "op4_toxicity": toxicity.query,
+    "op7_url_filter": urls.query,
     "op8_ngram_jaccard": jaccard.query,
     "op9_bpe": bpe.query,
     "op10_source_mixing": mixing.query,
