@@ -1,9 +1,10 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from palaver.llm import bpe, jaccard, mixing, secrets, toxicity, urls
+from palaver.llm import bpe, jaccard, mixing, secrets, toolcalls, toxicity, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
+    "op2_chat_tool_links": toolcalls.query,
     "op4_toxicity": toxicity.query,
     "op7_url_filter": urls.query,
     "op8_ngram_jaccard": jaccard.query,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_chat_tool_links": toolcalls.ORACLE_SQL,
     "op10_source_mixing": mixing.ORACLE_SQL,
 }
