@@ -1,12 +1,13 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from palaver.llm import bpe, fingerprints, jaccard, mixing, secrets, toolcalls, toxicity, urls
+from palaver.llm import bpe, fingerprints, jaccard, lmscore, mixing, secrets, toolcalls, toxicity, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
     "op2_chat_tool_links": toolcalls.query,
     "op3_imatch": fingerprints.query,
     "op4_toxicity": toxicity.query,
+    "op5_stupid_backoff": lmscore.query,
     "op7_url_filter": urls.query,
     "op8_ngram_jaccard": jaccard.query,
     "op9_bpe": bpe.query,
@@ -15,5 +16,6 @@ QUERIES = {
 
 ORACLES = {
     "op2_chat_tool_links": toolcalls.ORACLE_SQL,
+    "op5_stupid_backoff": lmscore.ORACLE_SQL,
     "op10_source_mixing": mixing.ORACLE_SQL,
 }
