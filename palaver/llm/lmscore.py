@@ -203,7 +203,8 @@ def score(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "t
         mean = [s / k if k else None for s, k in zip(sums.tolist(), size.tolist(), strict=True)]
         return pa.table([*(rows.column(c) for c in names), pa.array(size), pa.array(sums), pa.array(mean, pa.float64()), pa.array(hits.tolist(), pa.list_(pa.int64()))], names=[*names, "n_tokens", "log_score", "mean_log_score", "hits"])
 
-    counts = d.select("text").mapInArrow(count, "block bigint, bucket int, grams binary, counts binary").groupBy("bucket").applyInArrow(add, "block bigint, bucket int, total binary")
+    # Both reads are of the same columns, so that Spark deals out the same rows to both.
+    counts = d.mapInArrow(count, "block bigint, bucket int, grams binary, counts binary").groupBy("bucket").applyInArrow(add, "block bigint, bucket int, total binary")
     told = d.mapInArrow(sequences, ", ".join([*kept, "block bigint, place int, n int, words binary, at binary"]))
     done = told.unionByName(counts, allowMissingColumns=True).groupBy("block").applyInArrow(gather, schema)
     return done.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "n_tokens", "log_score", "mean_log_score", "hits")
