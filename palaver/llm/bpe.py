@@ -1,12 +1,14 @@
 """BPE encoding and decoding over a table of distinct words.
 
 A BPE tokenizer works on each word (pre-token) by itself, so every distinct word is encoded once: texts are split into
-words, the distinct words are shuffled by word and encoded there by the tokenizers library, their ids meet their pieces in a
-join with the vocabulary (which decodes them), and both come back to the texts by the words' positions.
+words, equal words meet by a shuffle and are encoded there by the tokenizers library, and the ids go back to
+the positions that wait for them; ids become text by a join with the vocabulary.
 
-Texts come back in blocks: a block is a run of documents within a partition, at most ``BLOCK_CHARS`` characters or one
-document. It sends each of its distinct words once into the join and, beside them, each document's sequence of word
-places, compressed. So a word as frequent as it may be is joined once a block, and no group exceeds a block.
+Texts wait in blocks: a block is a run of documents within a partition, at most ``BLOCK_CHARS`` characters or one
+document more. It sends each of its distinct words once, and keeps each document's sequence of word places, compressed. So
+a word as frequent as it may be is a row a block, and no group exceeds a block. Words and sequences are two reads of
+the texts; a block's name is a hash of its content, and rows that changed between the reads end the run
+with an error instead of wrong ids.
 
 Words are cut as the tokenizer file says (normalizer, then Split): texts of common Latin characters by an equal
 regular expression, all others by the library. Strings of special tokens in a text are their ids, as in the library.
@@ -29,6 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +39,9 @@ from pyspark.sql import functions as F
 
 from palaver.llm.common import table
 
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 32_000_000
+#: Documents whose word places are compressed together.
+CHUNK = 256
 #: Characters that need no library to be cut: they stay as they are under NFC.
 _PLAIN = "\t\n\r" + "".join(chr(c) for r in (range(0x20, 0x7F), range(0xA1, 0x180), range(0x2010, 0x2028)) for c in r if c != 0xAD)
 #: The Split pattern for which the equal expression below is made.
@@ -79,34 +84,76 @@ def word_splitter(path: str) -> Callable[[str | None], list[str]]:
     return whole
 
 
-def _pack(places: list[int], zip_: zstandard.ZstdCompressor) -> bytes:
-    return zip_.compress(np.ascontiguousarray(np.array(places, "<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+def _planes(places: np.ndarray, zip_: zstandard.ZstdCompressor) -> bytes:
+    """Word places, compressed byte plane by byte plane: most are small."""
+    return zip_.compress(np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
-def _unpack(b: bytes, unzip: zstandard.ZstdDecompressor) -> np.ndarray:
+def _places(b: bytes, unzip: zstandard.ZstdDecompressor) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(unzip.decompress(b), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def words_of(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """(word), each distinct word of the texts once."""
+def _blocks(it: Iterator[pa.RecordBatch], path: str, block_chars: int) -> Iterator[tuple[int, list[str], list[np.ndarray], list[pa.RecordBatch]]]:
+    """Blocks of a partition's rows, text first: a name, the distinct words, each row's word places, the rows.
 
-    def split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, seen = word_splitter(path), set()
-        for batch in it:
-            for text in batch.column(0):
-                seen.update(cut(text.as_py()))
-                if len(seen) > 300_000:
-                    yield pa.record_batch({"word": pa.array(list(seen), pa.string())})
-                    seen = set()
-        yield pa.record_batch({"word": pa.array(list(seen), pa.string())})
-
-    return docs.select(text_col).mapInArrow(split, "word string").distinct()
+    Words stand by falling frequency. The name is a hash of the block's number and content, so that a task which runs again gives its
+    blocks the same names, and one that meets other rows doesn't.
+    """
+    cut, places = word_splitter(path), defaultdict()
+    places.default_factory = places.__len__
+    docs: list[np.ndarray] = []
+    rows: list[pa.RecordBatch] = []
+    chars, part, done = 0, TaskContext.get().partitionId(), 0
+
+    def block():
+        words, at = list(places), np.concatenate(docs)
+        n = np.bincount(at, minlength=len(words))
+        order = np.argsort(-n, kind="stable")
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.arange(len(words))
+        moved = np.split(rank[at], np.cumsum([len(d) for d in docs])[:-1])
+        words = [words[i] for i in order.tolist()]
+        h = xxhash.xxh3_64(f"{part}.{done}.{len(docs)}")
+        h.update("\n".join(words).encode("utf-8", "surrogatepass"))
+        h.update(at.tobytes())
+        return h.intdigest() >> 1, words, moved, rows
+
+    for batch in it:
+        texts, start = batch.column(0), 0
+        for i in range(len(texts)):
+            text = texts[i].as_py()
+            words = cut(text)
+            docs.append(np.fromiter(map(places.__getitem__, words), np.uint32, len(words)))
+            chars += len(text or "") + 50
+            if chars >= block_chars:
+                rows.append(batch.slice(start, i + 1 - start))
+                start = i + 1
+                yield block()
+                places.clear()
+                docs, rows, chars, done = [], [], 0, done + 1
+        if start < len(texts):
+            rows.append(batch.slice(start))
+    if docs:
+        yield block()
+
+
+def block_words(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(word, block, place): each distinct word of each block of the texts (the first column)."""
+
+    def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, words, _, _ in _blocks(it, path, block_chars):
+            for i in range(0, len(words), 20_000):
+                part = words[i : i + 20_000]
+                yield pa.record_batch({"word": pa.array(part, pa.string()), "block": pa.array([block] * len(part), pa.int64()), "place": pa.array(range(i, i + len(part)), pa.int32())})
+
+    return docs.mapInArrow(f, "word string, block bigint, place int")
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids binary of little-endian 32-bit numbers), each word encoded once."""
+    """words with ids (binary, little-endian numbers of ``_width(path)``), each row's column word encoded once."""
+    width = _width(path)
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def encode(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -115,111 +162,101 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
         t.no_truncation()
         t.no_padding()
         for s in it:
-            yield pd.Series([e.ids for e in t.encode_batch(list(s), add_special_tokens=False)])
+            yield pd.Series([np.array(e.ids, width).tobytes() for e in t.encode_batch(list(s), add_special_tokens=False)])
 
     return words.withColumn("ids", encode("word"))
 
 
+def _width(path: str) -> str:
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """(id, piece): as many rows as the tokenizer has tokens."""
+    return spark.createDataFrame(vocabulary_rows(path), "id int, piece string")
+
+
+def vocabulary_rows(path: str) -> list[tuple[int, str]]:
     from tokenizers import Tokenizer
 
-    v = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
-    return spark.createDataFrame(pd.DataFrame({"id": list(v.values()), "piece": list(v)}), "id int, piece string")
+    return [(i, p) for p, i in Tokenizer.from_file(path).get_vocab(with_added_tokens=True).items()]
 
 
-def decode(df: DataFrame, path: str, key: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """(key, ids, out): ids through the id-to-piece join, pieces joined by a blank as a tokenizer without a decoder does.
+def decode(df: DataFrame, path: str, keys: Sequence[str], ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """(keys, out) of rows of ids: each id meets its piece in a join, pieces are joined by a blank as a tokenizer without a decoder does.
 
-    ``key`` must be unique. The vocabulary is the only side that is broadcast: its size is that of the tokenizer.
+    ``keys`` must name a row. The vocabulary is the only side that is broadcast: its size is that of the tokenizer.
+    Null and empty arrays give the empty string, ids that the vocabulary lacks nothing.
     """
-    rows = df.select(key, ids, F.posexplode_outer(ids).alias("_pos", "_id"))
+    rows = df.select(*keys, F.posexplode_outer(ids).alias("_pos", "_id"))
     joined = rows.join(F.broadcast(vocabulary(df.sparkSession, path)), F.col("_id") == F.col("id"), "left")
     pieces = F.transform(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("_pos", "piece")))), lambda x: x["piece"])
-    return joined.groupBy(key).agg(F.first(ids).alias(ids), F.array_join(pieces, " ").alias(out))
+    return joined.groupBy(*keys).agg(F.array_join(pieces, " ").alias(out))
 
 
 def encode(docs: DataFrame, path: str, keep: Sequence[str] = ("doc_id",), text_col: str = "text", outputs: Sequence[str] = ("n_tokens", "ids", "decoded"), block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per row of docs: ``keep`` and of n_tokens, ids, decoded, ids_sha256 and decoded_sha256 those in ``outputs``."""
     kinds = dict(docs.dtypes)
-    kept = ", ".join(f"k{i} {kinds[c]}" for i, c in enumerate(keep))
-    lead = f"{kept}, " if kept else ""
-    d = docs.select(F.col(text_col).alias("text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
     names = [f"k{i}" for i in range(len(keep))]
-
-    def split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, zip_ = word_splitter(path), zstandard.ZstdCompressor(level=1)
-        places: dict[str, int] = defaultdict()
-        places.default_factory = places.__len__
-        packed: list[bytes] = []
-        rows: list[pa.RecordBatch] = []
-        chars, part, done = 0, TaskContext.get().partitionId(), 0
-
-        def flush():
-            # Named by partition and number, so that a task run again names its blocks as before.
-            block, n, m = f"{part}.{done}", len(places), len(packed)
-            kept = pa.Table.from_batches(rows) if rows else None
-            # Keys of documents are no words, so they pass the join by and are dealt evenly.
-            keys = pa.array(list(places) + [f"\n{block}.{i}" for i in range(m)], pa.string())
-            cols = {"block": pa.array([block] * (n + m), pa.string()), "word": keys, "place": pa.array(np.r_[np.arange(n), np.arange(m)], pa.int32()), "packed": pa.array([None] * n + packed, pa.binary())}
-            own = {c: pa.concat_arrays([pa.nulls(n, kept.schema.field(c).type), *kept.column(c).chunks]) for c in names}
-            yield from pa.table(own | cols).to_batches(max_chunksize=20_000)
-
-        for batch in it:
-            texts, start = batch.column(0), 0
-            for i in range(len(texts)):
-                words = cut(texts[i].as_py())
-                packed.append(_pack([places[w] for w in words], zip_))
-                chars += len(words) * 6 + 50
-                if chars >= block_chars:
-                    rows.append(batch.slice(start, i + 1 - start))
-                    start = i + 1
-                    yield from flush()
-                    places.clear()
-                    packed, rows, chars, done = [], [], 0, done + 1
-            if start < len(texts):
-                rows.append(batch.slice(start))
-        if packed:
-            yield from flush()
-
-    cut = d.mapInArrow(split, f"{lead}block string, word string, place int, packed binary")
-    coded = decode(encode_words(words_of(docs, path, text_col), path), path, "word")
-    joined = cut.join(coded, "word", "left")
+    kept = [f"{n} {kinds[c]}" for n, c in zip(names, keep, strict=True)]
+    d = docs.select(F.col(text_col).alias("text"), *[F.col(c).alias(n) for n, c in zip(names, keep, strict=True)])
+    width = _width(path)
+
+    # Both reads are of the same columns, so that Spark deals out the same rows to both.
+    # Every distinct word comes together with the places at which blocks wait for it, and is encoded there.
+    waiting = block_words(d, path, block_chars).groupBy("word").agg(F.collect_list(F.struct("block", "place")).alias("at"))
+    coded = encode_words(waiting, path).select("ids", F.explode("at").alias("at")).select("at.block", "at.place", "ids")
+
+    def sequences(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = zstandard.ZstdCompressor(level=3)
+        for block, _, docs, rows in _blocks(it, path, block_chars):
+            # One document in CHUNK carries its chunk's places.
+            packed = [_planes(np.concatenate(docs[i : i + CHUNK]), zip_) if i % CHUNK == 0 else None for i in range(len(docs))]
+            t = pa.Table.from_batches(rows).select(names) if names else None
+            own = {"block": pa.array([block] * len(docs), pa.int64()), "place": pa.array(range(len(docs)), pa.int32()), "n": pa.array([len(x) for x in docs], pa.int32()), "packed": pa.array(packed, pa.binary())}
+            yield from pa.table({**({c: t.column(c) for c in names}), **own}).to_batches(max_chunksize=20_000)
+
+    told = d.mapInArrow(sequences, ", ".join([*kept, "block bigint, place int, n int, packed binary"]))
+    both = told.unionByName(coded, allowMissingColumns=True)
 
     types = {"n_tokens": ("bigint", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
-    schema = ", ".join([*([kept] if kept else []), *(f"{o} {types[o][0]}" for o in outputs)])
+    schema = ", ".join([*kept, *(f"{o} {types[o][0]}" for o in outputs)])
+    pieces = docs.sparkSession.sparkContext.broadcast([p for _, p in sorted(vocabulary_rows(path))])
 
     def gather(t: pa.Table) -> pa.Table:
-        unzip = zstandard.ZstdDecompressor()
-        t = t.combine_chunks()
-        is_doc = t.column("packed").is_valid()
-        docs, words = t.filter(is_doc), t.filter(pc.invert(is_doc))
-        order = np.argsort(words.column("place").to_numpy())
-        ids = words.column("ids").take(pa.array(order)).combine_chunks()
-        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) and ids.num_chunks else ids
-        n = len(words)
-        flat = (ids.flatten().to_numpy(zero_copy_only=False) if n else np.zeros(0)).astype("<u4")
-        size = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) if n else np.zeros(0, np.int64)
-        at = np.cumsum(size) - size
-        text = words.column("decoded").take(pa.array(order)).to_pylist()
+        unzip, piece = zstandard.ZstdDecompressor(), pieces.value
+        is_doc = t.column("n").is_valid()
+        docs, words = t.filter(is_doc).sort_by("place"), t.filter(pc.invert(is_doc)).sort_by("place")
+        ids = words.column("ids").to_pylist()
+        size = np.array([len(x) for x in ids], np.int64) // np.dtype(width).itemsize
+        flat, at = np.frombuffer(b"".join(ids), width), np.cumsum(size) - size
+        # The id-to-piece join, once for each word of the block.
+        said = [piece[i] for i in flat.tolist()] if {"decoded", "decoded_sha256"} & {*outputs} else []
+        text = [" ".join(said[a : a + k]) for a, k in zip(at.tolist(), size.tolist(), strict=True)] if said else []
         gaps = not all(text)
         out: dict[str, list] = {o: [] for o in outputs}
-        for b in docs.column("packed").to_pylist():
-            w = _unpack(b, unzip)
+        chunk, begin = np.zeros(0, np.int64), 0
+        for n, packed in zip(docs.column("n").to_pylist(), docs.column("packed").to_pylist(), strict=True):
+            if packed is not None:
+                chunk, begin = _places(packed, unzip), 0
+            w = chunk[begin : begin + n]
+            begin += n
+            if n and int(w.max()) >= len(size):
+                raise RuntimeError("a block lacks words: the rows of docs changed between two reads; give encode() a table that is written")
             k = size[w]
             ends = np.cumsum(k)
-            total = int(ends[-1]) if len(w) else 0
-            own = flat[np.arange(total) + np.repeat(at[w] - (ends - k), k)] if total else flat[:0]
-            said = ""
-            if "decoded" in out or "decoded_sha256" in out:
-                parts = [text[i] for i in w.tolist()]
-                said = " ".join(filter(None, parts) if gaps else parts)
+            total = int(ends[-1]) if n else 0
+            own = flat[np.arange(total) + np.repeat(at[w] - (ends - k), k)].astype("<u4") if total else np.zeros(0, "<u4")
+            parts = [text[i] for i in w.tolist()] if text else []
+            whole = " ".join(filter(None, parts) if gaps else parts)
             for o, v in out.items():
-                v.append(total if o == "n_tokens" else own.astype(np.int32) if o == "ids" else said if o == "decoded" else hashlib.sha256(own.tobytes() if o == "ids_sha256" else said.encode()).hexdigest())
+                v.append(total if o == "n_tokens" else own.astype(np.int32) if o == "ids" else whole if o == "decoded" else hashlib.sha256(own.tobytes() if o == "ids_sha256" else whole.encode()).hexdigest())
         return pa.table([*(docs.column(c) for c in names), *(pa.array(out[o], types[o][1]) for o in outputs)], names=[*names, *outputs])
 
-    done = joined.select(*names, "block", "place", "packed", "ids", "decoded").groupBy("block").applyInArrow(gather, schema)
-    return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *outputs)
+    done = both.groupBy("block").applyInArrow(gather, schema)
+    return done.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *outputs)
 
 
 def tokenizer_path() -> str:

@@ -37,7 +37,7 @@ def test_words_as_the_library(t):
 
 
 def test_encode_and_decode(spark):
-    d = spark.createDataFrame([(i, t, float(i)) for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], 3.0), (None, "x", None)], "doc_id long, text string, block double")
+    d = spark.createDataFrame([(i, t, float(i)) for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], 3.0), (None, "x", None)], "doc_id long, text string, block double").repartition(3)
     rows = bpe.encode(d, PATH, keep=("doc_id", "block", "text"), outputs=("n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"), block_chars=700).collect()
     assert len(rows) == len(TEXTS) + 2
     for r in rows:
@@ -48,6 +48,12 @@ def test_encode_and_decode(spark):
         assert r.block == (None if r.doc_id is None else float(r.doc_id))
 
 
+def test_decode_is_a_join(spark):
+    d = spark.createDataFrame([(i, want(t)[0]) for i, t in enumerate(TEXTS)] + [(99, None)], "doc_id long, ids array<int>")
+    got = {r.doc_id: r.decoded for r in bpe.decode(d, PATH, ["doc_id"]).collect()}
+    assert got == {i: want(t)[1] for i, t in enumerate(TEXTS)} | {99: ""}
+
+
 def test_query(spark, sf):
     got = {r.doc_id: r for r in bpe.query(spark, sf).collect()}
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
