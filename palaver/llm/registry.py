@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from palaver.llm import bpe, fingerprints, jaccard, lmscore, mixing, secrets, toolcalls, toxicity, urls
+from palaver.llm import bpe, fingerprints, jaccard, lmscore, mixing, nndescent, secrets, toolcalls, toxicity, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_imatch": fingerprints.query,
     "op4_toxicity": toxicity.query,
     "op5_stupid_backoff": lmscore.query,
+    "op6_nn_descent": nndescent.query,
     "op7_url_filter": urls.query,
     "op8_ngram_jaccard": jaccard.query,
     "op9_bpe": bpe.query,
@@ -17,5 +18,6 @@ QUERIES = {
 ORACLES = {
     "op2_chat_tool_links": toolcalls.ORACLE_SQL,
     "op5_stupid_backoff": lmscore.ORACLE_SQL,
+    "op6_nn_descent": nndescent.ORACLE_SQL,
     "op10_source_mixing": mixing.ORACLE_SQL,
 }
