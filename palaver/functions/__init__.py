@@ -1,0 +1 @@
+"""Column expressions: text, episode names, times, vectors."""

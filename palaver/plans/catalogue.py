@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from palaver.plans import talk, words
+
+QUERIES: dict = {**talk.QUERIES, **words.QUERIES}
+ORACLES: dict[str, str] = {**talk.ORACLES, **words.ORACLES}
