@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palaver.plans import talk, words
+from palaver.plans import misc, talk, words
 
-QUERIES: dict = {**talk.QUERIES, **words.QUERIES}
-ORACLES: dict[str, str] = {**talk.ORACLES, **words.ORACLES}
+QUERIES: dict = {**talk.QUERIES, **words.QUERIES, **misc.QUERIES}
+ORACLES: dict[str, str] = {**talk.ORACLES, **words.ORACLES, **misc.ORACLES}
