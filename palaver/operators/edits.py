@@ -1,0 +1,63 @@
+"""Replaying hand-made edits over lines, oldest first.
+
+Lines are (ep, id, t, spk, src, label, text), automatic names (ep, label, spk, src), edits (ep, id, kind, t, orig, label, value, ts) with the kinds
+rename (a label's name; empty gives the automatic one back), line_speaker (one line's name), text, delete, restore (a line that
+was deleted), split (value: the second part's text) and join (with the next line). An edit older than the transcript it was made for is late
+and dropped. Lines are found by text, within ``REACH`` seconds, the nearest first. An edit whose line isn't as it was does nothing, so
+replaying a log twice changes nothing.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+REACH = 30
+
+
+def apply_edits(lines: DataFrame, edits: DataFrame, automatic: DataFrame, made: DataFrame, reach: int = REACH) -> DataFrame:
+    """lines after the edits whose ts is not before made's (ep, made) of their episode."""
+    kind = dict(lines.dtypes)["ep"]
+    log = edits.join(made, "ep").where("ts >= made").drop("made")
+    log = log.select("ep", F.col("id").alias("e_id"), "kind", F.col("t").alias("e_t"), "orig", F.col("label").alias("e_label"), "value", "ts")
+    auto = automatic.groupBy("ep").agg(F.map_from_entries(F.collect_list(F.struct("label", F.struct("spk", "src")))).alias("auto"))
+    log = log.join(auto, "ep", "left")
+
+    def f(rows: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
+        cols = ["ep", "id", "t", "spk", "src", "label", "text"]
+        out = rows[cols].sort_values(["t", "id"]).to_dict("records")
+
+        def at(text, t, lo=-reach, hi=reach):
+            near = [r for r in out if r["text"] == text and lo <= r["t"] - t <= hi]
+            return min(near, key=lambda r: (abs(r["t"] - t), r["id"]), default=None)
+
+        for e in todo.sort_values(["ts", "e_id"]).itertuples():
+            new = max((r["id"] for r in out), default=0) + 1
+            line = at(e.orig, e.e_t)
+            if e.kind == "rename":
+                known = dict(e.auto) if e.auto is not None else {}
+                name = known.get(e.e_label)
+                spk, src = (e.value, "edit") if e.value else (name["spk"], name["src"]) if name else ("", "")
+                for r in out:
+                    if r["label"] == e.e_label and r["src"] != "edit-line":
+                        r["spk"], r["src"] = spk, src
+            elif e.kind == "restore" and line is None and e.orig:
+                out.append({"ep": rows["ep"].iloc[0] if len(rows) else e.ep, "id": new, "t": e.e_t, "spk": e.value or "", "src": "edit-line", "label": e.e_label or "", "text": e.orig})
+            elif line is None:
+                continue
+            elif e.kind == "line_speaker":
+                line["spk"], line["src"] = e.value, "edit-line"
+            elif e.kind == "text":
+                line["text"] = e.value
+            elif e.kind == "delete":
+                out.remove(line)
+            elif e.kind == "split" and e.value and line["text"].endswith(e.value) and len(line["text"]) > len(e.value):
+                line["text"] = line["text"][: -len(e.value)].rstrip()
+                out.append(line | {"id": new, "text": e.value})
+            elif e.kind == "join" and (after := at(e.value, line["t"], 0)) is not None and after is not line:
+                line["text"] = f"{line['text']} {after['text']}"
+                out.remove(after)
+        return pd.DataFrame(out, columns=cols)
+
+    return lines.groupBy("ep").cogroup(log.groupBy("ep")).applyInPandas(f, f"ep {kind}, id bigint, t bigint, spk string, src string, label string, text string")

@@ -1,0 +1 @@
+"""Reading transcripts: caption files to cues, cues to lines."""
