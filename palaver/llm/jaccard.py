@@ -7,7 +7,7 @@ of them before its sets are compared. The counts that order the tokens are found
 ``HEAVY`` commonest are broadcast, and whatever they miss, every order is the same for all documents, so no pair is lost.
 
 Equal sets are one node (named by the hash of the set), so exact copies meet once. Within a token's list of nodes, pairs
-are first tried against the list's least node; those found similar join into components, and only nodes of different
+are first tried against the node in which the list's token stands first (the one with fewest tokens of its own); those found similar join into components, and only nodes of different
 components in one list are then paired with each other. So a group of near copies costs about as many comparisons as it
 has members, and a link between different components is never skipped.
 
@@ -132,18 +132,22 @@ def heavy_tokens(docs: DataFrame, text_col: str = "text", k: int = WORDS, most:
 
 
 def prefix(s: np.ndarray, heavy: np.ndarray, power: np.ndarray, seed: int, percent: int = PERCENT) -> np.ndarray:
-    """The tokens of a set that come first under an order, as many as similarity calls for."""
+    """The tokens of a set that come first under an order, in that order, as many as similarity calls for."""
     n = len(s) - (percent * len(s) + 99) // 100 + 1
     key = _mix(s, seed)
     if not len(heavy):
-        return s[np.argpartition(key, n - 1)[:n]]
+        return s[np.argsort(key)[:n]]
     at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
     rank = np.where(heavy[at] == s, power[at] + 1, 0)
     return s[np.lexsort((key, rank))[:n]]
 
 
 def postings(docs: DataFrame, text_col: str = "text", k: int = WORDS, percent: int = PERCENT, orders: Sequence[int] = ORDERS) -> DataFrame:
-    """(ord, token, node, n): the nodes under every prefix token that at least two nodes share."""
+    """(ord, token, node, n, pos): the nodes under every prefix token that at least two nodes share.
+
+    Two sets whose first common token stands at pos in both share at most n - pos tokens, the less of the two. Rows that leave too
+    few for any partner in their list go at once.
+    """
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_tokens(docs, text_col, k))
 
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,12 +165,13 @@ def postings(docs: DataFrame, text_col: str = "text", k: int = WORDS, percent: i
             if parts:
                 size = [len(p[1]) for p in parts]
                 rep = lambda i, kind: np.repeat(np.array([p[i] for p in parts], kind), size)
-                yield from pa.table({"ord": rep(0, np.int8), "token": _signed(np.concatenate([p[1] for p in parts])), "node": rep(2, np.int64), "n": rep(3, np.int32)}).to_batches(max_chunksize=50_000)
+                yield from pa.table({"ord": rep(0, np.int8), "token": _signed(np.concatenate([p[1] for p in parts])), "node": rep(2, np.int64), "n": rep(3, np.int32), "pos": np.concatenate([np.arange(k, dtype=np.int32) for k in size])}).to_batches(max_chunksize=50_000)
 
-    rows = docs.select(text_col).mapInArrow(f, "ord tinyint, token bigint, node bigint, n int")
+    rows = docs.select(text_col).mapInArrow(f, "ord tinyint, token bigint, node bigint, n int, pos int")
     line = Window.partitionBy("ord", "token")
-    shared = rows.withColumns({"lo": F.min("node").over(line), "hi": F.max("node").over(line)}).where("lo != hi")
-    return checkpoint(shared.select("ord", "token", "node", "n").distinct())
+    shared = rows.withColumns({"lo": F.min("node").over(line), "hi": F.max("node").over(line), "least": F.min("n").over(line)}).where("lo != hi")
+    enough = (F.col("n") - F.col("pos")) * (100 + percent) >= (F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))) * percent
+    return checkpoint(shared.where(enough).select("ord", "token", "node", "n", "pos").distinct())
 
 
 def _in_all_orders(pairs: DataFrame, n_orders: int) -> DataFrame:
@@ -174,8 +179,11 @@ def _in_all_orders(pairs: DataFrame, n_orders: int) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1, cast(ord AS int))")).alias("by")).where(F.col("by") == (1 << n_orders) - 1).select("a", "b")
 
 
-def _sizes_fit(x: str, y: str, percent: int):
-    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+def _may_link(x: str, y: str, percent: int):
+    """Whether sizes, and what is left after the common token, allow two rows of a list to be similar."""
+    n, m = F.col(f"{x}n"), F.col(f"{y}n")
+    left = F.least(n - F.col(f"{x}pos"), m - F.col(f"{y}pos"))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (left * (100 + percent) >= (n + m) * percent)
 
 
 def verify(docs: DataFrame, members: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -233,17 +241,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     how = dict(id_col=id_col, text_col=text_col, k=k, percent=percent)
     line = Window.partitionBy("ord", "token")
 
-    # Each list against its least node.
-    head = F.min(F.struct("node", "n")).over(line)
-    stars = lists.withColumn("head", head).where((F.col("node") != F.col("head.node")) & _sizes_fit("n", "head.n", percent)).select("ord", F.col("head.node").alias("a"), F.col("node").alias("b"))
+    # Each list against the node in which its token stands first: one with few tokens of its own.
+    head = F.min(F.struct("pos", "node", "n")).over(line)
+    stars = lists.withColumn("head", head).where((F.col("node") != F.col("head.node")) & _may_link("", "head.", percent)).select("ord", F.col("head.node").alias("a"), F.col("node").alias("b"))
     tried = checkpoint(verify(docs, members, _in_all_orders(stars, len(orders)), **how))
     found = components(tried.where("alike"), "a", "b")
 
     # What is left: nodes of one list in different components.
-    placed = lists.join(found, "node", "left").withColumn("comp", F.coalesce("component_id", "node")).select("ord", "token", "node", "n", "comp")
+    placed = lists.join(found, "node", "left").withColumn("comp", F.coalesce("component_id", "node")).select("ord", "token", "node", "n", "pos", "comp")
     mixed = checkpoint(placed.withColumns({"lo": F.min("comp").over(line), "hi": F.max("comp").over(line)}).where("lo != hi").drop("lo", "hi"))
     x, y = mixed.alias("x"), mixed.alias("y")
-    on = (F.col("x.ord") == F.col("y.ord")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _sizes_fit("x.n", "y.n", percent)
+    on = (F.col("x.ord") == F.col("y.ord")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _may_link("x.", "y.", percent)
     crossed = x.join(y, on).select("x.ord", F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     rest = _in_all_orders(crossed, len(orders)).join(tried.select("a", "b"), ["a", "b"], "left_anti")
     more = checkpoint(verify(docs, members, rest, **how).where("alike"))
