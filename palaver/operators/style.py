@@ -32,7 +32,7 @@ def log_odds(y_a: Column, n_a: Column, y_b: Column, n_b: Column, prior: Column,
 def signatures(counts: DataFrame, by: str = "person", value: str = "n", least: int = 30, episodes: int = 10, lift: float = 1.5, length: int = 3, k: int = 20) -> DataFrame:
     """(by, word, z, n, lift, rank): the words that set a group apart from the rest, ``k`` each."""
     f = counts.groupBy(by, "word").agg(F.sum(value).alias("y"), F.count(F.lit(1)).alias("eps"))
-    word = counts.groupBy("word").agg(F.sum(value).alias("w"))
+    word = f.groupBy("word").agg(F.sum("y").alias("w"))
     group = f.groupBy(by).agg(F.sum("y").alias("n_a"))
     total = group.agg(F.sum("n_a").alias("n_all"))
     j = f.where((F.col("y") >= least) & (F.col("eps") >= episodes) & (F.length("word") >= length)).join(word, "word").join(F.broadcast(group.join(F.broadcast(total))), by)  # a row a group
