@@ -84,3 +84,12 @@ def contains_all(hay: Column, query: str) -> Column:
 def highlight(text: Column, words: Iterable[str], before: str = "<mark>", after: str = "</mark>") -> Column:
     """text with every match between marks."""
     return F.regexp_replace(text, f"({word_pattern(words)})", f"{before}$1{after}")
+
+
+def corrected(text: Column, rules: Iterable[tuple[str, str]]) -> tuple[Column, Column]:
+    """text after an ordered list of (pattern, replacement), and how many places were changed; a rule sees what those before it left."""
+    out, n = text, F.lit(0)
+    for pattern, new in rules:
+        n = n + F.regexp_count(out, F.lit(pattern))
+        out = F.regexp_replace(out, pattern, new)
+    return out, n

@@ -162,3 +162,44 @@ def align(mentions: DataFrame, reads: DataFrame, within: int = 20) -> DataFrame:
         return pd.DataFrame(out, columns=["ep", "phrase", "m_id", "r_id"])
 
     return mentions.groupBy("ep", "phrase").cogroup(reads.groupBy("ep", "phrase")).applyInPandas(f, f"ep {kind}, phrase string, m_id bigint, r_id bigint")
+
+
+def speaker_runs(words: DataFrame, shortest: float = 0.5, reach: int = 3) -> DataFrame:
+    """(path, seg, run, start, end, spk, text): a segment's words cut where the speaker changes.
+
+    words are (path, seg, pos, word, start, end, spk). A single word between two of one other speaker takes theirs; a run of under two words
+    and ``shortest`` seconds joins its longer neighbour until none is left; a cut moves to the nearest sentence end within ``reach``
+    words, and isn't made where there is none; a piece has the speaker of most of its words, and equal neighbours are one.
+    """
+
+    def step(pdf):
+        out = []
+        for (path, seg), g in pdf.groupby(["path", "seg"], sort=False):
+            word, who = g["word"].tolist(), g["spk"].tolist()
+            a, b = g["start"].tolist(), g["end"].tolist()
+            n = len(word)
+            smooth = [who[i - 1] if 0 < i < n - 1 and who[i - 1] == who[i + 1] != who[i] else who[i] for i in range(n)]
+            runs = [i for i in range(n) if i == 0 or smooth[i] != smooth[i - 1]] + [n]
+            while len(runs) > 2:
+                thin = next((k for k in range(len(runs) - 1) if runs[k + 1] - runs[k] < 2 and b[runs[k + 1] - 1] - a[runs[k]] < shortest), None)
+                if thin is None:
+                    break
+                size = lambda k: runs[k + 1] - runs[k] if 0 <= k < len(runs) - 1 else -1
+                runs.pop(thin if size(thin - 1) >= size(thin + 1) else thin + 1)
+            cuts = []
+            for c in runs[1:-1]:
+                ends = [i for i in range(max(1, c - reach), min(n - 1, c + reach) + 1) if _END.search(word[i - 1] or "")]
+                if ends:
+                    cuts.append(min(ends, key=lambda i: (abs(i - c), i)))
+            edges = sorted({0, n, *cuts})
+            pieces: list[list] = []
+            for i, j in zip(edges, edges[1:], strict=False):
+                most = max(sorted(set(smooth[i:j])), key=smooth[i:j].count)
+                if pieces and pieces[-1][2] == most:
+                    pieces[-1][1] = j
+                else:
+                    pieces.append([i, j, most])
+            out += [(path, seg, k, a[i], b[j - 1], s, " ".join(word[i:j])) for k, (i, j, s) in enumerate(pieces)]
+        return out
+
+    return _fold(words, "path", ["seg", "pos"], "path string, seg bigint, run bigint, start double, end double, spk string, text string", step)

@@ -9,7 +9,7 @@ from palaver.functions.stem import has_phrase, stems
 from palaver.functions.text import seconds
 from palaver.operators import edits, folds
 from palaver.plans.bindings import table
-from palaver.plans.words import messages
+from palaver.plans.words import _M, messages
 from palaver.sources import captions
 
 
@@ -67,3 +67,31 @@ ORACLES = {
     "cue_lines": f"WITH {_C} SELECT path AS ep, k AS id, CAST(round_even(start, 0) AS BIGINT) AS t, label AS spk FROM m",
     "time_seconds": "SELECT event_id, (user_id % 3) * 3600 + (event_id % 60) * 60 + 7.25::DOUBLE AS sec FROM events",
 }
+RULES = (("The la ", "la "), ("der ", "die "), ("die die ", "die "))
+
+
+def _corrected(s, d):
+    from palaver.functions.text import corrected
+
+    m = messages(s, d)
+    new, n = corrected(F.col("text"), RULES)
+    return m.select("ep", "id", F.md5(new).alias("text"), n.cast("long").alias("n"))
+
+
+def _spoken(s, d):
+    """Each message's words as aligned words, a third of a second each; every seventh word has another speaker."""
+    m = messages(s, d).select(F.col("ep").cast("string").alias("path"), F.col("id").alias("seg"), "t", "spk", F.posexplode(F.split("text", r"\s+")).alias("pos", "word"))
+    start = F.col("t") + F.col("pos") / 3
+    return m.select("path", "seg", "pos", "word", start.alias("start"), (start + 0.3).alias("end"), F.when(F.col("pos") % 7 < 2, "other").otherwise(F.col("spk")).alias("spk"))
+
+
+def _facts(s, d):
+    from palaver.operators.facts import extract
+
+    return extract(messages(s, d), r"(?i)\bthe\b", r"(?i)\b(?:of|la)\b", {"Ann": ["and"], "Bob": ["de"]}, 21, 14, 25, 10)
+
+
+QUERIES |= {"name_fixes": _corrected, "speaker_runs": lambda s, d: folds.speaker_runs(_spoken(s, d)), "fact_extract": _facts}
+ORACLES["name_fixes"] = f"""WITH {_M}, a AS (SELECT ep, id, replace(text, 'The la ', 'la ') AS x, len(regexp_extract_all(text, 'The la ')) AS n1 FROM m),
+b AS (SELECT *, replace(x, 'der ', 'die ') AS y, len(regexp_extract_all(x, 'der ')) AS n2 FROM a)
+SELECT ep, id, md5(replace(y, 'die die ', 'die ')) AS text, CAST(n1 + n2 + len(regexp_extract_all(y, 'die die ')) AS BIGINT) AS n FROM b"""

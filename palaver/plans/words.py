@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions import text as fx
 from palaver.operators import style, words
-from palaver.plans.bindings import table
+from palaver.plans.bindings import spread, table
 
 WORDS = ("the", "la", "der", "of the", "que")
 LEVELS = {"strict": ("the",), "wide": ("of", "de"), "loose": ("and", "la", "und")}
@@ -21,7 +21,7 @@ def messages(s: SparkSession, d: str) -> DataFrame:
 
 
 def texts(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select(F.col("doc_id").alias("ep"), F.col("source").alias("person"), (2018 + F.col("doc_id") % 5).cast("string").alias("year"), "text")
+    return spread(table(s, d, "documents").select(F.col("doc_id").alias("ep"), F.col("source").alias("person"), (2018 + F.col("doc_id") % 5).cast("string").alias("year"), "text"))
 
 
 def _trend(s, d):

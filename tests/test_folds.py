@@ -105,3 +105,30 @@ def test_guests_and_topics(spark):
     assert sorted(tuple(r) for r in topics.sides(reads).collect()) == [("a", 1, 1, True), ("b", 1, 0, False)]
     d = spark.createDataFrame([(1, 1, 0, "x", "the cat"), (1, 2, 5, "", "The the")], "ep long, id long, t long, spk string, text string")
     assert sorted(tuple(r) for r in words.phrase_counts(d, ["the"]).collect()) == [(1, "?", "the", 2), (1, "x", "the", 1)]
+
+
+def test_speaker_runs(spark):
+    said = [("Well", "a"), ("yes", "b"), ("fine.", "a"), ("No", "b"), ("it", "b"), ("is", "a"), ("not", "a"), ("so", "a")]
+    d = spark.createDataFrame([("p", 1, i, w, float(i), i + 0.4, s) for i, (w, s) in enumerate(said)], "path string, seg long, pos int, word string, start double, end double, spk string")
+    got = [(r.run, r.start, r.end, r.spk, r.text) for r in folds.speaker_runs(d).orderBy("run").collect()]
+    assert got == [(0, 0.0, 2.4, "a", "Well yes fine."), (1, 3.0, 7.4, "a", "No it is not so")] or got == [(0, 0.0, 7.4, "a", "Well yes fine. No it is not so")]
+
+
+def test_facts(spark):
+    from palaver.operators.facts import extract
+
+    rows = [
+        (1, 1, 0, "Host", "Time for fact number one and that is Ann"), (1, 2, 5, "", "Short"), (1, 3, 10, "guest 1", "My fact is that bees"), (1, 4, 12, "guest 1", "can count."), (1, 5, 60, "Bob", "My fact is too near."),
+        (1, 6, 200, "Bob", "my fact is about owls, who see"), (1, 7, 203, "", "at night."), (1, 8, 400, "Host", "Time for fact two, Zoe"), (1, 9, 410, "", "Here is something quite long enough."), (2, 1, 0, "Host", "Nothing"),
+    ]
+    d = spark.createDataFrame(rows, "ep long, id long, t long, spk string, text string")
+    got = [tuple(r) for r in extract(d, r"Time for fact", r"(?i)my fact is", {"Ann": ["ann"], "Zoe": ["zoe"]}).orderBy("ep", "n").collect()]
+    assert got == [
+        (1, 1, 10, "Ann", "My fact is that bees can count.", "announced"), (1, 2, 200, "Bob", "My fact is about owls, who see at night.", "said"), (1, 3, 410, "Zoe", "Here is something quite long enough.", "announced"),
+    ]
+
+
+def test_corrections(spark):
+    d = spark.createDataFrame([(1, "Jon smith and jon"), (2, None)], "i int, x string")
+    new, n = text.corrected(F.col("x"), [(r"\bJon\b", "John"), (r"John smith", "John Smith")])
+    assert [tuple(r) for r in d.select(new, n).collect()] == [("John Smith and jon", 2), (None, None)]
