@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palaver.llm.common import checkpoint, components, table
+from palaver.llm.common import checkpoint, components, discard, table, written
 
 WORDS = 5
 PERCENT = 80
@@ -143,10 +143,10 @@ def prefix(s: np.ndarray, heavy: np.ndarray, power: np.ndarray, seed: int, perce
 
 
 def postings(docs: DataFrame, text_col: str = "text", k: int = WORDS, percent: int = PERCENT, orders: Sequence[int] = ORDERS) -> DataFrame:
-    """(ord, token, node, n, pos): the nodes under every prefix token that at least two nodes share.
+    """(ord, token, node, n, pos, head): the nodes under every prefix token that at least two nodes share; head is the one in which it stands first.
 
     Two sets whose first common token stands at pos in both share at most n - pos tokens, the less of the two. Rows that leave too
-    few for any partner in their list go at once.
+    few for any partner in their list go at once. A node comes at most once from each task.
     """
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_tokens(docs, text_col, k))
 
@@ -169,9 +169,10 @@ def postings(docs: DataFrame, text_col: str = "text", k: int = WORDS, percent: i
 
     rows = docs.select(text_col).mapInArrow(f, "ord tinyint, token bigint, node bigint, n int, pos int")
     line = Window.partitionBy("ord", "token")
-    shared = rows.withColumns({"lo": F.min("node").over(line), "hi": F.max("node").over(line), "least": F.min("n").over(line)}).where("lo != hi")
+    head = F.min(F.struct("pos", "node", "n")).over(line)
+    shared = rows.withColumns({"lo": F.min("node").over(line), "hi": F.max("node").over(line), "least": F.min("n").over(line), "head": head}).where("lo != hi")
     enough = (F.col("n") - F.col("pos")) * (100 + percent) >= (F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))) * percent
-    return checkpoint(shared.where(enough).select("ord", "token", "node", "n", "pos").distinct())
+    return written(shared.where(enough).select("ord", "token", "node", "n", "pos", "head"), "postings")
 
 
 def _in_all_orders(pairs: DataFrame, n_orders: int) -> DataFrame:
@@ -242,8 +243,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     line = Window.partitionBy("ord", "token")
 
     # Each list against the node in which its token stands first: one with few tokens of its own.
-    head = F.min(F.struct("pos", "node", "n")).over(line)
-    stars = lists.withColumn("head", head).where((F.col("node") != F.col("head.node")) & _may_link("", "head.", percent)).select("ord", F.col("head.node").alias("a"), F.col("node").alias("b"))
+    stars = lists.where((F.col("node") != F.col("head.node")) & _may_link("", "head.", percent)).select("ord", F.col("head.node").alias("a"), F.col("node").alias("b"))
     tried = checkpoint(verify(docs, members, _in_all_orders(stars, len(orders)), **how))
     found = components(tried.where("alike"), "a", "b")
 
@@ -261,6 +261,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     known = members.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     same = known.withColumn("a", F.min("node").over(Window.partitionBy("doc_id"))).where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b"))
     comp = components(links.unionByName(same), "a", "b")
+    discard(lists)  # what follows reads checkpoints alone
     m = members.join(comp, "node", "left").withColumn("comp", F.coalesce("component_id", "node"))
     least = m.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("doc_id").alias("least"))
     mine = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))

@@ -66,13 +66,13 @@ def _sorted_unpack(b: bytes) -> np.ndarray:
     return np.cumsum(_unpack(b), dtype=np.uint64)
 
 
-def grams(words: np.ndarray, place: np.ndarray, order: int) -> list[np.ndarray]:
+def grams(words: np.ndarray, place: np.ndarray, order: int) -> Iterator[np.ndarray]:
     """For each order, the hash of the n-gram that ends at each word, where the document has begun early enough."""
-    h, out = _mix(words ^ np.uint64(1)), [_mix(words ^ np.uint64(1))]
+    h = _mix(words ^ np.uint64(1))
+    yield h
     for n in range(2, order + 1):
         h = _mix(h[:-1] * np.uint64(0x9DDFEA08EB382D69) + words[n - 1 :] + np.uint64(n))
-        out.append(h[place[n - 1 :] >= n - 1])
-    return out
+        yield h[place[n - 1 :] >= n - 1]
 
 
 def _blocks(it: Iterator[pa.RecordBatch], block_chars: int) -> Iterator[tuple[int, list[np.ndarray], list[pa.RecordBatch]]]:
@@ -130,26 +130,34 @@ def score(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "t
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, held, _ in _blocks(it, block_chars):
             words, place, _ = _flat(held)
-            out = [(block, -1, None, _pack(np.array([len(words)])))]  # all words, for order 1
-            h, n = np.unique(np.concatenate(grams(words, place, order)), return_counts=True)
-            bucket = (h >> np.uint64(40)) % np.uint64(buckets)
-            by = np.argsort(bucket, kind="stable")
-            ends = np.cumsum(np.bincount(bucket.astype(np.int64), minlength=buckets))
-            for k, part in enumerate(np.split(by, ends[:-1])):
-                if len(part):
-                    out.append((block, k, _sorted_pack(h[part]), _pack(n[part])))
-            a, b, c, e = zip(*out, strict=True)
-            yield pa.record_batch({"block": pa.array(a, pa.int64()), "bucket": pa.array(b, pa.int32()), "grams": pa.array(c, pa.binary()), "counts": pa.array(e, pa.binary())})
+            sent = [([], []) for _ in range(buckets)]
+            for g in grams(words, place, order):  # one order at a time, for memory
+                h, n = np.unique(g, return_counts=True)
+                by, ends = dealt(h)
+                for (hashes, counts), part in zip(sent, np.split(by, ends[:-1]), strict=True):
+                    hashes.append(_sorted_pack(h[part]))
+                    counts.append(_pack(n[part]))
+            binary = pa.list_(pa.binary())
+            yield pa.record_batch({"block": pa.array([block] * (buckets + 1), pa.int64()), "bucket": pa.array(range(-1, buckets), pa.int32()), "grams": pa.array([[], *(x for x, _ in sent)], binary), "counts": pa.array([[_pack(np.array([len(words)]))], *(x for _, x in sent)], binary)})
+
+    def dealt(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order of hashes by bucket, and where each bucket ends."""
+        bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
+        return np.argsort(bucket, kind="stable"), np.cumsum(np.bincount(bucket, minlength=buckets))
 
     def add(t: pa.Table) -> pa.Table:
-        counts = [_unpack(b).astype(np.int64) for b in t.column("counts").to_pylist()]
-        if t.column("bucket")[0].as_py() < 0:
-            total = [_pack(np.array([sum(int(c[0]) for c in counts)]))] * len(counts)
+        if t.column("bucket")[0].as_py() < 0:  # all words, for order 1
+            total = _pack(np.array([sum(int(_unpack(c[0])[0]) for c in t.column("counts").to_pylist())]))
+            totals = [[total]] * len(t)
         else:
-            _, at = np.unique(np.concatenate([_sorted_unpack(b) for b in t.column("grams").to_pylist()]), return_inverse=True)
-            sums = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)[at]
-            total = [_pack(s) for s in np.split(sums, np.cumsum([len(c) for c in counts])[:-1])]
-        return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "total": pa.array(total, pa.binary())})
+            hashes, counts, totals = t.column("grams").to_pylist(), t.column("counts").to_pylist(), [[] for _ in range(len(t))]
+            for k in range(order):
+                n = [_unpack(c[k]).astype(np.int64) for c in counts]
+                _, at = np.unique(np.concatenate([_sorted_unpack(h[k]) for h in hashes]), return_inverse=True)
+                sums = np.bincount(at, weights=np.concatenate(n)).astype(np.int64)[at]
+                for row, part in zip(totals, np.split(sums, np.cumsum([len(x) for x in n])[:-1]), strict=True):
+                    row.append(_pack(part))
+        return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "total": pa.array(totals, pa.list_(pa.binary()))})
 
     def sequences(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, held, rows in _blocks(it, block_chars):
@@ -174,18 +182,13 @@ def score(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "t
         held = np.split(words, np.cumsum(size)[:-1])
         words, place, doc = _flat(held)
         totals = back.column("total").to_pylist()
-        n_all = int(_unpack(totals[0])[0])
-        levels = grams(words, place, order)
-        h, at = np.unique(np.concatenate(levels), return_inverse=True)
-        bucket = (h >> np.uint64(40)) % np.uint64(buckets)
-        count = np.zeros(len(h), np.int64)
-        if len(h):
-            count[np.argsort(bucket, kind="stable")] = np.concatenate([_unpack(b) for b in totals[1:]]).astype(np.int64)
+        n_all = int(_unpack(totals[0][0])[0])
         # Counts without the document's own, at each word and order; 0 where the document has begun too late.
-        others, end = np.zeros((order, len(words)), np.int64), 0
-        for n, g in enumerate(levels):
-            mine = at[end : end + len(g)]
-            end += len(g)
+        others = np.zeros((order, len(words)), np.int64)
+        for n, g in enumerate(grams(words, place, order)):
+            h, mine = np.unique(g, return_inverse=True)
+            count = np.empty(len(h), np.int64)
+            count[dealt(h)[0]] = np.concatenate([_unpack(b[n]) for b in totals[1:]]).astype(np.int64)
             where = np.flatnonzero(place >= n)
             _, own, times = np.unique(doc[where] * np.int64(len(h) + 1) + mine, return_inverse=True, return_counts=True)
             others[n, where] = count[mine] - times[own]
@@ -204,7 +207,7 @@ def score(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "t
         return pa.table([*(rows.column(c) for c in names), pa.array(size), pa.array(sums), pa.array(mean, pa.float64()), pa.array(hits.tolist(), pa.list_(pa.int64()))], names=[*names, "n_tokens", "log_score", "mean_log_score", "hits"])
 
     # Both reads are of the same columns, so that Spark deals out the same rows to both.
-    counts = d.mapInArrow(count, "block bigint, bucket int, grams binary, counts binary").groupBy("bucket").applyInArrow(add, "block bigint, bucket int, total binary")
+    counts = d.mapInArrow(count, "block bigint, bucket int, grams array<binary>, counts array<binary>").groupBy("bucket").applyInArrow(add, "block bigint, bucket int, total array<binary>")
     told = d.mapInArrow(sequences, ", ".join([*kept, "block bigint, place int, n int, words binary, at binary"]))
     done = told.unionByName(counts, allowMissingColumns=True).groupBy("block").applyInArrow(gather, schema)
     return done.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "n_tokens", "log_score", "mean_log_score", "hits")
