@@ -69,14 +69,15 @@ def fit(places: list[np.ndarray], positive: np.ndarray, prior: float, steps: int
     weights = np.zeros(DIM, np.float32)
     if not n_p or not n_u:
         return weights, bias
-    sizes = np.array([len(x) for x in places])
-    flat, doc = np.concatenate(places) if len(places) else np.zeros(0, np.int32), np.repeat(np.arange(len(places)), sizes)
-    df_p = np.bincount(flat[positive[doc]], minlength=DIM)
-    df_u = np.bincount(flat[~positive[doc]], minlength=DIM)
+    # Document by document, so that only what is kept stands in one array (a document's places are distinct).
+    df_p, df_u = np.zeros(DIM, np.int32), np.zeros(DIM, np.int32)
+    for x, y in zip(places, positive, strict=True):
+        (df_p if y else df_u)[x] += 1
     use = (df_p >= min(least_df, max(1, n_p // 4))) & (df_p / n_p >= lift * (df_u + 0.5) / n_u)
-    number = np.cumsum(use) - 1
-    keep = use[flat]
-    flat, doc, d = number[flat[keep]], doc[keep], int(use.sum())
+    number, d = np.cumsum(use) - 1, int(use.sum())
+    kept = [number[x[use[x]]] for x in places]
+    flat, doc = np.concatenate(kept), np.repeat(np.arange(len(kept)), [len(x) for x in kept])
+    del kept
     theta, m, v = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
     theta[d] = bias
     for t in range(1, steps + 1):
@@ -114,9 +115,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     # At most POSITIVES ids (give or take the draw), so their side may be broadcast whatever the size of the labels.
     j = docs.select(F.col(id_col).alias("_doc"), text.alias("_text")).where(~held_out(F.col("_doc"))).join(F.broadcast(positive), F.col("_doc") == F.col("_id"), "left")
-    rows = j.where(F.col("_positive") | (draw(F.col("_doc"), "u") < UNLABELLED / max(total, 1))).select(F.coalesce("_positive", F.lit(False)).alias("p"), (draw(F.col("_doc"), "u") < UNLABELLED / max(total, 1)).alias("u"), places("_text").alias("f")).toPandas()
-    x = [np.frombuffer(b, np.int32) for b in rows["f"]]
-    p, u = rows["p"].to_numpy(bool), rows["u"].to_numpy(bool)
+    rows = j.where(F.col("_positive") | (draw(F.col("_doc"), "u") < UNLABELLED / max(total, 1))).select(F.coalesce("_positive", F.lit(False)).alias("p"), (draw(F.col("_doc"), "u") < UNLABELLED / max(total, 1)).alias("u"), places("_text").alias("f")).toArrow()
+    x = [np.frombuffer(b.as_buffer(), np.int32) for b in rows.column("f")]  # views of the table
+    p, u = rows.column("p").to_numpy().astype(bool), rows.column("u").to_numpy().astype(bool)
     # A confirmed example that the unlabelled draw took as well stands on both sides: the draw is of all text.
     weights, bias = fit([a for a, y in zip(x, p) if y] + [a for a, y in zip(x, u) if y], np.r_[np.ones(p.sum(), bool), np.zeros(u.sum(), bool)], prior)
     return Model(weights, bias, prior)
