@@ -1,14 +1,15 @@
 """Embedding near-duplicates by NN-descent.
 
-Only vectors of the same label (and length) are compared. Neighbour lists start from ``TABLES`` random-hyperplane tables: each
-deals a label's vectors into buckets of about ``BLOCK``, larger ones into even chunks, and compares within a chunk. Rounds of a
-neighbours-of-neighbours join then refine the lists; a list whose ``K`` entries all reach the threshold is saturated and is
-enlarged, twofold a round. What the lists connect at ``FLOOR`` or more is a cluster, and every cluster is compared in full, in pairs
-of blocks, so that lists end up as long as a vector's links are, and no pair within a cluster is missed. An audit compares up to ``AUDIT``
+Only vectors of the same label (and length) are compared. Every vector keeps the ``K`` best neighbours known, whatever their cosine.
+The lists start from ``TABLES`` random-hyperplane tables: each deals a label's vectors into buckets of about ``BLOCK``, larger ones into
+even chunks, and compares within a chunk. Rounds of a neighbours-of-neighbours join then refine the lists until at most ``CHANGE`` of the
+entries change. Only then are pairs of ``FLOOR`` or more joined to clusters (vectors whose lists are full of their own cluster get lists of
+the best outside it), and every cluster is compared in full, in pairs of blocks, so that no pair within a cluster is missed. An audit compares up to ``AUDIT``
 vectors with all others by brute force; while fewer than ``RECALL`` of their links are known, more tables and rounds follow.
 ``n_links`` therefore is exact unless a link joins two clusters that no list connects.
 
-Cosine is in double precision. Only the audit's vectors are sent to all tasks.
+The lists compare vectors in bytes (a cosine is off by some 0.001, far less than from ``FLOOR`` to the threshold); links are counted in
+double precision. Only the audit's vectors are sent to all tasks.
 
 Cases: null ids, labels or vectors, empty and zero vectors and such with null or non-finite components link with nothing; a repeated id is one
 vector (the least of its rows), its rows share its figures; ties don't matter, as every link counts; an empty table gives an empty result;
@@ -32,7 +33,8 @@ FLOOR = 0.85
 K = 8
 BLOCK = 256
 TABLES = 8
-ROUNDS = 3
+#: Rounds end when at most this share of the lists' entries is new.
+CHANGE = 0.001
 AUDIT = 512
 RECALL = 0.995
 
@@ -52,8 +54,26 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.array(pa.concat_arrays([c.flatten() for c in column.chunks]).to_numpy(zero_copy_only=False), float).reshape(-1, dim)
 
 
-def tables_of(v: DataFrame, n: int, seed: int, block: int = BLOCK, k: int = K, floor: float = FLOOR) -> DataFrame:
-    """(u, v, cos), u < v: pairs of FLOOR or more that chunks of random-hyperplane buckets hold, the k best of each vector in a chunk."""
+def _signs(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Quantised vectors as unit rows."""
+    x = np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, dim).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def quantised(v: DataFrame) -> DataFrame:
+    """(id, label, dim, q, own): q is the vector in bytes, which puts a cosine off by some 0.001; rows with the same own aren't compared."""
+
+    def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            q = [np.rint(x * (127 / np.abs(x).max())).astype(np.int8).tobytes() for x in (np.asarray(u.values) for u in b.column(3))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(q, pa.binary())], names=["id", "label", "dim", "q"])
+
+    kinds = dict(v.dtypes)
+    return v.select("id", "label", "dim", "unit").mapInArrow(f, f"id {kinds['id']}, label {kinds['label']}, dim int, q binary").withColumn("own", F.col("id"))
+
+
+def tables_of(v: DataFrame, n: int, seed: int, block: int = BLOCK, k: int = K) -> DataFrame:
+    """(u, v, cos), u < v: the k best of each vector in each chunk of ``n`` tables of random-hyperplane buckets, whatever their cosine."""
 
     def codes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -62,54 +82,130 @@ def tables_of(v: DataFrame, n: int, seed: int, block: int = BLOCK, k: int = K, f
             for dim in np.unique(t.column("dim").to_numpy()):
                 own = t.filter(pc.equal(t.column("dim"), int(dim)))
                 planes = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), n * 30))
-                bits = (_matrix(own.column("unit"), int(dim)) @ planes > 0).reshape(len(own), n, 30)
+                bits = (_signs(own.column("q"), int(dim)) @ planes > 0).reshape(len(own), n, 30)
                 code = (bits * (1 << np.arange(30))).sum(axis=2)
                 rows.append(own.append_column("codes", pa.array(list(code), pa.list_(pa.int64()))))
-            yield from pa.concat_tables(rows).to_batches()
+            if rows:
+                yield from pa.concat_tables(rows).to_batches()
 
+    v = v if "q" in v.columns else quantised(v)
     schema = ", ".join(f"{c} {t}" for c, t in v.dtypes)
     few = v.groupBy("label", "dim").count().select(F.col("label").alias("_label"), F.col("dim").alias("_dim"), F.greatest(F.lit(0), F.least(F.lit(30), F.round(F.log2(F.col("count") / block)))).cast("int").alias("bits"))
     # A label's size says how many bits of the code make its buckets.
     rows = v.mapInArrow(codes, f"{schema}, codes array<bigint>").join(if_small(few), (F.col("label") == F.col("_label")) & (F.col("dim") == F.col("_dim")))
-    rows = rows.select("id", "label", "dim", "unit", "bits", F.posexplode("codes").alias("t", "code")).withColumn("bucket", F.expr("code & (shiftleft(1L, bits) - 1)")).drop("code", "bits")
+    rows = rows.select("id", "label", "dim", "q", "own", "bits", F.posexplode("codes").alias("t", "code")).withColumn("bucket", F.expr("code & (shiftleft(1L, bits) - 1)")).drop("code", "bits")
     sizes = checkpoint(rows.groupBy("label", "dim", "t", "bucket").count().where(F.col("count") > 2 * block))
     rows = rows.join(if_small(sizes), ["label", "dim", "t", "bucket"], "left").withColumn("chunk", F.pmod(F.xxhash64("id", "t"), F.coalesce(F.ceil(F.col("count") / (2 * block)), F.lit(1))))
 
     def compare(t: pa.Table) -> pa.Table:
-        x, ids = _matrix(t.column("unit"), t.column("dim")[0].as_py()), t.column("id").to_numpy()
-        c = x @ x.T
-        np.fill_diagonal(c, -2)
+        x, ids = _signs(t.column("q"), t.column("dim")[0].as_py()), t.column("id").to_numpy()
+        own = np.unique(t.column("own").to_numpy(), return_inverse=True)[1]
+        c = np.where(own[:, None] == own[None, :], np.float32(-2), x @ x.T)
         best = np.argpartition(-c, min(k, len(c)) - 1, axis=1)[:, :k]
         a = np.repeat(np.arange(len(c)), best.shape[1])
         b = best.ravel()
-        keep = c[a, b] >= floor
+        keep = c[a, b] > -2
         a, b = a[keep], b[keep]
-        return pa.table({"u": np.minimum(ids[a], ids[b]), "v": np.maximum(ids[a], ids[b]), "cos": np.minimum(c[a, b], 1.0)})
+        return pa.table({"u": np.minimum(ids[a], ids[b]), "v": np.maximum(ids[a], ids[b]), "cos": np.minimum(c[a, b], 1.0).astype(float)})
 
     kind = dict(v.dtypes)["id"]
     return rows.groupBy("label", "dim", "t", "bucket", "chunk").applyInArrow(compare, f"u {kind}, v {kind}, cos double").groupBy("u", "v").agg(F.max("cos").alias("cos"))
 
 
-def descend(v: DataFrame, edges: DataFrame, rounds: int = ROUNDS, k: int = K, threshold: float = THRESHOLD, floor: float = FLOOR) -> DataFrame:
-    """edges with what neighbours-of-neighbours joins add; lists that the threshold saturates double each round."""
-    edges, limit = checkpoint(edges), k
-    unit = v.select("id", "unit")
-    for _ in range(rounds):
-        both = edges.select("u", "v", "cos").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "cos"))
-        line = Window.partitionBy("u").orderBy(F.desc("cos"), "v")
-        ranked = both.withColumn("rank", F.row_number().over(line))
-        full = ranked.where((F.col("rank") == k) & (F.col("cos") >= threshold)).select(F.col("u").alias("_full"))
-        lists = ranked.where(F.col("rank") <= limit).join(full, F.col("u") == F.col("_full"), "left").where((F.col("rank") <= k) | F.col("_full").isNotNull())
-        lists = checkpoint(lists.select("u", "v"))
-        a, b = lists.select(F.col("u").alias("a"), F.col("v").alias("mid")), lists.select(F.col("u").alias("mid"), F.col("v").alias("b"))
-        near = a.join(b, "mid").where("a < b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct().join(edges.select("u", "v"), ["u", "v"], "left_anti")
-        x = near.join(unit.withColumnsRenamed({"id": "u", "unit": "x"}), "u").join(unit.withColumnsRenamed({"id": "v", "unit": "y"}), "v")
-        cos = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
-        new = checkpoint(x.select("u", "v", cos.alias("cos")).where(F.col("cos") >= floor))
-        if new.isEmpty():
-            break
-        edges, limit = checkpoint(edges.unionByName(new)), limit * 2
-    return edges
+def _lists(rows: DataFrame, k: int) -> DataFrame:
+    """(u, v, cos, new): the k best of each u; a pair that was there already isn't new. Ties fall by a hash."""
+    one = rows.repartition("u").groupBy("u", "v").agg(F.max("cos").alias("cos"), F.min("new").alias("new"))
+    line = Window.partitionBy("u").orderBy(F.desc("cos"), F.xxhash64("u", "v"), "v")
+    return checkpoint(one.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= k).drop("rank"))
+
+
+def descend(v: DataFrame, edges: DataFrame, via: DataFrame | None = None, k: int = K, change: float = CHANGE) -> DataFrame:
+    """(u, v, cos), u < v: the pairs of the lists of k best, refined from edges by neighbours-of-neighbours joins until hardly an entry changes.
+
+    A vector meets its list, up to k of those that list it (new ones first) and its ``via``; pairs of what meets at a vector, one of them
+    new there, are tried for the lists of both.
+    """
+    v = v if "q" in v.columns else quantised(v)
+    kind = dict(v.dtypes)["id"]
+    turned = edges.select("u", "v", "cos").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "cos"))
+    lists = _lists(turned.withColumn("new", F.lit(True)), k)
+    total, changed, turn = lists.count(), 1 << 62, 0
+    blocks = max(1, v.count() // 512)
+
+    def compare(t: pa.Table) -> pa.Table:
+        dim = t.column("dim")[0].as_py()
+        t = t.take(pa.array(np.argsort(mids := np.unique(t.column("mid").to_numpy(), return_inverse=True)[1], kind="stable")))
+        mids = np.sort(mids)
+        names, at = np.unique(t.column("nb").to_numpy(), return_inverse=True)
+        own = np.unique(t.column("own").to_numpy(), return_inverse=True)[1]
+        x, fresh, worst = _signs(t.column("q"), dim), t.column("new").to_numpy(), t.column("worst").to_numpy()
+        first = np.searchsorted(mids, np.arange(mids[-1] + 2))
+        out = []
+        for i in range(0, len(first) - 1, 256):
+            starts, ends = first[i : i + 256], first[i + 1 : i + 257]
+            starts = starts[: len(ends)]
+            place = starts[:, None] + np.arange((ends - starts).max())[None, :]
+            there = place < ends[:, None]
+            place = np.where(there, place, 0)
+            y = x[place]
+            c = np.minimum(y @ y.transpose(0, 2, 1), 1)
+            good = there[:, :, None] & there[:, None, :] & (fresh[place][:, :, None] | fresh[place][:, None, :])
+            good &= (own[place][:, :, None] != own[place][:, None, :]) & (c > worst[place][:, :, None] + 1e-6)
+            m, p, q = np.nonzero(good)
+            out.append((at[place[m, p]], at[place[m, q]], c[m, p, q]))
+        a, b, c = (np.concatenate(z) for z in zip(*out, strict=True))
+        one = np.unique(a.astype(np.int64) * len(names) + b, return_index=True)[1]  # a pair once
+        a, b, c = a[one], b[one], c[one]
+        o = np.lexsort((-c, a))
+        a, b, c = a[o], b[o], c[o]
+        best = np.arange(len(a)) - np.searchsorted(a, a) < k  # more than k can't stay in a list
+        return pa.table({"u": names[a[best]], "v": names[b[best]], "cos": c[best].astype(float)})
+
+    while changed > change * total:
+        fwd = lists.select(F.col("u").alias("mid"), F.col("v").alias("nb"), "new")
+        rev = lists.select(F.col("v").alias("mid"), F.col("u").alias("nb"), "new")
+        line = Window.partitionBy("mid").orderBy(F.desc("new"), F.xxhash64(F.lit(turn), "mid", "nb"), "nb")
+        rev = rev.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= k).drop("rank")
+        met = fwd.unionByName(rev)
+        if via is not None:
+            met = met.unionByName(via.select(F.col("u").alias("mid"), F.col("v").alias("nb"), F.lit(False).alias("new")))
+        met = met.repartition("mid").groupBy("mid", "nb").agg(F.max("new").alias("new"))
+        met = met.withColumn("any", F.max("new").over(Window.partitionBy("mid"))).where("any").drop("any")
+        worst = lists.groupBy("u").agg(F.when(F.count(F.lit(1)) >= k, F.min("cos")).otherwise(-2.0).alias("worst"))
+        state = v.select(F.col("id").alias("nb"), "dim", "q", "own").join(worst.withColumnRenamed("u", "nb"), "nb", "left").withColumn("worst", F.coalesce("worst", F.lit(-2.0)))
+        rows = met.join(state, "nb").withColumn("block", F.pmod(F.xxhash64("mid"), F.lit(blocks)))
+        found = rows.groupBy("dim", "block").applyInArrow(compare, f"u {kind}, v {kind}, cos double")
+        lists = _lists(lists.withColumn("new", F.lit(False)).unionByName(found.withColumn("new", F.lit(True))), k)
+        total, changed = lists.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("new").cast("int")), F.lit(0))).first()
+        turn += 1
+    return lists.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "cos").groupBy("u", "v").agg(F.max("cos").alias("cos"))
+
+
+def clusters_of(v: DataFrame, edges: DataFrame, tables: int, seed: int, k: int = K, floor: float = FLOOR) -> DataFrame:
+    """(id, cluster): what pairs of floor or more connect.
+
+    Where a list is full of its own cluster, links that leave the cluster have no place in it; such vectors get lists of the k best
+    outside their cluster, until these connect no more clusters.
+    """
+    edges = checkpoint(edges)
+    q = quantised(v)
+    turned = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "cos"))
+    full = checkpoint(turned.where(F.col("cos") >= floor).groupBy("u").count().where(F.col("count") >= k).select("u"))
+    via = turned.withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("cos"), F.xxhash64("u", "v"), "v"))).where(F.col("rank") <= k)
+    via = checkpoint(via.join(full, "u", "left_semi").join(full.withColumnRenamed("u", "v"), "v", "left_semi").select("u", "v"))
+    near, out = edges.where(F.col("cos") >= floor).select("u", "v"), None
+    while True:
+        clusters = checkpoint(components(near, "u", "v").select(F.col("node").alias("id"), F.col("component_id").alias("cluster")))
+        rest = q.join(full.withColumnRenamed("u", "id"), "id", "left_semi").drop("own").join(clusters.withColumnRenamed("cluster", "own"), "id")
+        several = rest.groupBy("label", "dim").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo != hi").select("label", "dim")
+        rest = checkpoint(rest.join(several, ["label", "dim"], "left_semi").select("id", "label", "dim", "q", "own"))
+        if rest.isEmpty():
+            return clusters
+        out = descend(rest, tables_of(rest, tables, seed, k=k), via, k)
+        more = checkpoint(out.where(F.col("cos") >= floor).select("u", "v"))
+        if more.isEmpty():
+            return clusters
+        near = checkpoint(near.unionByName(more))
 
 
 def links_within(v: DataFrame, clusters: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -165,14 +261,14 @@ def audit(v: DataFrame, found: DataFrame, threshold: float = THRESHOLD, most: in
     return 1.0 if not all_ else float(known) / float(all_)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, floor: float = FLOOR, tables: int = TABLES, rounds: int = ROUNDS, most_tries: int = 4) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, floor: float = FLOOR, tables: int = TABLES, most_tries: int = 4) -> DataFrame:
     """(id, n_links, component_id, kept) per row of df."""
     v = checkpoint(unit_vectors(df, id_col, vector_col, label_col))
     edges, recall = None, 0.0
     for attempt in range(most_tries):
-        new = tables_of(v, tables << attempt, attempt, floor=floor)
-        edges = descend(v, new if edges is None else edges.unionByName(new).groupBy("u", "v").agg(F.max("cos").alias("cos")), rounds, threshold=threshold, floor=floor)
-        clusters = components(edges, "u", "v").select(F.col("node").alias("id"), F.col("component_id").alias("cluster"))
+        new = tables_of(v, tables << attempt, attempt)
+        edges = checkpoint(descend(v, new if edges is None else edges.unionByName(new)))
+        clusters = clusters_of(v, edges, tables << attempt, attempt, floor=floor)
         parts = checkpoint(links_within(v, clusters, threshold))
         found = checkpoint(parts.groupBy("id").agg(F.sum("n_links").alias("n_links")))
         recall = audit(v, found, threshold)

@@ -51,3 +51,29 @@ def test_edges(spark):
 
 def test_empty_table(spark):
     assert nndescent.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_isolated_pairs_among_thousands_of_buckets(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((6_000, 24))
+    x[3_000:3_300] = x[:300] + 0.37 * rng.standard_normal((300, 24))  # pairs of cosine 0.94 or so
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pairs = {(i, i + 3_000) for i in range(300) if x[i] @ x[i + 3_000] >= 0.93}
+    d = spark.createDataFrame([(i, [float(a) for a in r], 0) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    v = nndescent.checkpoint(nndescent.unit_vectors(d))
+    got = {(r.u, r.v) for r in nndescent.descend(v, nndescent.tables_of(v, nndescent.TABLES, 0, block=2)).where("cos >= 0.9").collect()}  # buckets of 12 bits
+    assert len(pairs) > 100
+    assert len(pairs & got) >= 0.95 * len(pairs)  # the tables alone bring three quarters
+
+
+def test_groups_whose_lists_are_full_still_meet(spark):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((5, 16))
+    rows = []
+    for b in base:
+        other = b + 0.3 * rng.standard_normal(16)
+        other = b / np.linalg.norm(b) * 0.94 + (other - (other @ b) / (b @ b) * b) / np.linalg.norm(other - (other @ b) / (b @ b) * b) * 0.34
+        rows += [b] * 30 + [other] * 30  # copies fill the lists; the two groups link
+    d = spark.createDataFrame([(i, [float(a) for a in r], 0) for i, r in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in nndescent.near_duplicates(d).collect()}
+    assert got == brute([(i, list(map(float, r)), 0) for i, r in enumerate(rows)])
