@@ -4,9 +4,10 @@ Only vectors of the same label (and length) are compared. Every vector keeps the
 The lists start from ``TABLES`` random-hyperplane tables: each deals a label's vectors into buckets of about ``BLOCK``, larger ones into
 even chunks, and compares within a chunk. Rounds of a neighbours-of-neighbours join then refine the lists until at most ``CHANGE`` of the
 entries change. Only then are pairs of ``FLOOR`` or more joined to clusters (vectors whose lists are full of their own cluster get lists of
-the best outside it), and every cluster is compared in full, in pairs of blocks, so that no pair within a cluster is missed. An audit compares up to ``AUDIT``
-vectors with all others by brute force; while fewer than ``RECALL`` of their links are known, more tables and rounds follow.
-``n_links`` therefore is exact unless a link joins two clusters that no list connects.
+the best outside it), and every cluster is compared in full, in pairs of blocks, so that no pair within a cluster is missed. An audit compares up to
+``AUDIT`` vectors each without a known link, with few and with many with all others by brute force; while fewer than ``RECALL`` of those
+that have links know all of theirs, more tables follow, and after ``most_tries`` every label is compared in full, in pairs of blocks.
+``n_links`` therefore is exact unless a link joins two clusters that no list connects and the audit's sample misses it.
 
 The lists compare vectors in bytes (a cosine is off by some 0.001, far less than from ``FLOOR`` to the threshold); links are counted in
 double precision. Only the audit's vectors are sent to all tasks.
@@ -236,9 +237,17 @@ def links_within(v: DataFrame, clusters: DataFrame, threshold: float = THRESHOLD
 
 
 def audit(v: DataFrame, found: DataFrame, threshold: float = THRESHOLD, most: int = AUDIT) -> float:
-    """The share of links known, over up to ``most`` vectors compared with all rows; 1 if they have none."""
-    n = v.count()
-    drawn = v.where(F.pmod(F.xxhash64(F.lit("audit"), "id"), F.lit(1_000_000)) < 1e6 * most / max(n, 1)).limit(2 * most).toPandas()
+    """The share of vectors whose links are all known, of those that have any; the least of that for few links (to ``K``) and for more.
+
+    Some ``most`` vectors each without a known link, with few and with more are compared with all rows, and count for as many as they stand for.
+    """
+    v = v.join(found.select("id", "n_links"), "id", "left").withColumn("known", F.coalesce("n_links", F.lit(0))).drop("n_links")
+    stratum = F.when(F.col("known") == 0, 0).when(F.col("known") <= K, 1).otherwise(2)
+    sizes = {r["s"]: r["count"] for r in v.groupBy(stratum.alias("s")).count().collect()}
+    if not sizes:
+        return 1.0
+    share = F.element_at(F.array(*[F.lit(1e12 * most / sizes.get(s, 1)) for s in range(3)]), stratum + 1)
+    drawn = v.withColumn("s", stratum).where(F.pmod(F.xxhash64(F.lit("audit"), "id"), F.lit(10**12)) < share).toPandas()
     if not len(drawn):
         return 1.0
     shared = v.sparkSession.sparkContext.broadcast((drawn["id"].to_numpy(), drawn["label"].to_numpy(), drawn["dim"].to_numpy(), list(drawn["unit"])))
@@ -256,9 +265,12 @@ def audit(v: DataFrame, found: DataFrame, threshold: float = THRESHOLD, most: in
                     yield pa.record_batch({"id": pa.array(ids[at]), "truth": pa.array(near.sum(axis=1).astype(np.int64))})
 
     schema = f"id {dict(v.dtypes)['id']}, truth bigint"
-    truth = v.mapInArrow(count, schema).groupBy("id").agg(F.sum("truth").alias("truth")).where("truth > 0")
-    known, all_ = truth.join(found.select("id", "n_links"), "id", "left").agg(F.sum(F.coalesce("n_links", F.lit(0))), F.sum("truth")).first()
-    return 1.0 if not all_ else float(known) / float(all_)
+    truth = {r["id"]: r["truth"] for r in v.mapInArrow(count, schema).groupBy("id").agg(F.sum("truth").alias("truth")).where("truth > 0").collect()}
+    drawn["truth"] = drawn["id"].map(truth).fillna(0)
+    drawn["weight"] = drawn["s"].map({s: sizes[s] / n for s, n in drawn["s"].value_counts().items()})
+    linked = drawn[drawn["truth"] > 0]
+    shares = [float((g["weight"] * (g["known"] >= g["truth"])).sum() / g["weight"].sum()) for _, g in linked.groupby(linked["truth"] > K)]
+    return min(shares, default=1.0)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, floor: float = FLOOR, tables: int = TABLES, most_tries: int = 4) -> DataFrame:
@@ -274,6 +286,10 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         recall = audit(v, found, threshold)
         if recall >= RECALL:
             break
+    else:  # what the lists don't reach, every label compared in full does
+        parts = checkpoint(links_within(v, v.select("id", F.struct("label", "dim").alias("cluster")), threshold))
+        found = checkpoint(parts.groupBy("id").agg(F.sum("n_links").alias("n_links")))
+        recall = audit(v, found, threshold)
     joined = components(parts.select("id", "root"), "id", "root")
     out = df.select(F.col(id_col).alias("id")).join(found, "id", "left").join(joined, F.col("id") == F.col("node"), "left")
     comp = F.coalesce("component_id", "id")

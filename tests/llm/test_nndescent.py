@@ -77,3 +77,24 @@ def test_groups_whose_lists_are_full_still_meet(spark):
     d = spark.createDataFrame([(i, [float(a) for a in r], 0) for i, r in enumerate(rows)], "vec_id long, embedding array<double>, label int")
     got = {r.vec_id: (r.n_links, r.component_id) for r in nndescent.near_duplicates(d).collect()}
     assert got == brute([(i, list(map(float, r)), 0) for i, r in enumerate(rows)])
+
+
+def test_audit_sees_missing_pairs_beside_a_large_group(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((400, 32))
+    x[:300] = x[0]
+    x[350:] = x[300:350]
+    d = spark.createDataFrame([(i, [float(a) for a in r], 0) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    v = nndescent.checkpoint(nndescent.unit_vectors(d))
+    assert nndescent.audit(v, spark.createDataFrame([(i, 299) for i in range(300)], "id long, n_links long")) < nndescent.RECALL
+    assert nndescent.audit(v, spark.createDataFrame([(i, 299 if i < 300 else 1) for i in range(400)], "id long, n_links long")) == 1
+
+
+def test_labels_are_compared_in_full_when_the_tries_run_out(spark, monkeypatch):
+    none = spark.createDataFrame([], "u long, v long, cos double")
+    monkeypatch.setattr(nndescent, "tables_of", lambda *a, **k: none)
+    rows = [(i, [float(i % 3 == 0), float(i % 3 == 1), 1.0 * (i % 3)], i % 2) for i in range(40)] + [(40, [1.0, 0.0], 0), (41, [2.0, 0.0], 0)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    out = nndescent.near_duplicates(d, tables=1, most_tries=1).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out} == brute(rows)
+    assert {r.audited_recall for r in out} == {1.0}
