@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Enrolled chunks are broadcast up to this number; a longer list has to be split by name and the scores united.
-MOST_CHUNKS = 100_000
+#: Windows, and chunks of a name, that meet at once.
+BLOCK = 1_024
 
 
 def dot(a, b):
@@ -19,24 +19,37 @@ def dot(a, b):
 
 
 def window_scores(windows: DataFrame, profiles: DataFrame, top: int = 3) -> DataFrame:
-    """(ep, label, win, name, score): the mean of a window's ``top`` similarities to a person's chunks."""
-    rows = profiles.select("name", "emb").limit(MOST_CHUNKS + 1).collect()
-    if len(rows) > MOST_CHUNKS:
-        raise ValueError(f"more than {MOST_CHUNKS} profile chunks: split them by name")
-    if not rows:
-        return windows.select("ep", "label", "win").limit(0).withColumns({"name": F.lit(""), "score": F.lit(0.0)})
-    names = sorted({r.name for r in rows})
-    shared = windows.sparkSession.sparkContext.broadcast([(n, np.array([r.emb for r in rows if r.name == n], float)) for n in names])
-
-    def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            x = np.array(b.column(3).to_pylist(), float).reshape(b.num_rows, -1)
-            for name, p in shared.value:
-                s = np.sort(x @ p.T, axis=1)[:, ::-1][:, :top].mean(axis=1) if b.num_rows else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([name] * b.num_rows, pa.string()), pa.array(s)], names=["ep", "label", "win", "name", "score"])
-
+    """(ep, label, win, name, score): the mean of a window's ``top`` similarities to a person's chunks.
+
+    Blocks of windows meet blocks of each name's chunks; every pair of blocks leaves a window's ``top``, and these are ranked together.
+    """
+    w, p = windows.select("ep", "label", "win", "emb"), profiles.select("name", "emb").where("name is not null")
+    w = w.withColumn("row", F.monotonically_increasing_id())
+    rows = max(1, -(-w.count() // BLOCK))
+    parts = p.groupBy("name").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    # A block of windows goes to each block of chunks, a block of chunks to each block of windows.
+    own = w.withColumn("i", F.pmod(F.xxhash64("ep", "label", "win"), F.lit(rows)).cast("int"))
+    own = own.crossJoin(parts.select(F.col("name").alias("name"), "parts")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    chunks = p.join(parts, "name").withColumn("j", F.pmod(F.xxhash64("emb"), F.col("parts")).cast("int")).drop("parts")
+    chunks = chunks.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
     kinds = dict(windows.dtypes)
-    return windows.select("ep", "label", "win", "emb").mapInArrow(f, f"ep {kinds['ep']}, label {kinds['label']}, win {kinds['win']}, name string, score double")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        n = len(left)
+        keep = [left.column(c) for c in ("row", "ep", "label", "win", "name")]
+        if not n or not len(right):
+            s, at = np.zeros(0), np.zeros(0, np.int64)
+        else:
+            x = np.array(left.column("emb").to_pylist(), float) @ np.array(right.column("emb").to_pylist(), float).T
+            best = np.sort(x, axis=1)[:, ::-1][:, :top]
+            s, at = best.ravel(), np.repeat(np.arange(n), best.shape[1])
+        return pa.table([*(c.take(pa.array(at)) for c in keep), pa.array(s, pa.float64())], names=["row", "ep", "label", "win", "name", "s"])
+
+    schema = f"row bigint, ep {kinds['ep']}, label {kinds['label']}, win {kinds['win']}, name string, s double"
+    met = own.groupBy("name", "i", "j").cogroup(chunks.groupBy("name", "i", "j")).applyInArrow(meet, schema)
+    line = Window.partitionBy("row", "name").orderBy(F.desc("s"))
+    ranked = met.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= top)
+    return ranked.groupBy("row", "name").agg(*(F.first(c).alias(c) for c in ("ep", "label", "win")), F.avg("s").alias("score")).select("ep", "label", "win", "name", "score")
 
 
 def best_names(scores: DataFrame) -> DataFrame:
