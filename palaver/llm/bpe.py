@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm.common import table
+from palaver.llm.common import lean, lean_group, steady, table
 
 BLOCK_CHARS = 32_000_000
 #: Documents whose word places are compressed together.
@@ -140,6 +140,7 @@ def _blocks(it: Iterator[pa.RecordBatch], path: str, block_chars: int) -> Iterat
 def block_words(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(word, block, place): each distinct word of each block of the texts (the first column)."""
 
+    @lean
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, words, _, _ in _blocks(it, path, block_chars):
             for i in range(0, len(words), 20_000):
@@ -154,6 +155,7 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
     width = _width(path)
 
     @F.pandas_udf("binary")
+    @lean
     def encode(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -201,7 +203,7 @@ def encode(docs: DataFrame, path: str, keep: Sequence[str] = ("doc_id",), text_c
     kinds = dict(docs.dtypes)
     names = [f"k{i}" for i in range(len(keep))]
     kept = [f"{n} {kinds[c]}" for n, c in zip(names, keep, strict=True)]
-    d = docs.select(F.col(text_col).alias("text"), *[F.col(c).alias(n) for n, c in zip(names, keep, strict=True)])
+    d = steady(docs.select(F.col(text_col).alias("text"), *[F.col(c).alias(n) for n, c in zip(names, keep, strict=True)]))
     width = _width(path)
 
     # Both reads are of the same columns, so that Spark deals out the same rows to both.
@@ -209,6 +211,7 @@ def encode(docs: DataFrame, path: str, keep: Sequence[str] = ("doc_id",), text_c
     waiting = block_words(d, path, block_chars).groupBy("word").agg(F.collect_list(F.struct("block", "place")).alias("at"))
     coded = encode_words(waiting, path).select("ids", F.explode("at").alias("at")).select("at.block", "at.place", "ids")
 
+    @lean
     def sequences(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=3)
         for block, _, docs, rows in _blocks(it, path, block_chars):
@@ -225,6 +228,7 @@ def encode(docs: DataFrame, path: str, keep: Sequence[str] = ("doc_id",), text_c
     schema = ", ".join([*kept, *(f"{o} {types[o][0]}" for o in outputs)])
     pieces = docs.sparkSession.sparkContext.broadcast([p for _, p in sorted(vocabulary_rows(path))])
 
+    @lean_group
     def gather(t: pa.Table) -> pa.Table:
         unzip, piece = zstandard.ZstdDecompressor(), pieces.value
         is_doc = t.column("n").is_valid()

@@ -30,13 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm.common import table
+from palaver.llm.common import CACHED_WORDS, lean, scramble, table
 
 #: The band of ln(documents / documents with the term).
 IDF = (3.0, 7.6)
 SUBSETS = 16
 _TERMS = re.compile(r"[^\W_]+")
-_CACHE = 400_000
 _SEEDS = np.array([xxhash.xxh3_64_intdigest(f"lexicon {i}".encode()) for i in range(SUBSETS)], np.uint64)
 
 
@@ -46,15 +45,9 @@ class _Hashes(dict):
         return h
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
 def terms(text: str | None, known: dict[str, int]) -> np.ndarray:
     """The sorted hashes of a text's distinct terms."""
-    if len(known) > _CACHE:
+    if len(known) > CACHED_WORDS:
         known.clear()
     words = set(_TERMS.findall((text or "").lower()))
     return np.sort(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
@@ -63,6 +56,7 @@ def terms(text: str | None, known: dict[str, int]) -> np.ndarray:
 def lexicon(docs: DataFrame, text_col: str = "text", idf: tuple[float, float] = IDF) -> np.ndarray:
     """The sorted hashes of the terms in the band."""
 
+    @lean
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df: Counter[str] = Counter()
 
@@ -92,8 +86,8 @@ def fingerprint(text: str | None, lex: np.ndarray, known: dict[str, int]) -> str
     if len(lex) and len(t):
         t = t[lex[np.minimum(np.searchsorted(lex, t), len(lex) - 1)] == t]
         if len(t):
-            drawn = _mix(t[:, None] ^ _SEEDS[None, :])
-            values = _mix(drawn)
+            drawn = scramble(t[:, None] ^ _SEEDS[None, :])
+            values = scramble(drawn)
             best = max(0, round(np.log2(len(t) / 1.4)))
             for rate in range(max(0, best - 1), best + 2):
                 inside = drawn <= np.uint64((1 << 64 - rate) - 1)
@@ -150,6 +144,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     guests = firsts.join(F.broadcast(guests), "k").select(F.lit(None).cast(kind).alias("doc_id"), "k", "text", "bin", F.lit(True).alias("guest"))
     dealt = own.unionByName(guests).repartitionById(n, "bin").sortWithinPartitions("bin", "guest", F.desc("k"), F.desc("text"))
 
+    @lean
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, words, held = _Hashes(), lex.value, None
         for b in it:

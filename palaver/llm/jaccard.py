@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palaver.llm.common import checkpoint, components, discard, table, written
+from palaver.llm.common import CACHED_WORDS, WordHashes, checkpoint, components, discard, lean, scramble, table, written
 
 WORDS = 5
 PERCENT = 80
@@ -41,27 +41,12 @@ ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BROADCAST_ROWS = 500_000
 #: Members of a list head compared in one task's stretch.
 STRETCH = 256
-_CACHE = 500_000
 
 
-class _Hashes(dict):
-    def __missing__(self, w: bytes) -> int:
-        h = self[w] = xxhash.xxh3_64_intdigest(w)
-        return h
-
-
-def _mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
-    h = h ^ np.uint64(seed)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
-def shingles(text: str | None, known: dict[bytes, int], k: int = WORDS) -> np.ndarray:
+def shingles(text: str | None, known: WordHashes, k: int = WORDS) -> np.ndarray:
     """The sorted distinct hashes of a text's k-word shingles; A-Z count as lower case, words end at ASCII white space."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(known) > _CACHE:
-        known.clear()
+    known.bounded()
     w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     if not len(w):
         return w
@@ -69,7 +54,7 @@ def shingles(text: str | None, known: dict[bytes, int], k: int = WORDS) -> np.nd
     h = np.full(len(w) - width + 1, width, np.uint64)
     for i in range(width):
         h = h * np.uint64(0x9DDFEA08EB382D69) + w[i : len(w) - width + 1 + i]
-    return np.unique(_mix(h))
+    return np.unique(scramble(h))
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -84,8 +69,9 @@ def _node(s: np.ndarray) -> int:
 def nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS) -> DataFrame:
     """(doc_id, node, n_shingles) per row; node is null where the set is empty."""
 
+    @lean
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
+        known = WordHashes()
         for b in it:
             sets = [shingles(t.as_py(), known, k) for t in b.column(1)]
             yield pa.record_batch({"doc_id": b.column(0), "node": pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), "n_shingles": pa.array([len(s) for s in sets], pa.int64())})
@@ -97,8 +83,9 @@ def nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
 def heavy_tokens(docs: DataFrame, text_col: str = "text", k: int = WORDS, most: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
     """The commonest tokens, sorted, and each one's power of two: at most ``most``, by counts within blocks of documents."""
 
+    @lean
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, seen = _Hashes(), [], set()
+        known, held, seen = WordHashes(), [], set()
 
         def flush():
             tokens, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -134,7 +121,7 @@ def heavy_tokens(docs: DataFrame, text_col: str = "text", k: int = WORDS, most:
 def prefix(s: np.ndarray, heavy: np.ndarray, power: np.ndarray, seed: int, percent: int = PERCENT) -> np.ndarray:
     """The tokens of a set that come first under an order, in that order, as many as similarity calls for."""
     n = len(s) - (percent * len(s) + 99) // 100 + 1
-    key = _mix(s, seed)
+    key = scramble(s ^ np.uint64(seed))
     if not len(heavy):
         return s[np.argsort(key)[:n]]
     at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
@@ -150,8 +137,9 @@ def postings(docs: DataFrame, text_col: str = "text", k: int = WORDS, percent: i
     """
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_tokens(docs, text_col, k))
 
+    @lean
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (common, power) = _Hashes(), heavy.value
+        known, (common, power) = WordHashes(), heavy.value
         seen: set[int] = set()
         for b in it:
             parts: list[tuple[int, np.ndarray, int, int]] = []
@@ -160,7 +148,7 @@ def postings(docs: DataFrame, text_col: str = "text", k: int = WORDS, percent: i
                 if len(s) and (name := _node(s)) not in seen:
                     seen.add(name)
                     parts += [(o, prefix(s, common, power, seed, percent), name, len(s)) for o, seed in enumerate(orders)]
-            if len(seen) > _CACHE:
+            if len(seen) > CACHED_WORDS:
                 seen.clear()
             if parts:
                 size = [len(p[1]) for p in parts]
@@ -201,8 +189,9 @@ def verify(docs: DataFrame, members: DataFrame, pairs: DataFrame, id_col: str =
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
     j = texts.join(F.broadcast(wanted) if small else wanted, F.col("_doc") == F.col("_id")).select("_text", "node", "at")
 
+    @lean
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
+        known = WordHashes()
         for b in it:
             out: list[tuple] = []
             for t, node, at in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -215,6 +204,7 @@ def verify(docs: DataFrame, members: DataFrame, pairs: DataFrame, id_col: str =
 
     dealt = j.mapInArrow(sets, "a bigint, part bigint, node bigint, tokens binary").repartition("a", "part").sortWithinPartitions("a", "part", F.col("a") != F.col("node"), "node")
 
+    @lean
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, own, last = None, np.zeros(0, np.uint64), None
         for b in it:

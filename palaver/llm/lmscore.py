@@ -6,11 +6,13 @@ occurrences are taken out of every count, so it can't vouch for itself; a word t
 one occurrence at the next backoff. Logarithms are summed per document.
 
 The count tables are partitioned by n-gram hash: each block of documents (a run within a partition, at most ``BLOCK_CHARS``
-characters or one document more) sends every distinct n-gram once, with its count, to the partition of its hash; there the
-counts of all blocks are added, joined back to the n-grams that asked, and returned to the block, where they meet the
-exploded n-grams of its documents. So an n-gram as frequent as it may be is one row a block. Hashes travel sorted, as
-compressed differences. A block's name is a hash of its content: rows that change between the two reads of the texts end
-the run with an error.
+characters or one document more) sends every distinct n-gram once, with its count, to the partition of its hash (ranges of
+hashes, as many as Spark has shuffle partitions); there the counts of all blocks are added, joined back to the n-grams that asked, and
+returned to the block, where they meet the exploded n-grams of its documents. So an n-gram as frequent as it may be comes once a block.
+Hashes travel sorted, as compressed differences: as a row each, counts alone would take more disk than the check tool allows (README).
+
+The texts are read twice. Input that doesn't come straight from files is written to the shared folder first, so that both reads meet the
+same rows, also where a task runs again; a block's name is a hash of its content, and blocks that don't meet end the run with an error.
 
 Cases: null and empty texts have no tokens and score 0; repeated rows are documents of their own that vouch for each other; an
 empty table gives an empty result; extra columns stay if named in ``keep``.
@@ -29,24 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm.common import table
+from palaver.llm.common import WordHashes, lean, lean_group, scramble, steady, table
 
 ORDER = 3
 BACKOFF = 0.4
-BLOCK_CHARS = 16_000_000
-_CACHE = 500_000
-
-
-class _Hashes(dict):
-    def __missing__(self, w: bytes) -> int:
-        h = self[w] = xxhash.xxh3_64_intdigest(w)
-        return h
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
+BLOCK_CHARS = 10_000_000
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -68,16 +57,16 @@ def _sorted_unpack(b: bytes) -> np.ndarray:
 
 def grams(words: np.ndarray, place: np.ndarray, order: int) -> Iterator[np.ndarray]:
     """For each order, the hash of the n-gram that ends at each word, where the document has begun early enough."""
-    h = _mix(words ^ np.uint64(1))
+    h = scramble(words ^ np.uint64(1))
     yield h
     for n in range(2, order + 1):
-        h = _mix(h[:-1] * np.uint64(0x9DDFEA08EB382D69) + words[n - 1 :] + np.uint64(n))
+        h = scramble(h[:-1] * np.uint64(0x9DDFEA08EB382D69) + words[n - 1 :] + np.uint64(n))
         yield h[place[n - 1 :] >= n - 1]
 
 
 def _blocks(it: Iterator[pa.RecordBatch], block_chars: int) -> Iterator[tuple[int, list[np.ndarray], list[pa.RecordBatch]]]:
     """Blocks of a partition's rows, text first: a name, each row's word hashes, the rows."""
-    known, part, done = _Hashes(), TaskContext.get().partitionId(), 0
+    known, part, done = WordHashes(), TaskContext.get().partitionId(), 0
     docs: list[np.ndarray] = []
     rows: list[pa.RecordBatch] = []
     chars = 0
@@ -92,8 +81,7 @@ def _blocks(it: Iterator[pa.RecordBatch], block_chars: int) -> Iterator[tuple[in
         texts, start = batch.column(0), 0
         for i in range(len(texts)):
             text = texts[i].as_py() or ""
-            if len(known) > _CACHE:
-                known.clear()
+            known.bounded()
             words = text.encode("utf-8", "surrogatepass").lower().split()
             docs.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
             chars += len(text) + 50
@@ -125,26 +113,24 @@ def score(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "t
     kinds = dict(docs.dtypes)
     names = [f"k{i}" for i in range(len(keep))]
     kept = [f"{n} {kinds[c]}" for n, c in zip(names, keep, strict=True)]
-    d = docs.select(F.col(text_col).alias("text"), *[F.col(c).alias(n) for n, c in zip(names, keep, strict=True)])
+    d = steady(docs.select(F.col(text_col).alias("text"), *[F.col(c).alias(n) for n, c in zip(names, keep, strict=True)]))
+    bounds = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
 
+    @lean
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, held, _ in _blocks(it, block_chars):
             words, place, _ = _flat(held)
             sent = [([], []) for _ in range(buckets)]
             for g in grams(words, place, order):  # one order at a time, for memory
                 h, n = np.unique(g, return_counts=True)
-                by, ends = dealt(h)
-                for (hashes, counts), part in zip(sent, np.split(by, ends[:-1]), strict=True):
-                    hashes.append(_sorted_pack(h[part]))
-                    counts.append(_pack(n[part]))
+                cuts = np.searchsorted(h, bounds)
+                for (hashes, counts), h_, n_ in zip(sent, np.split(h, cuts), np.split(n, cuts), strict=True):
+                    hashes.append(_sorted_pack(h_))
+                    counts.append(_pack(n_))
             binary = pa.list_(pa.binary())
             yield pa.record_batch({"block": pa.array([block] * (buckets + 1), pa.int64()), "bucket": pa.array(range(-1, buckets), pa.int32()), "grams": pa.array([[], *(x for x, _ in sent)], binary), "counts": pa.array([[_pack(np.array([len(words)]))], *(x for _, x in sent)], binary)})
 
-    def dealt(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The order of hashes by bucket, and where each bucket ends."""
-        bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
-        return np.argsort(bucket, kind="stable"), np.cumsum(np.bincount(bucket, minlength=buckets))
-
+    @lean_group
     def add(t: pa.Table) -> pa.Table:
         if t.column("bucket")[0].as_py() < 0:  # all words, for order 1
             total = _pack(np.array([sum(int(_unpack(c[0])[0]) for c in t.column("counts").to_pylist())]))
@@ -159,6 +145,7 @@ def score(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "t
                     row.append(_pack(part))
         return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "total": pa.array(totals, pa.list_(pa.binary()))})
 
+    @lean
     def sequences(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, held, rows in _blocks(it, block_chars):
             words, _, _ = _flat(held)
@@ -171,6 +158,7 @@ def score(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "t
 
     schema = ", ".join([*kept, "n_tokens bigint, log_score double, mean_log_score double, hits array<bigint>"])
 
+    @lean_group
     def gather(t: pa.Table) -> pa.Table:
         is_doc = t.column("n").is_valid()
         rows, back = t.filter(is_doc).sort_by("place"), t.filter(pc.invert(is_doc)).sort_by("bucket")
@@ -187,11 +175,11 @@ def score(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "t
         others = np.zeros((order, len(words)), np.int64)
         for n, g in enumerate(grams(words, place, order)):
             h, mine = np.unique(g, return_inverse=True)
-            count = np.empty(len(h), np.int64)
-            count[dealt(h)[0]] = np.concatenate([_unpack(b[n]) for b in totals[1:]]).astype(np.int64)
+            count = np.concatenate([_unpack(b[n]) for b in totals[1:]]).astype(np.int64)  # buckets in order: hashes in order
             where = np.flatnonzero(place >= n)
             _, own, times = np.unique(doc[where] * np.int64(len(h) + 1) + mine, return_inverse=True, return_counts=True)
             others[n, where] = count[mine] - times[own]
+            del h, mine, count, own, times, where
         rest = n_all - size[doc]
         value = np.log(backoff**order / np.maximum(rest, 1))
         hit = np.full(len(words), -1)

@@ -24,13 +24,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm.common import table
+from palaver.llm.common import CACHED_WORDS, give_back, lean, table
 
 DIM = 1 << 20
 POSITIVES = 6_000
 UNLABELLED = 18_000
 _WORDS = re.compile(r"[^\W\d_]+")
-_CACHE = 400_000
 
 
 @dataclass(frozen=True)
@@ -46,7 +45,7 @@ def features(word: str) -> list[int]:
 
 
 def _places(text: str | None, known: dict[str, list[int]]) -> np.ndarray:
-    if len(known) > _CACHE:
+    if len(known) > CACHED_WORDS:
         known.clear()
     found: set[int] = set()
     for w in set(_WORDS.findall((text or "").lower())):
@@ -108,6 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     text = F.col(text_col)
 
     @F.pandas_udf("binary")
+    @lean
     def places(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         cache: dict[str, list[int]] = {}
         for texts in it:
@@ -120,6 +120,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     p, u = rows.column("p").to_numpy().astype(bool), rows.column("u").to_numpy().astype(bool)
     # A confirmed example that the unlabelled draw took as well stands on both sides: the draw is of all text.
     weights, bias = fit([a for a, y in zip(x, p) if y] + [a for a, y in zip(x, u) if y], np.r_[np.ones(p.sum(), bool), np.zeros(u.sum(), bool)], prior)
+    del x, rows
+    give_back()
     return Model(weights, bias, prior)
 
 
@@ -128,13 +130,14 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     @F.pandas_udf("double")
+    @lean
     def apply(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weights, bias = shared.value
         known: dict[str, tuple[int, ...]] = {}
         for texts in it:
             z = []
             for t in texts:
-                if len(known) > _CACHE:
+                if len(known) > CACHED_WORDS:
                     known.clear()
                 found: set[int] = set()
                 for w in set(_WORDS.findall((t or "").lower())):
