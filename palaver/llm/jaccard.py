@@ -35,6 +35,8 @@ HEAVY = 1 << 19
 #: Tokens that fewer documents of a block share don't count as common.
 LOCAL_LEAST = 3
 BLOCK_DOCS = 8_192
+#: A block of documents ends at so many tokens as well.
+BLOCK_TOKENS = 4_000_000
 #: Seeds of the token orders.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Up to so many rows (of some 50 bytes) of documents wanted for verification are broadcast; beyond, texts are joined by a shuffle.
@@ -66,44 +68,47 @@ def _node(s: np.ndarray) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS) -> DataFrame:
-    """(doc_id, node, n_shingles) per row; node is null where the set is empty."""
+def survey(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node, n_shingles) per row, node null where the set is empty; and (token, n), the counts of tokens within blocks of documents.
 
-    @lean
-    def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for b in it:
-            sets = [shingles(t.as_py(), known, k) for t in b.column(1)]
-            yield pa.record_batch({"doc_id": b.column(0), "node": pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), "n_shingles": pa.array([len(s) for s in sets], pa.int64())})
-
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(f, f"doc_id {kind}, node bigint, n_shingles bigint")
-
-
-def heavy_tokens(docs: DataFrame, text_col: str = "text", k: int = WORDS, most: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
-    """The commonest tokens, sorted, and each one's power of two: at most ``most``, by counts within blocks of documents."""
+    One read of the texts gives both: a written table, of which the counts are those that ``LOCAL_LEAST`` documents of a block share.
+    """
 
     @lean
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, seen = WordHashes(), [], set()
+        known, held, seen, size = WordHashes(), [], set(), 0
 
         def flush():
             tokens, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             common = n >= LOCAL_LEAST
-            return pa.record_batch({"token": pa.array(_signed(tokens[common])), "n": pa.array(n[common].astype(np.int64))})
+            tokens, n = _signed(tokens[common]), n[common].astype(np.int64)
+            return pa.record_batch([pa.nulls(len(n), kind_), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64()), pa.array(tokens), pa.array(n)], names=names)
 
         for b in it:
-            for t in b.column(0):
-                s = shingles(t.as_py(), known, k)
-                if len(s) and (name := _node(s)) not in seen:
-                    seen.add(name)
+            kind_ = b.schema.field(0).type
+            sets = [shingles(t.as_py(), known, k) for t in b.column(1)]
+            nodes = [_node(s) if len(s) else None for s in sets]
+            rows = [b.column(0), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(len(b), pa.int64()), pa.nulls(len(b), pa.int64())]
+            yield pa.RecordBatch.from_arrays(rows, names=names)
+            for s, node in zip(sets, nodes, strict=True):
+                if node is not None and node not in seen:
+                    seen.add(node)
                     held.append(s)
-                if len(held) >= BLOCK_DOCS:
+                    size += len(s)
+                if len(held) >= BLOCK_DOCS or size >= BLOCK_TOKENS:
                     yield flush()
-                    held, seen = [], set()
-        yield flush()
+                    held, seen, size = [], set(), 0
+        if held:
+            yield flush()
+
+    names, kind = ["doc_id", "node", "n_shingles", "token", "n"], dict(docs.dtypes)[id_col]
+    both = written(docs.select(id_col, text_col).mapInArrow(f, f"doc_id {kind}, node bigint, n_shingles bigint, token bigint, n bigint"), "survey")
+    return both.where("n_shingles IS NOT NULL").select("doc_id", "node", "n_shingles"), both.where("n_shingles IS NULL").select("token", "n")
 
-    counts = checkpoint(docs.select(text_col).mapInArrow(f, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")))
+
+def heavy_tokens(counts: DataFrame, most: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest tokens, sorted, and each one's power of two: at most ``most``, by counts within blocks of documents."""
+    counts = checkpoint(counts.groupBy("token").agg(F.sum("n").alias("n")))
     # The least power of two whose tokens, with all above it, stay within the bound.
     power = F.floor(F.log2("n")).cast("int")
     least, total = 99, 0
@@ -129,13 +134,13 @@ def prefix(s: np.ndarray, heavy: np.ndarray, power: np.ndarray, seed: int, perce
     return s[np.lexsort((key, rank))[:n]]
 
 
-def postings(docs: DataFrame, text_col: str = "text", k: int = WORDS, percent: int = PERCENT, orders: Sequence[int] = ORDERS) -> DataFrame:
+def postings(docs: DataFrame, common_tokens: tuple[np.ndarray, np.ndarray], text_col: str = "text", k: int = WORDS, percent: int = PERCENT, orders: Sequence[int] = ORDERS) -> DataFrame:
     """(ord, token, node, n, pos, head): the nodes under every prefix token that at least two nodes share; head is the one in which it stands first.
 
     Two sets whose first common token stands at pos in both share at most n - pos tokens, the less of the two. Rows that leave too
     few for any partner in their list go at once. A node comes at most once from each task.
     """
-    heavy = docs.sparkSession.sparkContext.broadcast(heavy_tokens(docs, text_col, k))
+    heavy = docs.sparkSession.sparkContext.broadcast(common_tokens)
 
     @lean
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +165,9 @@ def postings(docs: DataFrame, text_col: str = "text", k: int = WORDS, percent: i
     head = F.min(F.struct("pos", "node", "n")).over(line)
     shared = rows.withColumns({"lo": F.min("node").over(line), "hi": F.max("node").over(line), "least": F.min("n").over(line), "head": head}).where("lo != hi")
     enough = (F.col("n") - F.col("pos")) * (100 + percent) >= (F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))) * percent
-    return written(shared.where(enough).select("ord", "token", "node", "n", "pos", "head"), "postings")
+    out = written(shared.where(enough).select("ord", "token", "node", "n", "pos", "head"), "postings")
+    heavy.unpersist()
+    return out
 
 
 def _in_all_orders(pairs: DataFrame, n_orders: int) -> DataFrame:
@@ -227,8 +234,8 @@ def verify(docs: DataFrame, members: DataFrame, pairs: DataFrame, id_col: str =
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT, orders: Sequence[int] = ORDERS) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row: the size of its set and the least id that links of the given similarity reach."""
-    members = checkpoint(nodes(docs, id_col, text_col, k))
-    lists = postings(docs, text_col, k, percent, orders)
+    members, counts = survey(docs, id_col, text_col, k)
+    lists = postings(docs, heavy_tokens(counts), text_col, k, percent, orders)
     how = dict(id_col=id_col, text_col=text_col, k=k, percent=percent)
     line = Window.partitionBy("ord", "token")
 
