@@ -37,9 +37,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm.common import lean, lean_group, steady, table
+from palaver.llm.common import give_back, lean, lean_group, steady, table
 
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 14_000_000
 #: Documents whose word places are compressed together.
 CHUNK = 256
 #: Characters that need no library to be cut: they stay as they are under NFC.
@@ -58,7 +58,8 @@ def word_splitter(path: str) -> Callable[[str | None], list[str]]:
     pattern = split["pattern"]["Regex"]
     special = [t["content"] for t in spec["added_tokens"]]
     at_special = re.compile("(" + "|".join(map(re.escape, special)) + ")")
-    normalizer = Tokenizer.from_file(path).normalizer
+    # The file's normalizer alone, without its vocabulary.
+    normalizer = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "post_processor": None, "decoder": None, "model": {"type": "WordLevel", "vocab": {"a": 0}, "unk_token": "a"}})).normalizer
     cut = pre_tokenizers.Split(Regex(pattern), split["behavior"].lower(), invert=split["invert"])
     lowers = any(n["type"] == "Lowercase" for n in spec["normalizer"]["normalizers"])
     kinds = {n["type"] for n in spec["normalizer"]["normalizers"]} <= {"NFC", "Replace", "Lowercase"}
@@ -109,8 +110,8 @@ def _blocks(it: Iterator[pa.RecordBatch], path: str, block_chars: int) -> Iterat
         words, at = list(places), np.concatenate(docs)
         n = np.bincount(at, minlength=len(words))
         order = np.argsort(-n, kind="stable")
-        rank = np.empty(len(words), np.int64)
-        rank[order] = np.arange(len(words))
+        rank = np.empty(len(words), np.uint32)
+        rank[order] = np.arange(len(words), dtype=np.uint32)
         moved = np.split(rank[at], np.cumsum([len(d) for d in docs])[:-1])
         words = [words[i] for i in order.tolist()]
         h = xxhash.xxh3_64(f"{part}.{done}.{len(docs)}")
@@ -118,6 +119,11 @@ def _blocks(it: Iterator[pa.RecordBatch], path: str, block_chars: int) -> Iterat
         h.update(at.tobytes())
         return h.intdigest() >> 1, words, moved, rows
 
+    def others(batch: pa.RecordBatch, begin: int, end: int) -> pa.RecordBatch:
+        """A copy of the columns but the text, so that no text waits for its block's end."""
+        own = batch.select(batch.schema.names[1:])
+        return own.take(pa.array(np.arange(begin, end))) if own.num_columns else own
+
     for batch in it:
         texts, start = batch.column(0), 0
         for i in range(len(texts)):
@@ -126,13 +132,15 @@ def _blocks(it: Iterator[pa.RecordBatch], path: str, block_chars: int) -> Iterat
             docs.append(np.fromiter(map(places.__getitem__, words), np.uint32, len(words)))
             chars += len(text or "") + 50
             if chars >= block_chars:
-                rows.append(batch.slice(start, i + 1 - start))
+                rows.append(others(batch, start, i + 1))
                 start = i + 1
                 yield block()
                 places.clear()
                 docs, rows, chars, done = [], [], 0, done + 1
+                give_back()
         if start < len(texts):
-            rows.append(batch.slice(start))
+            rows.append(others(batch, start, len(texts)))
+        del batch, texts
     if docs:
         yield block()
 
@@ -217,7 +225,7 @@ def encode(docs: DataFrame, path: str, keep: Sequence[str] = ("doc_id",), text_c
         for block, _, docs, rows in _blocks(it, path, block_chars):
             # One document in CHUNK carries its chunk's places.
             packed = [_planes(np.concatenate(docs[i : i + CHUNK]), zip_) if i % CHUNK == 0 else None for i in range(len(docs))]
-            t = pa.Table.from_batches(rows).select(names) if names else None
+            t = pa.Table.from_batches(rows) if names else None
             own = {"block": pa.array([block] * len(docs), pa.int64()), "place": pa.array(range(len(docs)), pa.int32()), "n": pa.array([len(x) for x in docs], pa.int32()), "packed": pa.array(packed, pa.binary())}
             yield from pa.table({**({c: t.column(c) for c in names}), **own}).to_batches(max_chunksize=20_000)
 

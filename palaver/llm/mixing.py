@@ -11,7 +11,7 @@ their source's figures by source and salt, so a source with a third of all rows
 
 Cases: null text has size 0; null source is a source of its own, last; null or repeated ids are
 kept, each row by itself (rows alike in id and size are exchangeable); empty table, empty result;
-documents of size 0 are taken with their epochs or share but count no words; extra columns stay.
+documents of size 0 are taken with their epochs or share but count no words; extra columns stay if named in ``keep``.
 """
 
 from __future__ import annotations

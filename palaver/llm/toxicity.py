@@ -9,7 +9,7 @@ below 0, the step goes against it. The prior is the share of toxic rows among th
 
 Cases: null and empty texts score as texts without words; null label or id rows teach nothing; an id labelled twice is
 toxic if one label says so; without confirmed examples every score is the prior; repeated rows each get their row; an empty
-table gives an empty result; extra columns stay.
+table gives an empty result; extra columns stay, but for one that has the name of ``score``'s result, which is replaced.
 """
 
 from __future__ import annotations

@@ -1,4 +1,5 @@
 import json
+import random
 
 from palaver.llm import toolcalls
 
@@ -42,3 +43,38 @@ def test_plain_turns_nulls_and_copies(spark):
 
 def test_empty_table(spark):
     assert rows(spark, []) == {}
+
+
+def depth(refs):
+    """Levels by definition: {call: level or None}."""
+    out, open_ = {}, set(refs)
+    while free := [c for c in open_ if all(r in out for r in refs[c] if r in refs)]:
+        out |= {c: 1 + max((out[r] for r in refs[c] if r in refs), default=-1) for c in free}
+        open_ -= set(free)
+    return {c: out.get(c) for c in refs}
+
+
+def test_levels_against_their_definition(spark):
+    rng = random.Random(5)
+    refs = {f"1:a{i}": [f"1:a{i - 1}"] if i else [] for i in range(70)}  # a long chain that points back
+    refs |= {f"1:b{i}": [f"1:b{(i + 1) % 9}"] for i in range(9)} | {"1:c": ["1:b3"], "1:d": ["1:d"], "1:e": ["1:c", "1:a9"]}  # circles, and calls that need them
+    refs |= {f"1:r{i}": sorted({f"1:r{rng.randrange(i)}" for _ in range(rng.randint(0, 3))} if i else set()) for i in range(60)}
+    refs["1:f"] = ["1:a9", "1:nowhere"]
+    calls = spark.createDataFrame([(1, k, i, "add", '{"a":1}', v, False) for i, (k, v) in enumerate(refs.items())], "conv_id long, call_id string, pos long, name string, arguments string, refs array<string>, implied boolean")
+    results = spark.createDataFrame([], "conv_id long, call_id string, pos long, content string")
+    got = {r.call_id: r for r in toolcalls.link(calls, results, SCHEMAS).collect()}
+    assert {k: r.topo_level for k, r in got.items()} == depth(refs)
+    assert got["1:f"].errors == "ref:1:nowhere" and got["1:a9"].errors == ""
+    assert all((r.status == "cycle") == (r.topo_level is None) for r in got.values())
+
+
+def test_plain_turns_have_levels_and_other_columns_may_clash(spark):
+    m = spark.createDataFrame([(1, t, ("user", "assistant")[t % 2], "x " * (90_000 if t == 4 else 1), "c", 7) for t in range(12)] + [(1, 40, "user", "later", "c", 7), (None, None, "user", "?", "c", 7)], "conv_id long, turn long, role string, text string, call_id string, topo_level long")
+    got = {r.call_id: (r.topo_level, r.errors) for r in toolcalls.link(toolcalls.chat_calls(m), toolcalls.chat_results(m)).collect()}
+    assert got == {f"1:{t}": (t // 2, "") for t in range(0, 12, 2)} | {"1:40": (0, ""), ":": (0, "")}
+
+
+def test_marked_call_without_identifier_or_references(spark):
+    r = rows(spark, [(1, 0, "assistant", call(name="add", arguments={"a": 1}, refs=None)), (1, 1, "assistant", "<tool_call>no json</tool_call>"), (1, 2, "assistant", call(id="k", name="add", arguments={"a": 1}, refs=[None, "k0"]))])
+    assert r["1:"].status == "no_result" and r["1:"].topo_level == 0
+    assert r["1:k"].errors == "ref:1:,ref:1:k0" or r["1:k"].errors == "ref:1:k0"
