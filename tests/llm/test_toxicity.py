@@ -70,7 +70,7 @@ def test_fit_against_a_plain_version():
     start = np.r_[np.zeros(use.sum()), np.log(prior / (1 - prior))]
     total = lambda t: prior * np.logaddexp(0, -(x[positive] @ t)).mean() + max(0, negative(t))
     assert abs(total(fitted) - total(theta)) < 0.02 * (total(start) - total(theta))
-    assert np.allclose(fitted, theta, atol=0.1)
+    assert np.allclose(fitted[:-1], theta[:-1], atol=0.02)
 
 
 def test_scores_do_not_hang_on_the_column_names(spark):
