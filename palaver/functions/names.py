@@ -1,4 +1,4 @@
-"""What an episode's name says: "2020-01-31 #12 The title"."""
+"""What an episode's name says: "2020-01-31 #12 The title", "2020-01-31 - 12. The title"."""
 
 from __future__ import annotations
 
@@ -7,12 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DATE = r"^\d{4}-\d\d-\d\d"
+_DAY = r"(?U)^\d{4}-\d\d-\d\d"
+#: The date and a dash after it.
+_LEAD = _DAY + r"\s*-?\s*"
 
 
 def date(name: Column) -> Column:
     """The leading date, '' where there is none."""
-    return F.regexp_extract(name, DATE, 0)
+    return F.regexp_extract(name, _DAY, 0)
 
 
 def year(name: Column) -> Column:
@@ -20,20 +22,39 @@ def year(name: Column) -> Column:
 
 
 def number(name: Column) -> Column:
-    """The first number after the date, a # before it or not; ''."""
-    return F.regexp_extract(F.regexp_replace(name, DATE, ""), r"^\s*#?(\d+(?:\.\d+)?)", 1)
+    """The number right after the date, a dash or # before it or not; '' where a word goes on ("12th") or no date leads."""
+    return F.regexp_extract(name, _LEAD + r"#?(\d+(?:\.\d+)?)\b", 1)
+
+
+def undated(name: Column) -> Column:
+    return F.regexp_replace(name, _LEAD, "")
 
 
 def title(name: Column) -> Column:
-    """What follows date and number; the part after the date where nothing follows."""
-    rest = F.trim(F.regexp_replace(name, DATE, ""))
-    bare = F.trim(F.regexp_replace(rest, r"^#?\d+(?:\.\d+)?[\s:.-]*", ""))
-    return F.coalesce(F.nullif(bare, F.lit("")), rest)
+    """What follows date and number; the number stays where no blank follows it, or nothing else does."""
+    rest = undated(name)
+    return F.coalesce(F.nullif(F.regexp_replace(rest, r"(?U)^#?\d+(?:\.\d+)?\.?\s+", ""), F.lit("")), rest)
+
+
+def label(name: Column) -> Column:
+    """ "#12 The title", or the title alone."""
+    return F.when(number(name) != "", F.concat(F.lit("#"), number(name), F.lit(" "), title(name))).otherwise(title(name))
 
 
 def kind(name: Column, rules: Sequence[tuple[str, str]], default: str = "Main") -> Column:
-    """The kind of the first pattern that fits, in order."""
+    """The kind of the first pattern that the name without its date fits, in order."""
     out = F.lit(default)
     for pattern, value in reversed(rules):
-        out = F.when(name.rlike(pattern), value).otherwise(out)
+        out = F.when(undated(name).rlike(pattern), value).otherwise(out)
     return out
+
+
+def period(day: Column, episode: Column, by: str) -> Column:
+    """What a row counts for when time runs by "year", "month" or "episode"."""
+    return {"year": F.substring(day, 1, 4), "month": F.substring(day, 1, 7), "episode": episode.cast("string")}[by]
+
+
+def year_fraction(day: Column) -> Column:
+    """A date as a number of years: 2020-07-02 is a little over 2020.5."""
+    part = lambda a, n: F.substring(day, a, n).try_cast("int")
+    return part(1, 4) + (part(6, 2) - 1) / 12 + (part(9, 2) - 1) / 365

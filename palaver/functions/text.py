@@ -93,3 +93,58 @@ def corrected(text: Column, rules: Iterable[tuple[str, str]]) -> tuple[Column, C
         n = n + F.regexp_count(out, F.lit(pattern))
         out = F.regexp_replace(out, pattern, new)
     return out, n
+
+
+def half_even(x: Column, digits: int = 0) -> Column:
+    """Rounded, with halves to the even digit."""
+    return F.bround(x, digits)
+
+
+def voice_label(raw: Column) -> Column:
+    """ "[Speaker 1] " for a diariser's "SPEAKER_00"; '' for none."""
+    n = F.regexp_extract(raw, r"(\d+)$", 1).try_cast("int")
+    return F.when(n.isNull(), "").otherwise(F.concat(F.lit("[Speaker "), (n + 1).cast("string"), F.lit("] ")))
+
+
+def search_terms(words: Column, most: int = 5) -> Column:
+    """An either-or search for an array of spellings: those that begin with another one are left out, phrases stand in quotes."""
+    ws = F.array_distinct(F.transform(words, F.lower))
+    keep = F.filter(ws, lambda w: ~F.exists(ws, lambda k: (k != w) & F.startswith(w, k)))
+    return F.array_join(F.transform(F.slice(keep, 1, most), lambda w: F.when(w.rlike("[ -]"), F.concat(F.lit('"'), w, F.lit('"'))).otherwise(w)), " | ")
+
+
+def last_named(text: Column, people: dict[str, Iterable[str]]) -> Column:
+    """The person whose alias stands last in the text, '' for none; at one place the first of ``people``."""
+    found = []
+    for i, (name, aliases) in enumerate(people.items()):
+        before = F.regexp_extract(text, rf"(?s)^(.*)\b(?:{'|'.join(map(re.escape, aliases))})\b", 1)
+        here = text.rlike(rf"\b(?:{'|'.join(map(re.escape, aliases))})\b")
+        found.append(F.when(here, F.struct(F.length(before).alias("at"), F.lit(-i).alias("i"), F.lit(name).alias("name"))))
+    return F.coalesce(F.array_max(F.array_compact(F.array(*found)))["name"], F.lit(""))
+
+
+def announced(line: Column, announcer: Column, people: dict[str, Iterable[str]], mine: str = r"(?i)\b(?:is|that's|and it's) (?:my fact|mine|me)\b") -> Column:
+    """Whom a hand-over names: the announcer where they speak of themselves and are known, else the last name in it."""
+    return F.when(line.rlike(mine) & announcer.isin(list(people)), announcer).otherwise(last_named(line, people))
+
+
+def handed_to(line: Column, description: Column, known: dict[str, Iterable[str]], cue: str = r"\b(?:that is|that's|and it's|it's|it is|over to|with)\s+([A-Z][a-z]+)\b", no_name: Iterable[str] = ()) -> Column:
+    """The unknown guest whom a hand-over names: in full where the description has more than the first name."""
+    first = F.regexp_extract(line, cue, 1)
+    words = F.concat(F.lit(r"(?s).*?\b("), first, F.lit(r"(?:\s+(?:[A-Z][\w'.-]*|de|van|von|al))*)\b.*"))
+    text = F.coalesce(description, F.lit(""))
+    full = F.when((first != "") & F.regexp_like(text, words), F.regexp_replace(text, words, F.lit("$1"))).otherwise("")
+    ok = (first != "") & ~first.isin([*no_name]) & (last_named(first, known) == "")
+    return F.when(ok, F.when(F.contains(full, F.lit(" ")), full).otherwise(first)).otherwise("")
+
+
+def cache_key(stamp: Column, params: Column) -> Column:
+    """A hash of an answer's data stamp and its parameters (a map), in whatever order they come."""
+    pairs = F.array_sort(F.transform(F.map_entries(params), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return F.sha1(F.concat_ws("&", stamp.cast("string"), F.array_join(pairs, "&")))
+
+
+def loudness(samples: Column) -> Column:
+    """Root mean square of an array of samples; 0 for none."""
+    total = F.aggregate(samples, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return F.when(F.size(samples) > 0, F.sqrt(total / F.size(samples))).otherwise(0.0)

@@ -4,22 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palaver.functions.text import is_person
+from palaver.functions.text import announced, is_person
 from palaver.operators import folds, joins
 
 CLIP = 400
 
 
-def sentence_ahead(lines: DataFrame, most: int = 350, reach: int = 8) -> DataFrame:
-    """lines with sentence: the line and those after it by the same or an unnamed speaker, up to the first sentence end or ``most`` characters."""
+def sentence_ahead(lines: DataFrame, most: int = 350, reach: int = 8, begin: Column | None = None) -> DataFrame:
+    """lines with sentence: the line (or what ``begin`` takes of it) and those after it by the same or an unnamed speaker, up to the first
+    sentence end or ``most`` characters."""
+    begin = F.col("text") if begin is None else begin
     w = Window.partitionBy("ep").orderBy("t", "id").rowsBetween(0, reach)
     ahead = F.collect_list(F.struct("spk", "text")).over(w)
     own = F.aggregate(
         F.slice("_ahead", 2, reach),
-        F.struct(F.col("text").alias("s"), F.lit(False).alias("stop")),
+        F.struct(begin.alias("s"), F.lit(False).alias("stop")),
         lambda a, x: F.when(a["stop"] | ((x["spk"] != "") & (x["spk"] != F.col("spk"))) | a["s"].rlike(r"(?<!\b(?:Mr|Mrs|Dr|St|vs|[A-Z]))[.?!][\"']?$") | (F.length(a["s"]) >= most), F.struct(a["s"].alias("s"), F.lit(True).alias("stop"))).otherwise(F.struct(F.concat_ws(" ", a["s"], x["text"]).alias("s"), F.lit(False).alias("stop"))),
     )
     return lines.withColumn("_ahead", ahead).withColumn("sentence", F.substring(own["s"], 1, CLIP)).drop("_ahead")
@@ -33,29 +35,31 @@ def tidy(text):
     return F.when(t.rlike(r"[.?!]$"), t).otherwise(F.concat(t, F.lit(".")))
 
 
-def extract(lines: DataFrame, hand_over: str, said: str, people: Mapping[str, Sequence[str]] | None = None, ahead: int = 60, sentence: int = 30, least: int = 25, apart: int = 90) -> DataFrame:
+def extract(lines: DataFrame, hand_over: str, said: str, people: Mapping[str, Sequence[str]] | None = None, ahead: int = 60, sentence: int = 30, least: int = 25, apart: int = 90, shortest: int = 15) -> DataFrame:
     """(ep, n, t, who, fact, src): numbered statements of each episode.
 
     A line that fits ``hand_over`` gives the first line at most ``ahead`` seconds later that fits ``said``, else the first of ``least`` characters at
     most ``sentence`` seconds later; lines that fit ``said`` count by themselves where no such slot is within ``apart``
-    seconds. Of all, those stay that come ``apart`` seconds after the last one kept. The speaker's label tells who; where it names nobody,
-    the person whose alias (``people``) the hand-over or the line has.
+    seconds. A statement begins behind the match of ``said``; those under ``shortest`` characters don't count. Of all, those stay that come
+    ``apart`` seconds after the last one kept. Who: the person whom the hand-over announces (``people``: name and aliases; the last one
+    named, or the announcer who speaks of themselves), else the label of the statement's line.
     """
-    d = sentence_ahead(lines)
-    cue = d.where(d["text"].rlike(hand_over)).select("ep", F.col("id").alias("cue"), (F.col("t") + 1).alias("t"), F.col("text").alias("cue_text"))
+    w = Window.partitionBy("ep").orderBy("t", "id")
+    head = F.substring(F.concat_ws(" ", F.regexp_extract("text", f"(?s)(?:{hand_over}).*", 0), F.substring(F.lead("text").over(w), 1, 60)), 1, 120)
+    begin = F.when(F.col("text").rlike(said), F.regexp_replace("text", f"(?s)^.*?(?:{said})", "")).otherwise(F.col("text"))
+    d = sentence_ahead(lines, begin=begin).withColumn("fact", tidy(F.col("sentence")))
+    cue = d.withColumn("cue_text", head).where(d["text"].rlike(hand_over)).select("ep", F.col("id").alias("cue"), (F.col("t") + 1).alias("t"), "cue_text", F.col("spk").alias("cue_spk"))
+    d = d.where(F.length("fact") >= shortest)
     rows = d.select("ep", F.col("id").alias("r_id"), F.col("t").alias("r_t"), "text")
     first = joins.first_ahead(cue, rows.where(F.col("text").rlike(said)), ["ep"], ahead - 1)
     plain = joins.first_ahead(joins.pending(cue, first, ["ep", "cue"]), rows.where(F.length("text") >= least), ["ep"], sentence - 1)
-    slots = first.unionByName(plain).select("ep", F.col("r_id").alias("id"), F.col("r_t").alias("t"), "cue_text").dropDuplicates(["ep", "id"]).withColumn("src", F.lit("announced"))
+    slots = first.unionByName(plain).select("ep", F.col("r_id").alias("id"), F.col("r_t").alias("t"), "cue_text", "cue_spk").dropDuplicates(["ep", "id"]).withColumn("src", F.lit("announced"))
     own = d.where(F.col("text").rlike(said)).select("ep", "id", "t")
     near = joins.nearest(own, slots.select("ep", F.col("id").alias("r_id"), F.col("t").alias("r_t")), ["ep"], apart - 1)
-    alone = joins.pending(own, near, ["ep", "id"]).withColumns({"cue_text": F.lit(""), "src": F.lit("said")})
+    alone = joins.pending(own, near, ["ep", "id"]).withColumns({"cue_text": F.lit(""), "cue_spk": F.lit(""), "src": F.lit("said")})
     kept = folds.keep_apart(slots.unionByName(alone).select("ep", "id", "t"), apart)
-    full = kept.join(slots.unionByName(alone).drop("t"), ["ep", "id"]).join(d.select("ep", "id", "spk", "text", "sentence"), ["ep", "id"])
-    who = F.when(is_person(F.col("spk")), F.col("spk"))
-    for name, aliases in (people or {}).items():
-        from palaver.functions.text import word_pattern
-
-        who = F.coalesce(who, F.when(F.concat_ws(" ", "cue_text", "text").rlike(word_pattern(aliases)), name))
+    full = kept.join(slots.unionByName(alone).drop("t"), ["ep", "id"]).join(d.select("ep", "id", "spk", "fact"), ["ep", "id"])
+    named = F.nullif(announced(F.col("cue_text"), F.col("cue_spk"), dict(people)), F.lit("")) if people else F.lit(None).cast("string")
+    who = F.coalesce(named, F.when(is_person(F.col("spk")), F.col("spk")), F.lit(""))
     line = Window.partitionBy("ep").orderBy("t", "id")
-    return full.select("ep", F.row_number().over(line).alias("n"), "t", F.coalesce(who, F.lit("")).alias("who"), tidy(F.col("sentence")).alias("fact"), "src")
+    return full.select("ep", F.row_number().over(line).alias("n"), "t", who.alias("who"), "fact", "src")

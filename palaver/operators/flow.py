@@ -48,3 +48,14 @@ def longest_runs(lines: DataFrame, top: int = 12, start: int = 180, end: int = 6
     r = r.where(person & (F.round("sec", 6) >= least) & (F.col("begins") >= start) & (F.col("begins") + F.col("sec") <= F.col("_last") - end) & F.col("_b").isNotNull() & F.col("_a").isNotNull())
     line = Window.partitionBy("spk").orderBy(F.desc(F.round("sec", 6)), "ep", "begins")
     return r.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= top).select("ep", "spk", F.col("begins").cast("long").alias("begins"), F.round("sec", 6).alias("sec"), "lines", "rank")
+
+
+def pieces(lines: DataFrame, dash: str, least: float = 0.0) -> DataFrame:
+    """(ep, turn, piece, spk, begins, sec, lines): persons' turns, cut at lines in which a dash marks a second voice; those lines are in no piece.
+
+    lines come with sec; only pieces of ``least`` seconds stay.
+    """
+    second = F.col("text").rlike(dash)
+    t = turns(lines).withColumn("piece", F.sum(second.cast("int")).over(Window.partitionBy("ep", "turn").orderBy("t", "id")))
+    g = t.where(~second & is_person(F.col("spk"))).groupBy("ep", "turn", "piece").agg(F.first("spk").alias("spk"), F.min("t").alias("begins"), F.round(F.sum("sec"), 6).alias("sec"), F.count(F.lit(1)).alias("lines"))
+    return g.where(F.col("sec") >= least)

@@ -167,9 +167,10 @@ def align(mentions: DataFrame, reads: DataFrame, within: int = 20) -> DataFrame:
 def speaker_runs(words: DataFrame, shortest: float = 0.5, reach: int = 3) -> DataFrame:
     """(path, seg, run, start, end, spk, text): a segment's words cut where the speaker changes.
 
-    words are (path, seg, pos, word, start, end, spk). A single word between two of one other speaker takes theirs; a run of under two words
-    and ``shortest`` seconds joins its longer neighbour until none is left; a cut moves to the nearest sentence end within ``reach``
-    words, and isn't made where there is none; a piece has the speaker of most of its words, and equal neighbours are one.
+    words are (path, seg, pos, word, start, end, spk). A single word between two of one other speaker takes theirs; runs of under two words
+    and ``shortest`` seconds join the run before them (the one after, at the start), until none or nothing else is left; a cut moves to the
+    nearest sentence end within ``reach`` words, and isn't made where there is none; a piece has the speaker of most of its words (of
+    equally many, the first), and equal neighbours are one.
     """
 
     def step(pdf):
@@ -179,13 +180,15 @@ def speaker_runs(words: DataFrame, shortest: float = 0.5, reach: int = 3) -> Dat
             a, b = g["start"].tolist(), g["end"].tolist()
             n = len(word)
             smooth = [who[i - 1] if 0 < i < n - 1 and who[i - 1] == who[i + 1] != who[i] else who[i] for i in range(n)]
-            runs = [i for i in range(n) if i == 0 or smooth[i] != smooth[i - 1]] + [n]
-            while len(runs) > 2:
-                thin = next((k for k in range(len(runs) - 1) if runs[k + 1] - runs[k] < 2 and b[runs[k + 1] - 1] - a[runs[k]] < shortest), None)
-                if thin is None:
+            while True:
+                runs = [i for i in range(n) if i == 0 or smooth[i] != smooth[i - 1]] + [n]
+                thin = [(i, j) for i, j in zip(runs, runs[1:], strict=False) if j - i < 2 and b[j - 1] - a[i] < shortest]
+                if not thin or len(thin) == len(runs) - 1:
                     break
-                size = lambda k: runs[k + 1] - runs[k] if 0 <= k < len(runs) - 1 else -1
-                runs.pop(thin if size(thin - 1) >= size(thin + 1) else thin + 1)
+                firm = pd.Series(smooth, dtype=object)
+                for i, j in thin:
+                    firm[i:j] = None
+                smooth = firm.ffill().bfill().tolist()
             cuts = []
             for c in runs[1:-1]:
                 ends = [i for i in range(max(1, c - reach), min(n - 1, c + reach) + 1) if _END.search(word[i - 1] or "")]
@@ -194,7 +197,7 @@ def speaker_runs(words: DataFrame, shortest: float = 0.5, reach: int = 3) -> Dat
             edges = sorted({0, n, *cuts})
             pieces: list[list] = []
             for i, j in zip(edges, edges[1:], strict=False):
-                most = max(sorted(set(smooth[i:j])), key=smooth[i:j].count)
+                most = max(dict.fromkeys(smooth[i:j]), key=smooth[i:j].count)
                 if pieces and pieces[-1][2] == most:
                     pieces[-1][1] = j
                 else:

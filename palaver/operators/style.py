@@ -72,3 +72,39 @@ def fragments(texts: DataFrame, least: int = 3, share: float = 1 / 3) -> DataFra
 def fewer(a: DataFrame, b: DataFrame, key: str = "word", n: str = "n") -> DataFrame:
     """The multiset difference a - b: what is left above 0."""
     return a.join(b.select(key, F.col(n).alias("_b")), key, "left").withColumn(n, F.col(n) - F.coalesce("_b", F.lit(0))).where(F.col(n) > 0).drop("_b")
+
+
+def combined(a: DataFrame, b: DataFrame, key: str = "word", n: str = "n") -> DataFrame:
+    """The multiset sum a + b."""
+    return a.select(key, n).unionByName(b.select(key, n)).groupBy(key).agg(F.sum(n).alias(n))
+
+
+def trimmed(ranked: DataFrame, by: str, drop: DataFrame, k: int = 20) -> DataFrame:
+    """The first ``k`` of each group once the words of drop are out: ranked comes with more, so that the list stays full."""
+    left = ranked.join(drop.select("word").distinct(), "word", "left_anti")
+    return left.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("rank"))).where(F.col("rank") <= k)
+
+
+def year_words(counts: DataFrame, skip=(), furniture=(), show: str = "person", least: int = 30, episodes: int = 8, share: float = 0.05, lift: float = 2.0, year_least: int = 10, length: int = 3, k: int = 20) -> DataFrame:
+    """(show, year, word, z, n, eps, rank): the words that set a year apart from the show's other years, by counts capped per episode.
+
+    A word has to be said ``least`` times (uncapped), in ``episodes`` episodes and a ``share`` of the year's, ``lift`` times the share of
+    episodes it gets in other years; what is said about once an episode in many episodes, or in three quarters of them, is furniture.
+    Years with fewer than ``year_least`` episodes have no words. The list is as long as ``trimmed`` may need: twice ``k``.
+    """
+    f = counts.groupBy(show, "year", "word").agg(F.sum("n").alias("n"), F.sum("capped").alias("cap"), F.count(F.lit(1)).alias("eps"))
+    word = f.groupBy("word").agg(F.sum("cap").alias("prior"))
+    whole = f.groupBy(show, "word").agg(F.sum("cap").alias("whole"), F.sum("eps").alias("whole_eps"))
+    year = counts.groupBy(show, "year").agg(F.count_distinct("ep").alias("n_eps"), F.sum("capped").alias("n_a"))
+    all_ = year.groupBy(show).agg(F.sum("n_eps").alias("all_eps"), F.sum("n_a").alias("n_all"))
+    total = all_.agg(F.sum("n_all").alias("n_prior"))
+    year = year.where(F.col("n_eps") >= year_least).join(all_, show).join(F.broadcast(total))  # a row a year and show
+    c = f.where((F.col("n") >= least) & (F.length("word") >= length) & ~F.col("word").isin([*skip, *furniture]))
+    j = c.join(year, [show, "year"]).join(whole, [show, "word"]).join(word, "word")
+    need = F.greatest(F.lit(episodes), F.ceil(F.lit(share) * F.col("n_eps")))
+    other = (F.col("whole_eps") - F.col("eps") + 1) / F.greatest(F.col("all_eps") - F.col("n_eps"), F.lit(1))
+    j = j.where((F.col("eps") >= need) & (F.col("eps") / F.col("n_eps") >= lift * other) & (F.col("eps") < 0.75 * F.col("n_eps")))
+    j = j.where(~((F.col("n") < 1.25 * F.col("eps")) & (F.col("eps") >= F.greatest(F.lit(10.0), F.col("n_eps") / 4))))
+    z = log_odds(F.col("cap"), F.col("n_a"), F.col("whole") - F.col("cap"), F.col("n_all") - F.col("n_a"), F.col("prior"), F.col("n_prior"))
+    s = j.select(show, "year", "word", F.round(z, 6).alias("z"), "n", "eps").where("z > 0")
+    return s.withColumn("rank", F.row_number().over(Window.partitionBy(show, "year").orderBy(F.desc("z"), "word"))).where(F.col("rank") <= 2 * k)

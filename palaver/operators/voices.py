@@ -56,17 +56,23 @@ def best_names(scores: DataFrame) -> DataFrame:
     """(ep, label, name, score, margin): the median over windows, the best name and its lead over the second."""
     m = scores.groupBy("ep", "label", "name").agg(F.round(F.median("score"), 6).alias("score"))
     w = Window.partitionBy("ep", "label").orderBy(F.desc("score"), "name")
-    r = m.withColumns({"rank": F.row_number().over(w), "margin": F.round(F.col("score") - F.lead("score").over(w), 6)})
+    r = m.withColumns({"rank": F.row_number().over(w), "margin": F.round(F.col("score") - F.coalesce(F.lead("score").over(w), F.lit(0.0)), 6)})
     return r.where("rank = 1").drop("rank")
 
 
-def second_chance(best: DataFrame, regulars, taken: DataFrame, least: float = 0.47, margin: float = 0.12) -> DataFrame:
-    """Of the labels without a name, one each for regulars that an episode hasn't found yet, best score first."""
-    free = best.where(F.col("name").isin(list(regulars)) & (F.col("score") >= least) & (F.col("margin") >= margin)).join(taken.select("ep", "name"), ["ep", "name"], "left_anti")
+def second_chance(best: DataFrame, regulars, taken: DataFrame, least: float = 0.47, margin: float = 0.12, speech: float = 120) -> DataFrame:
+    """Of the labels without a name (with sec, their seconds of speech), one each for regulars that an episode hasn't found yet, best score first."""
+    good = F.col("name").isin(list(regulars)) & (F.col("sec") >= speech) & (F.col("score") >= least) & (F.col("margin") >= margin)
+    free = best.where(good).join(taken.select("ep", "name"), ["ep", "name"], "left_anti")
     w = Window.partitionBy("ep", "name").orderBy(F.desc("score"), "label")
     return free.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
 
 
+def speech_seconds(segments: DataFrame) -> DataFrame:
+    """(ep, label, sec): a voice's seconds of speech, of rows (ep, label, start, end)."""
+    return segments.groupBy("ep", "label").agg(F.sum(F.col("end") - F.col("start")).alias("sec"))
+
+
 def centroids(rows: DataFrame, by: str = "name") -> DataFrame:
     """(by, emb): the mean of a group's vectors at length 1."""
     mean = rows.select(by, F.posexplode("emb").alias("k", "x")).groupBy(by, "k").agg(F.avg(F.col("x").cast("double")).alias("x"))
@@ -83,16 +89,31 @@ def similarities(cents: DataFrame, by: str = "name") -> DataFrame:
 def fold(unnamed: DataFrame, named: DataFrame, least: float = 0.65, lead: float = 0.15) -> DataFrame:
     """(ep, label, into, sim): unnamed voices that are a named voice of their episode split in two."""
     j = unnamed.join(named.select("ep", F.col("name").alias("into"), F.col("emb").alias("other")), "ep").withColumn("sim", dot(F.col("emb"), F.col("other")))
+    j = j.groupBy("ep", "label", "into").agg(F.max("sim").alias("sim"))  # a person's own voices don't compete with each other
     w = Window.partitionBy("ep", "label").orderBy(F.desc("sim"), "into")
     r = j.withColumns({"rank": F.row_number().over(w), "next": F.lead("sim").over(w)})
     return r.where((F.col("rank") == 1) & (F.col("sim") >= least) & (F.coalesce(F.col("sim") - F.col("next"), F.lit(1.0)) >= lead)).select("ep", "label", "into", "sim")
 
 
 def guess_guests(voices: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(ep, label, name, source): leftover voices by talk time meet candidates by score; "sure" where there is one of each."""
-    v = voices.withColumns({"rank": F.row_number().over(Window.partitionBy("ep").orderBy(F.desc("sec"), "label")), "n": F.count(F.lit(1)).over(Window.partitionBy("ep"))})
-    c = candidates.withColumns({"rank": F.row_number().over(Window.partitionBy("ep").orderBy(F.desc("score"), "name")), "m": F.count(F.lit(1)).over(Window.partitionBy("ep"))})
-    return v.join(c, ["ep", "rank"]).select("ep", "label", "name", F.when((F.col("n") == 1) & (F.col("m") == 1), "sure").otherwise("guess").alias("source"))
+    """(ep, label, name, source): voices without a name (of all voices: ep, label, sec, name, source) by talk time meet candidates by score.
+
+    "sure" where there is one of each and every other voice has its name from a voiceprint.
+    """
+    ep = Window.partitionBy("ep")
+    open_ = F.coalesce("name", F.lit("")) == ""
+    v = voices.withColumn("known", F.bool_and(open_ | (F.coalesce("source", F.lit("")) == "voiceprint")).over(ep)).where(open_)
+    v = v.withColumns({"rank": F.row_number().over(ep.orderBy(F.desc("sec"), "label")), "n": F.count(F.lit(1)).over(ep)}).drop("name", "source")
+    c = candidates.withColumns({"rank": F.row_number().over(ep.orderBy(F.desc("score"), "name")), "m": F.count(F.lit(1)).over(ep)})
+    return v.join(c, ["ep", "rank"]).select("ep", "label", "name", F.when((F.col("n") == 1) & (F.col("m") == 1) & F.col("known"), "sure").otherwise("guess").alias("source"))
+
+
+def redo_guests(voices: DataFrame, candidates: DataFrame) -> DataFrame:
+    """All voices with guesses made anew: what was guessed is forgotten, names from voiceprints and by hand stay."""
+    guessed = F.coalesce("source", F.lit("")).isin("guess", "sure")
+    bare = voices.withColumns({"name": F.when(guessed, None).otherwise(F.col("name")), "source": F.when(guessed, None).otherwise(F.col("source"))})
+    new = guess_guests(bare, candidates).select("ep", "label", F.col("name").alias("_name"), F.col("source").alias("_source"))
+    return bare.join(new, ["ep", "label"], "left").withColumns({"name": F.coalesce("_name", "name"), "source": F.coalesce("_source", "source")}).drop("_name", "_source")
 
 
 def sample_windows(turns: DataFrame, trim: float = 0.3, size: float = 4.0, least: float = 2.0, most: int = 24) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palaver.plans import ingest, misc, talk, words
+from palaver.plans import ingest, misc, pages, shows, talk, words
 
-QUERIES: dict = {**talk.QUERIES, **words.QUERIES, **misc.QUERIES, **ingest.QUERIES}
-ORACLES: dict[str, str] = {**talk.ORACLES, **words.ORACLES, **misc.ORACLES, **ingest.ORACLES}
+QUERIES: dict = {**talk.QUERIES, **words.QUERIES, **misc.QUERIES, **ingest.QUERIES, **pages.QUERIES, **shows.QUERIES}
+ORACLES: dict[str, str] = {**talk.ORACLES, **words.ORACLES, **misc.ORACLES, **ingest.ORACLES, **pages.ORACLES, **shows.ORACLES}

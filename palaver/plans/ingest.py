@@ -1,4 +1,4 @@
-"""Captions, folds, edits and stemmed search over the tables; the folds have no SQL and are tested on small inputs."""
+"""Captions, folds, edits and stemmed search over the tables. Folds over sentences have recursive SQL; what runs in Python is tested on small inputs."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from palaver.functions.stem import has_phrase, stems
 from palaver.functions.text import seconds
 from palaver.operators import edits, folds
 from palaver.plans.bindings import table
+from palaver.plans.pages import _S, sentences
 from palaver.plans.words import _M, messages
 from palaver.sources import captions
 
@@ -39,15 +40,20 @@ def _edited(s, d):
     return edits.apply_edits(m, _edits(s, d), auto, made).select("ep", "id", "t", "spk", "src", F.md5("text").alias("text"))
 
 
+def _pieces(s, d):
+    """Sentences as cues of two and a half seconds, one every three."""
+    return sentences(s, d).select(F.col("ep").cast("string").alias("path"), F.col("id").alias("pos"), F.col("t").cast("double").alias("start"), (F.col("t") + 2.5).alias("end"), F.col("spk").alias("label"), "text")
+
+
 QUERIES = {
     "cue_parse": lambda s, d: _cues(s, d).select("path", "pos", "start", "end", "label", F.md5("text").alias("text")),
     "cue_names": lambda s, d: captions.named(_cues(s, d)).select("path", "pos", "label", "number"),
     "cue_turns": lambda s, d: captions.turns(_cues(s, d), 1.5).select("path", "label", "start", "end"),
     "cue_lines": lambda s, d: captions.to_lines(_cues(s, d)).select("ep", "id", "t", "spk"),
     "time_seconds": lambda s, d: table(s, d, "events").select("event_id", F.round(seconds(F.concat((F.col("user_id") % 3).cast("string"), F.lit(":"), (F.col("event_id") % 60).cast("string"), F.lit(":07,25"))), 6).alias("sec")),
-    "merge_cues": lambda s, d: folds.merge_cues(_cues(s, d)),
-    "merge_sentences": lambda s, d: folds.merge_sentences(_cues(s, d).select("path", "start", "end", "text"), 1.5),
-    "joined_turns": lambda s, d: folds.joined_turns(messages(s, d)),
+    "merge_cues": lambda s, d: folds.merge_cues(_pieces(s, d)).withColumn("text", F.md5("text")),
+    "merge_sentences": lambda s, d: folds.merge_sentences(_pieces(s, d).select("path", "start", "end", "text")).withColumn("text", F.md5("text")),
+    "joined_turns": lambda s, d: folds.joined_turns(sentences(s, d)).withColumn("text", F.md5("text")),
     "interval_dedupe": lambda s, d: folds.keep_apart(messages(s, d), 15),
     "split_long": lambda s, d: folds.split_long(_cues(s, d).select("path", "start", (F.col("end") + 70).alias("end"), "text")),
     "collapse_loops": lambda s, d: table(s, d, "documents").select("doc_id", F.md5(folds.collapse_loops(F.col("text"))).alias("text")),
@@ -95,3 +101,30 @@ QUERIES |= {"name_fixes": _corrected, "speaker_runs": lambda s, d: folds.speaker
 ORACLES["name_fixes"] = f"""WITH {_M}, a AS (SELECT ep, id, replace(text, 'The la ', 'la ') AS x, len(regexp_extract_all(text, 'The la ')) AS n1 FROM m),
 b AS (SELECT *, replace(x, 'der ', 'die ') AS y, len(regexp_extract_all(x, 'der ')) AS n2 FROM a)
 SELECT ep, id, md5(replace(y, 'die die ', 'die ')) AS text, CAST(n1 + n2 + len(regexp_extract_all(y, 'die die ')) AS BIGINT) AS n FROM b"""
+
+#: A sentence's end, quotes and brackets after it or not.
+_END = """[.?!…]["''”’)]*$"""
+#: Rows of an episode in order; each step of the recursion puts the next row to the group held, or begins one.
+_FOLDS = {
+    "interval_dedupe": f"""WITH RECURSIVE {_M}, r AS (SELECT ep, arg_min(id, row(t, id)) AS id, min(t) AS t FROM m GROUP BY ep
+      UNION ALL SELECT r.ep, arg_min(m.id, row(m.t, m.id)), min(m.t) FROM r JOIN m ON m.ep = r.ep AND m.t >= r.t + 15 GROUP BY r.ep) SELECT ep, id, t FROM r""",
+    "joined_turns": f"""WITH RECURSIVE {_S}, i AS (SELECT *, row_number() OVER (PARTITION BY ep ORDER BY t, id) AS k FROM s),
+      r AS (SELECT ep, k, t AS t0, spk, text, 1 AS g FROM i WHERE k = 1 UNION ALL
+        SELECT ep, k, CASE WHEN j THEN t0 ELSE t END, spk, CASE WHEN j THEN old || ' ' || text ELSE text END, CASE WHEN j THEN g ELSE g + 1 END
+        FROM (SELECT i.ep, i.k, i.t, i.spk, i.text, r.t0, r.text AS old, r.g, i.spk = r.spk AND i.t - r.t0 < 40 AND NOT regexp_matches(r.text, '[.?!]$') AS j FROM r JOIN i ON i.ep = r.ep AND i.k = r.k + 1))
+      SELECT ep, min(t0) AS t, any_value(spk) AS spk, md5(arg_max(text, k)) AS text FROM r GROUP BY ep, g""",
+    "merge_sentences": f"""WITH RECURSIVE {_S}, i AS (SELECT ep, t::DOUBLE AS a, t + 2.5::DOUBLE AS b, text, row_number() OVER (PARTITION BY ep ORDER BY t, id) AS k FROM s),
+      r AS (SELECT ep, k, a AS a0, b, text, 1 AS g FROM i WHERE k = 1 UNION ALL
+        SELECT ep, k, CASE WHEN j THEN a0 ELSE a END, b, CASE WHEN j THEN trim(old || ' ' || text) ELSE text END, CASE WHEN j THEN g ELSE g + 1 END
+        FROM (SELECT i.ep, i.k, i.a, i.b, i.text, r.a0, r.text AS old, r.g, NOT regexp_matches(r.text, '{_END}') AND i.a - r.b <= 1 AND i.b - r.a0 <= 30 AS j FROM r JOIN i ON i.ep = r.ep AND i.k = r.k + 1))
+      SELECT CAST(ep AS VARCHAR) AS path, min(a0) AS start, max(b) AS "end", md5(arg_max(text, k)) AS text FROM r GROUP BY ep, g""",
+    "merge_cues": rf"""WITH RECURSIVE {_S}, z AS (SELECT ep, id, t::DOUBLE AS a, t + 2.5::DOUBLE AS b, spk, trim(regexp_replace(regexp_replace(text, '\[[^\]]*\]', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM s),
+      i AS (SELECT *, row_number() OVER (PARTITION BY ep ORDER BY a, id) AS k FROM z WHERE text <> ''),
+      r AS (SELECT ep, k, a AS a0, b, spk, text, 1 AS g FROM i WHERE k = 1 UNION ALL
+        SELECT ep, k, CASE WHEN j THEN a0 ELSE a END, b, spk, CASE WHEN j THEN old || ' ' || text ELSE text END, CASE WHEN j THEN g ELSE g + 1 END
+        FROM (SELECT i.ep, i.k, i.a, i.b, i.spk, i.text, r.a0, r.text AS old, r.g, i.spk = r.spk AND NOT (length(r.text) >= 320 OR length(r.text) >= 60 AND regexp_matches(r.text, '{_END}')) AS j FROM r JOIN i ON i.ep = r.ep AND i.k = r.k + 1))
+      SELECT CAST(ep AS VARCHAR) AS path, min(a0) AS start, max(b) AS "end", any_value(spk) AS label, md5(arg_max(text, k)) AS text FROM r GROUP BY ep, g""",
+    "split_long": rf"""WITH {_M}, w AS (SELECT ep, t + 0.5::DOUBLE AS a, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM m WHERE regexp_matches(text, '\S')), n AS (SELECT *, greatest(1, least(len(w), 3)) AS n FROM w),
+      k AS (SELECT *, unnest(range(n)) AS k FROM n) SELECT CAST(ep AS VARCHAR) AS path, a + k * (76.0::DOUBLE / n) AS start, CASE WHEN n = 1 THEN a + 30 ELSE a + (k + 1) * (76.0::DOUBLE / n) END AS "end", array_to_string(w[len(w) * k // n + 1 : len(w) * (k + 1) // n], ' ') AS text FROM k""",
+}
+ORACLES |= _FOLDS
