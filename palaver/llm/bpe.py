@@ -7,8 +7,8 @@ the positions that wait for them; ids become text by a join with the vocabulary.
 Texts wait in blocks: a block is a run of documents within a partition, at most ``BLOCK_CHARS`` characters or one
 document more. It sends each of its distinct words once, and keeps each document's sequence of word places, compressed. So
 a word as frequent as it may be is a row a block, and no group exceeds a block. Words and sequences are two reads of
-the texts; a block's name is a hash of its content, and rows that changed between the reads end the run
-with an error instead of wrong ids.
+the texts. Input that doesn't come straight from files is written to the shared folder first, so that both reads meet the same rows,
+also where a task runs again; blocks that don't fit each other end the run with an error.
 
 Words are cut as the tokenizer file says (normalizer, then Split): texts of common Latin characters by an equal
 regular expression, all others by the library. Strings of special tokens in a text are their ids, as in the library.
@@ -41,7 +41,7 @@ from palaver.llm.common import give_back, lean, lean_group, steady, table
 
 BLOCK_CHARS = 14_000_000
 #: Documents whose word places are compressed together.
-CHUNK = 256
+CHUNK = 512
 #: Characters that need no library to be cut: they stay as they are under NFC.
 _PLAIN = "\t\n\r" + "".join(chr(c) for r in (range(0x20, 0x7F), range(0xA1, 0x180), range(0x2010, 0x2028)) for c in r if c != 0xAD)
 #: The Split pattern for which the equal expression below is made.
@@ -97,8 +97,8 @@ def _places(b: bytes, unzip: zstandard.ZstdDecompressor) -> np.ndarray:
 def _blocks(it: Iterator[pa.RecordBatch], path: str, block_chars: int) -> Iterator[tuple[int, list[str], list[np.ndarray], list[pa.RecordBatch]]]:
     """Blocks of a partition's rows, text first: a name, the distinct words, each row's word places, the rows.
 
-    Words stand by falling frequency. The name is a hash of the block's number and content, so that a task which runs again gives its
-    blocks the same names, and one that meets other rows doesn't.
+    Words stand by falling frequency. The name is partition, number and eight bits of a hash of the content: short, as every word that comes
+    back carries it, the same when a task runs again, and most likely another one for other rows.
     """
     cut, places = word_splitter(path), defaultdict()
     places.default_factory = places.__len__
@@ -117,7 +117,7 @@ def _blocks(it: Iterator[pa.RecordBatch], path: str, block_chars: int) -> Iterat
         h = xxhash.xxh3_64(f"{part}.{done}.{len(docs)}")
         h.update("\n".join(words).encode("utf-8", "surrogatepass"))
         h.update(at.tobytes())
-        return h.intdigest() >> 1, words, moved, rows
+        return (part << 28) + (done << 8) + (h.intdigest() & 0xFF), words, moved, rows
 
     def others(batch: pa.RecordBatch, begin: int, end: int) -> pa.RecordBatch:
         """A copy of the columns but the text, so that no text waits for its block's end."""
