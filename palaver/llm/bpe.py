@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 
 from palaver.llm.common import give_back, lean, lean_group, steady, table
 
-BLOCK_CHARS = 14_000_000
+#: Characters of a block. Larger blocks send fewer words twice (disk), smaller ones take less of a worker's memory; the result is the same.
+BLOCK_CHARS = 32_000_000
 #: Documents whose word places are compressed together.
 CHUNK = 256
 #: Characters that need no library to be cut: they stay as they are under NFC.
