@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palaver.llm.common import checkpoint, components, if_small, table
+from palaver.llm.common import BROADCAST_ROWS, checkpoint, components, if_small, table
 
 THRESHOLD = 0.93
 FLOOR = 0.85
@@ -114,10 +114,14 @@ def tables_of(v: DataFrame, n: int, seed: int, block: int = BLOCK, k: int = K) -
 
 
 def _lists(rows: DataFrame, k: int) -> DataFrame:
-    """(u, v, cos, new): the k best of each u; a pair that was there already isn't new. Ties fall by a hash."""
+    """(u, v, cos, new, rank, worst): the k best of each u; a pair that was there already isn't new. Ties fall by a hash.
+
+    worst is what an entry has to exceed: a full list's least cosine, else -2.
+    """
     one = rows.repartition("u").groupBy("u", "v").agg(F.max("cos").alias("cos"), F.min("new").alias("new"))
     line = Window.partitionBy("u").orderBy(F.desc("cos"), F.xxhash64("u", "v"), "v")
-    return checkpoint(one.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= k).drop("rank"))
+    best, own = one.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= k), Window.partitionBy("u")
+    return checkpoint(best.withColumn("worst", F.when(F.count(F.lit(1)).over(own) >= k, F.min("cos").over(own)).otherwise(-2.0)))
 
 
 def descend(v: DataFrame, edges: DataFrame, via: DataFrame | None = None, k: int = K, change: float = CHANGE) -> DataFrame:
@@ -131,7 +135,8 @@ def descend(v: DataFrame, edges: DataFrame, via: DataFrame | None = None, k: int
     turned = edges.select("u", "v", "cos").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "cos"))
     lists = _lists(turned.withColumn("new", F.lit(True)), k)
     total, changed, turn = lists.count(), 1 << 62, 0
-    blocks = max(1, v.count() // 512)
+    size = v.count()
+    blocks = max(1, size // 512)
 
     def compare(t: pa.Table) -> pa.Table:
         dim = t.column("dim")[0].as_py()
@@ -172,11 +177,12 @@ def descend(v: DataFrame, edges: DataFrame, via: DataFrame | None = None, k: int
             met = met.unionByName(via.select(F.col("u").alias("mid"), F.col("v").alias("nb"), F.lit(False).alias("new")))
         met = met.repartition("mid").groupBy("mid", "nb").agg(F.max("new").alias("new"))
         met = met.withColumn("any", F.max("new").over(Window.partitionBy("mid"))).where("any").drop("any")
-        worst = lists.groupBy("u").agg(F.when(F.count(F.lit(1)) >= k, F.min("cos")).otherwise(-2.0).alias("worst"))
-        state = v.select(F.col("id").alias("nb"), "dim", "q", "own").join(worst.withColumnRenamed("u", "nb"), "nb", "left").withColumn("worst", F.coalesce("worst", F.lit(-2.0)))
+        worst = lists.where("rank = 1").select(F.col("u").alias("nb"), "worst")
+        worst = F.broadcast(worst) if size <= BROADCAST_ROWS else worst  # a row a vector at most
+        state = v.select(F.col("id").alias("nb"), "dim", "q", "own").join(worst, "nb", "left").withColumn("worst", F.coalesce("worst", F.lit(-2.0)))
         rows = met.join(state, "nb").withColumn("block", F.pmod(F.xxhash64("mid"), F.lit(blocks)))
         found = rows.groupBy("dim", "block").applyInArrow(compare, f"u {kind}, v {kind}, cos double")
-        lists = _lists(lists.withColumn("new", F.lit(False)).unionByName(found.withColumn("new", F.lit(True))), k)
+        lists = _lists(lists.select("u", "v", "cos", F.lit(False).alias("new")).unionByName(found.withColumn("new", F.lit(True))), k)
         total, changed = lists.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("new").cast("int")), F.lit(0))).first()
         turn += 1
     return lists.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "cos").groupBy("u", "v").agg(F.max("cos").alias("cos"))
@@ -189,7 +195,7 @@ def clusters_of(v: DataFrame, edges: DataFrame, tables: int, seed: int, k: int =
     outside their cluster, until these connect no more clusters.
     """
     edges = checkpoint(edges)
-    q = quantised(v)
+    q = v if "q" in v.columns else quantised(v)
     turned = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "cos"))
     full = checkpoint(turned.where(F.col("cos") >= floor).groupBy("u").count().where(F.col("count") >= k).select("u"))
     via = turned.withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("cos"), F.xxhash64("u", "v"), "v"))).where(F.col("rank") <= k)
@@ -276,11 +282,12 @@ def audit(v: DataFrame, found: DataFrame, threshold: float = THRESHOLD, most: in
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, floor: float = FLOOR, tables: int = TABLES, most_tries: int = 4) -> DataFrame:
     """(id, n_links, component_id, kept) per row of df."""
     v = checkpoint(unit_vectors(df, id_col, vector_col, label_col))
+    q = checkpoint(quantised(v))
     edges, recall = None, 0.0
     for attempt in range(most_tries):
-        new = tables_of(v, tables << attempt, attempt)
-        edges = checkpoint(descend(v, new if edges is None else edges.unionByName(new)))
-        clusters = clusters_of(v, edges, tables << attempt, attempt, floor=floor)
+        new = tables_of(q, tables << attempt, attempt)
+        edges = checkpoint(descend(q, new if edges is None else edges.unionByName(new)))
+        clusters = clusters_of(q, edges, tables << attempt, attempt, floor=floor)
         parts = checkpoint(links_within(v, clusters, threshold))
         found = checkpoint(parts.groupBy("id").agg(F.sum("n_links").alias("n_links")))
         recall = audit(v, found, threshold)
