@@ -168,14 +168,14 @@ def descend(v: DataFrame, edges: DataFrame, via: DataFrame | None = None, k: int
         return pa.table({"u": names[a[best]], "v": names[b[best]], "cos": c[best].astype(float)})
 
     while changed > change * total:
-        fwd = lists.select(F.col("u").alias("mid"), F.col("v").alias("nb"), "new")
-        rev = lists.select(F.col("v").alias("mid"), F.col("u").alias("nb"), "new")
-        line = Window.partitionBy("mid").orderBy(F.desc("new"), F.xxhash64(F.lit(turn), "mid", "nb"), "nb")
-        rev = rev.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= k).drop("rank")
-        met = fwd.unionByName(rev)
+        # own list, those that list it, via: dealt out by mid once, at most k of each
+        met = lists.select(F.col("u").alias("mid"), F.col("v").alias("nb"), "new", F.lit(0).alias("kind"))
+        met = met.unionByName(lists.select(F.col("v").alias("mid"), F.col("u").alias("nb"), "new", F.lit(1).alias("kind")))
         if via is not None:
-            met = met.unionByName(via.select(F.col("u").alias("mid"), F.col("v").alias("nb"), F.lit(False).alias("new")))
-        met = met.repartition("mid").groupBy("mid", "nb").agg(F.max("new").alias("new"))
+            met = met.unionByName(via.select(F.col("u").alias("mid"), F.col("v").alias("nb"), F.lit(False).alias("new"), F.lit(2).alias("kind")))
+        line = Window.partitionBy("mid", "kind").orderBy(F.desc("new"), F.xxhash64(F.lit(turn), "mid", "nb"), "nb")
+        met = met.repartition("mid").withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= k)
+        met = met.groupBy("mid", "nb").agg(F.max("new").alias("new"))
         met = met.withColumn("any", F.max("new").over(Window.partitionBy("mid"))).where("any").drop("any")
         worst = lists.where("rank = 1").select(F.col("u").alias("nb"), "worst")
         worst = F.broadcast(worst) if size <= BROADCAST_ROWS else worst  # a row a vector at most
