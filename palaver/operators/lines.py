@@ -24,6 +24,11 @@ def durations(lines: DataFrame, cap: int = GAP_CAP, slow: float = SLOW, last: in
     return d.withColumn("dur", total * F.greatest(F.lit(1), "chars") / F.col("_chars")).drop("_step", "_next", "_n", "_words", "_chars")
 
 
+def lengths(timed: DataFrame, *keep: str) -> DataFrame:
+    """(ep, *keep, len) of every episode of ``durations`` rows: the last start and its duration."""
+    return timed.groupBy("ep", *keep).agg(F.max_by(F.col("t") + F.col("dur"), F.struct("t", "id")).alias("len"))
+
+
 def line_seconds(lines: DataFrame, cap: int = GAP_CAP, slow: float = SLOW, last: int = LAST) -> DataFrame:
     """lines with sec: at least 1, at most the time to the next line and the longer of ``cap`` and the words at ``slow`` pace."""
     ahead = F.coalesce(F.lead("t").over(Window.partitionBy("ep").orderBy("t", "id")), F.col("t") + last)

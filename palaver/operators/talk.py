@@ -1,4 +1,4 @@
-"""Who talks: guests, line-ups, hours, shares. All read ``lines.talk`` rows with the episode's series, date and kind joined on."""
+"""Who talks: guests, line-ups, hours, shares. All but hours read ``lines.talk`` rows with the episode's series, date and kind joined on."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palaver.operators.lines import durations, lengths
+
 
 def guests(talk: DataFrame, hosts: Sequence[str], least: int = 60) -> DataFrame:
     """(name, count, all_series, first, last, talk) of those who are no hosts and talk ``least`` seconds in an episode."""
@@ -30,11 +32,14 @@ def substitutes(lineups: DataFrame, hosts: Sequence[str]) -> DataFrame:
     return g.select("guest", F.explode("away").alias("host")).groupBy("guest", "host").agg(F.count(F.lit(1)).alias("n"))
 
 
-def hours(talk: DataFrame) -> DataFrame:
-    """(series, year, spk, hours) with spk null for the audio itself, by grouping sets over one pass."""
-    per = talk.select("ep", "series", "year", "spk", "sec", "len")
-    own = per.groupBy("series", "year", "spk").agg(F.round(F.sum("sec") / 3600, 6).alias("hours"))
-    audio = per.select("ep", "series", "year", "len").distinct().groupBy("series", "year").agg(F.round(F.sum("len") / 3600, 6).alias("hours"))
+def hours(lines: DataFrame, hosts: Sequence[str]) -> DataFrame:
+    """(series, year, spk, hours): each host's over all lines, however short an appearance, and with spk null the audio's over all episodes.
+
+    lines carry series and date.
+    """
+    d = durations(lines).withColumn("year", F.substring("date", 1, 4))
+    own = d.where(F.col("spk").isin(list(hosts))).groupBy("series", "year", "spk").agg(F.round(F.sum("dur") / 3600, 6).alias("hours"))
+    audio = lengths(d, "series", "year").groupBy("series", "year").agg(F.round(F.sum("len") / 3600, 6).alias("hours"))
     return own.unionByName(audio.withColumn("spk", F.lit(None).cast("string")))
 
 
@@ -47,9 +52,13 @@ def shares(talk: DataFrame) -> DataFrame:
     )
 
 
-def summary(talk: DataFrame, hosts: Sequence[str]) -> DataFrame:
-    """One row of headline figures: hours, the hosts' mean share, the longest talker, the most frequent guest."""
-    per = talk.groupBy("ep").agg(F.first("len").alias("len"), F.sum(F.when(F.col("spk").isin(list(hosts)), F.col("sec")).otherwise(0)).alias("own"))
+def summary(talk: DataFrame, episodes: DataFrame, hosts: Sequence[str]) -> DataFrame:
+    """One row of headline figures: hours, the hosts' mean share, the longest talker, the most frequent guest.
+
+    episodes is (ep, len) of all episodes, also of those without a row in talk.
+    """
+    own = talk.where(F.col("spk").isin(list(hosts))).groupBy("ep").agg(F.sum("sec").alias("own"))
+    per = episodes.select("ep", F.round(F.round("len", 6)).cast("long").alias("len")).join(own, "ep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     a = per.agg(F.count(F.lit(1)).alias("episodes"), F.round(F.sum("len") / 3600, 6).alias("hours"), F.round(F.avg(F.when(F.col("len") > 0, F.col("own") / F.col("len"))), 6).alias("host_share"), F.median("len").alias("median_len"))
     top = talk.groupBy("spk").agg(F.sum("sec").alias("s"), F.count(F.lit(1)).alias("n")).agg(F.max_by("spk", F.struct("s", "spk")).alias("most_talk"), F.max_by("spk", F.struct("n", "spk")).alias("most_episodes"))
     return a.join(F.broadcast(top))  # one row each

@@ -23,6 +23,8 @@ h AS (SELECT *, coalesce(lead(t) OVER (PARTITION BY ep ORDER BY t), t + 5) AS nx
 dur AS (
   SELECT l.*, greatest(n::DOUBLE, least(20.0::DOUBLE, (nxt - l.t)::DOUBLE, gw::DOUBLE / 1.5::DOUBLE)) * greatest(1, chars) / gc AS dur
   FROM lines l JOIN h ON l.ep = h.ep AND l.t = h.t)"""
+LENGTHS_SQL = DURATIONS_SQL + """,
+lengths AS (SELECT ep, any_value(series) AS series, substr(any_value(date), 1, 4) AS year, arg_max(t + dur, row(t, id)) AS len FROM dur GROUP BY ep)"""
 PERSON_SQL = "(spk <> '' AND NOT regexp_matches(spk, '(?i)^(guest|unknown)\\b'))"
 TALK_SQL = DURATIONS_SQL + f""",
 e AS (SELECT ep, arg_max(t + dur, row(t, id)) AS len FROM dur GROUP BY ep),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions import names
 from palaver.operators import joins, talk, topics, voices
-from palaver.plans.bindings import LINES_SQL, TALK_SQL, lines, table, talk_rows
+from palaver.plans.bindings import HOSTS, LENGTHS_SQL, LINES_SQL, lines, table
 from palaver.plans.words import _M, messages
 
 KINDS = (("(?i)red", "Warm"), ("(?i)blue|green", "Cold"))
@@ -50,7 +50,7 @@ QUERIES = {
     "topic_share": lambda s, d: topics.shares(_facts(s, d)),
     "slot_positions": lambda s, d: topics.slots(_facts(s, d)),
     "median_by_period": lambda s, d: topics.medians(table(s, d, "orders").withColumn("year", F.substring(F.col("o_orderdate").cast("string"), 1, 4)), "year", "o_totalprice"),
-    "rate_per_hour": lambda s, d: topics.per_hour(messages(s, d).where("spk = 'user'").groupBy("series", "year").agg(F.count(F.lit(1)).alias("n")), talk.hours(talk_rows(s, d)).where("spk is null").drop("spk"), ["series", "year"], 0.1),
+    "rate_per_hour": lambda s, d: topics.per_hour(messages(s, d).where("spk = 'user'").groupBy("series", "year").agg(F.count(F.lit(1)).alias("n")), talk.hours(lines(s, d), HOSTS).where("spk is null").drop("spk"), ["series", "year"], 0.1),
     "minute_counter": lambda s, d: table(s, d, "events").groupBy("user_id", F.window("ts", "1 day")["start"].alias("day")).agg(F.count(F.lit(1)).alias("n")).where("n > 3"),
 }
 _W = """w AS (SELECT vec_id % 3 AS ep, label, vec_id AS win, embedding AS e FROM embeddings WHERE vec_id % 2 = 1),
@@ -89,7 +89,7 @@ ORACLES = {
       SELECT who, topic, n, round(n / g, 6) AS share, round((n / g) / (o / everything), 6) AS lift FROM o""",
     "slot_positions": f"""WITH {_F}, r AS (SELECT *, row_number() OVER (PARTITION BY ep ORDER BY t, id) AS slot, count(*) OVER (PARTITION BY ep) AS c FROM f) SELECT who, CAST(slot AS INTEGER) AS slot, count(*) AS n FROM r WHERE c = 4 GROUP BY ALL""",
     "median_by_period": "SELECT CAST(year(o_orderdate) AS VARCHAR) AS year, count(*) AS n, round(avg(o_totalprice), 6) AS mean, round(median(o_totalprice), 6) AS median FROM orders GROUP BY ALL",
-    "rate_per_hour": f"""WITH {TALK_SQL}, {_M}, c AS (SELECT series, year, count(*) AS n FROM m WHERE spk = 'user' GROUP BY ALL), hh AS (SELECT series, year, round(sum(len) / 3600, 6) AS hours FROM (SELECT DISTINCT ep, series, year, len FROM talk) GROUP BY ALL)
+    "rate_per_hour": f"""WITH {LENGTHS_SQL}, {_M}, c AS (SELECT series, year, count(*) AS n FROM m WHERE spk = 'user' GROUP BY ALL), hh AS (SELECT series, year, round(sum(len) / 3600, 6) AS hours FROM lengths GROUP BY ALL)
       SELECT hh.series, hh.year, coalesce(n, 0) AS n, hours, CASE WHEN hours > 0 THEN round(coalesce(n, 0) / hours, 6) END AS rate, hours < 0.1 AS few FROM hh LEFT JOIN c ON hh.series = c.series AND hh.year = c.year""",
     "minute_counter": "SELECT user_id, date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 3",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palaver.operators import flow, lines, talk
-from palaver.plans.bindings import DURATIONS_SQL, HOSTS, PERSON_SQL, TALK_SQL, TURNS_SQL, talk_rows
+from palaver.plans.bindings import DURATIONS_SQL, HOSTS, LENGTHS_SQL, PERSON_SQL, TALK_SQL, TURNS_SQL, talk_rows
 from palaver.plans.bindings import lines as bound
 
 _HOSTS = "('view', 'click')"
@@ -17,9 +17,9 @@ QUERIES = {
     "guest_table": lambda s, d: talk.guests(talk_rows(s, d), HOSTS),
     "lineup_present": lambda s, d: talk.lineup(talk_rows(s, d), HOSTS).select("ep", F.array_join("hosts", ",").alias("hosts"), F.array_join("guests", ",").alias("guests")),
     "lineup_subs": lambda s, d: talk.substitutes(talk.lineup(talk_rows(s, d), HOSTS, 60), ("view", "click", "nobody")),
-    "hours_by_year": lambda s, d: talk.hours(talk_rows(s, d)),
+    "hours_by_year": lambda s, d: talk.hours(bound(s, d), HOSTS),
     "talk_shares": lambda s, d: talk.shares(talk_rows(s, d)),
-    "headline_summary": lambda s, d: talk.summary(talk_rows(s, d), HOSTS),
+    "headline_summary": lambda s, d: talk.summary(talk_rows(s, d), lines.lengths(lines.durations(bound(s, d))), HOSTS),
     "handover_grid": lambda s, d: flow.handovers(bound(s, d), HOSTS, ("series",)),
     "handover_share": lambda s, d: flow.handover_shares(flow.handovers(bound(s, d), HOSTS, ("series",)), ("series",)),
     "longest_runs": lambda s, d: flow.longest_runs(bound(s, d), start=10, end=6, least=8.0),
@@ -42,11 +42,12 @@ ORACLES = {
     "lineup_subs": f"""WITH {TALK_SQL}, t AS (SELECT * FROM talk WHERE sec >= 60)
       SELECT g.spk AS guest, h.host, count(*) AS n FROM t g, (VALUES ('view'), ('click'), ('nobody')) h(host)
       WHERE g.spk NOT IN ('view', 'click', 'nobody') AND NOT EXISTS (SELECT 1 FROM t x WHERE x.ep = g.ep AND x.spk = h.host) AND g.spk NOT IN {_HOSTS} GROUP BY ALL""",
-    "hours_by_year": f"""WITH {TALK_SQL} SELECT series, year, spk, round(sum(sec) / 3600, 6) AS hours FROM talk GROUP BY ALL
-      UNION ALL SELECT series, year, NULL, round(sum(len) / 3600, 6) FROM (SELECT DISTINCT ep, series, year, len FROM talk) GROUP BY ALL""",
+    "hours_by_year": f"""WITH {LENGTHS_SQL} SELECT series, substr(date, 1, 4) AS year, spk, round(sum(dur) / 3600, 6) AS hours FROM dur WHERE spk IN {_HOSTS} GROUP BY ALL
+      UNION ALL SELECT series, year, NULL, round(sum(len) / 3600, 6) FROM lengths GROUP BY ALL""",
     "talk_shares": f"""WITH {TALK_SQL} SELECT spk, year, round(avg(CASE WHEN len > 0 THEN sec / len END), 6) AS share, round(sum(words) * 60.0::DOUBLE / sum(sec), 6) AS wpm,
       round(sum(sec) / nullif(sum(turns), 0), 6) AS turn_sec FROM talk GROUP BY spk, year""",
-    "headline_summary": f"""WITH {TALK_SQL}, p AS (SELECT ep, any_value(len) AS len, sum(CASE WHEN spk IN {_HOSTS} THEN sec ELSE 0 END) AS own FROM talk GROUP BY ep),
+    "headline_summary": f"""WITH {TALK_SQL}, p AS (
+        SELECT e.ep, CAST(round(round(any_value(e.len), 6)) AS BIGINT) AS len, sum(CASE WHEN spk IN {_HOSTS} THEN sec ELSE 0 END) AS own FROM e LEFT JOIN talk ON e.ep = talk.ep GROUP BY e.ep),
       z AS (SELECT spk, sum(sec) AS s, count(*) AS n FROM talk GROUP BY spk)
       SELECT count(*) AS episodes, round(sum(len) / 3600, 6) AS hours, round(avg(CASE WHEN len > 0 THEN own / len END), 6) AS host_share, median(len) AS median_len,
         (SELECT arg_max(spk, row(s, spk)) FROM z) AS most_talk, (SELECT arg_max(spk, row(n, spk)) FROM z) AS most_episodes FROM p""",
