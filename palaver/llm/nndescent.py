@@ -127,8 +127,8 @@ def _lists(rows: DataFrame, k: int) -> DataFrame:
 def descend(v: DataFrame, edges: DataFrame, via: DataFrame | None = None, k: int = K, change: float = CHANGE) -> DataFrame:
     """(u, v, cos), u < v: the pairs of the lists of k best, refined from edges by neighbours-of-neighbours joins until hardly an entry changes.
 
-    A vector meets its list, up to k of those that list it (new ones first) and its ``via``; pairs of what meets at a vector, one of them
-    new there, are tried for the lists of both.
+    A vector meets its list, its ``via`` and, as far as 2 k places (3 k with ``via``) go, those that list it (new ones first); pairs of what
+    meets at a vector, one of them new there, are tried for the lists of both.
     """
     v = v if "q" in v.columns else quantised(v)
     kind = dict(v.dtypes)["id"]
@@ -168,13 +168,13 @@ def descend(v: DataFrame, edges: DataFrame, via: DataFrame | None = None, k: int
         return pa.table({"u": names[a[best]], "v": names[b[best]], "cos": c[best].astype(float)})
 
     while changed > change * total:
-        # own list, those that list it, via: dealt out by mid once, at most k of each
+        # own list and via, at most k of each, then those that list it; a task keeps no more of a vector's rows than can stay
         met = lists.select(F.col("u").alias("mid"), F.col("v").alias("nb"), "new", F.lit(0).alias("kind"))
-        met = met.unionByName(lists.select(F.col("v").alias("mid"), F.col("u").alias("nb"), "new", F.lit(1).alias("kind")))
+        met = met.unionByName(lists.select(F.col("v").alias("mid"), F.col("u").alias("nb"), "new", F.lit(2).alias("kind")))
         if via is not None:
-            met = met.unionByName(via.select(F.col("u").alias("mid"), F.col("v").alias("nb"), F.lit(False).alias("new"), F.lit(2).alias("kind")))
-        line = Window.partitionBy("mid", "kind").orderBy(F.desc("new"), F.xxhash64(F.lit(turn), "mid", "nb"), "nb")
-        met = met.repartition("mid").withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= k)
+            met = met.unionByName(via.select(F.col("u").alias("mid"), F.col("v").alias("nb"), F.lit(False).alias("new"), F.lit(1).alias("kind")))
+        line = Window.partitionBy("mid").orderBy("kind", F.desc("new"), F.xxhash64(F.lit(turn), "mid", "nb"), "nb")
+        met = met.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= (2 if via is None else 3) * k)
         met = met.groupBy("mid", "nb").agg(F.max("new").alias("new"))
         met = met.withColumn("any", F.max("new").over(Window.partitionBy("mid"))).where("any").drop("any")
         worst = lists.where("rank = 1").select(F.col("u").alias("nb"), "worst")
