@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from palaver.llm import bpe, fingerprints, jaccard, lmscore, mixing, nndescent, secrets, toolcalls, toxicity, urls
+from palaver.llm import bpe, fingerprints, jaccard, lmscore, mixing, negatives, nndescent, runs, secrets, sharding, toolcalls, toxicity, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_ngram_jaccard": jaccard.query,
     "op9_bpe": bpe.query,
     "op10_source_mixing": mixing.query,
+    "op11_hash_tree_shards": sharding.query,
+    "op12_periodic_runs": runs.query,
+    "op13_hard_negatives": negatives.query,
 }
 
 ORACLES = {
@@ -20,4 +23,5 @@ ORACLES = {
     "op5_stupid_backoff": lmscore.ORACLE_SQL,
     "op6_nn_descent": nndescent.ORACLE_SQL,
     "op10_source_mixing": mixing.ORACLE_SQL,
+    "op13_hard_negatives": negatives.ORACLE_SQL,
 }
