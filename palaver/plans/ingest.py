@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palaver.functions.stem import has_phrase, stems
@@ -27,17 +27,50 @@ def _cues(s, d):
     return captions.cues(caption_files(s, d))
 
 
-def _edits(s, d):
-    m = messages(s, d).where("id % 5 = 1")
-    kind = F.element_at(F.array(*map(F.lit, ("text", "delete", "line_speaker", "rename"))), (F.col("ep") % 4 + 1).cast("int"))
-    return m.select("ep", "id", kind.alias("kind"), "t", F.col("text").alias("orig"), F.col("spk").alias("label"), F.lit("edited").alias("value"), (F.col("ep") + F.col("id")).alias("ts"))
+def edit_tables(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Messages as lines, automatic names of the assistant's voice alone, cues of a sentence each, and edits of all kinds, chosen by the lines' texts.
+
+    A transcript is made at 20; an edit's ts is its line's length, or 10, too late, where the text begins with an article.
+    """
+    m = messages(s, d).withColumns({"src": F.lit("auto"), "label": F.col("spk")}).select("ep", "id", "t", "spk", "src", "label", "text")
+    n, last = F.length("text"), F.regexp_extract("text", r"\s(\S+\s\S+)$", 1)
+    after = F.lead("text").over(Window.partitionBy("ep").orderBy("t", "id"))
+    own = m.withColumns({"n": n.cast("long"), "last": last, "after": after})
+
+    def made(where: str, kind: str, value, orig=F.col("text"), order: int = 0):
+        return own.where(where).select("ep", (F.col("id") * 10 + order).alias("id"), F.lit(kind).alias("kind"), "t", orig.alias("orig"), "label", value.alias("value"), F.when(F.col("text").rlike("^(?:The|Le|La|Die|Der|El) "), 10).otherwise(F.greatest("n", F.lit(20))).cast("long").alias("ts"))
+
+    edits_ = [
+        made("n < 60", "delete", F.lit("")),
+        made("n < 40", "restore", F.lit(""), order=1),
+        made("n between 60 and 110 and text like '%,%'", "line_speaker", F.lit("Someone")),
+        made("n between 60 and 110 and text not like '%,%'", "line_speaker", F.lit("")),
+        made("n between 111 and 180", "text", F.concat(F.lit("Corrected: "), "text")),
+        made("n between 181 and 320 and last != ''", "split", F.col("last")),
+        made("n > 320 and after is not null", "join", F.col("after")),
+        made("label != '' and text like '%,%'", "rename", F.concat(F.lit("The "), "label"), F.lit(""), 2),
+        made("label = 'assistant' and text like '% %,%' and n > 200", "rename", F.lit(""), F.lit(""), 3),
+        made("n > 600", "restore", F.lit(""), F.concat(F.lit("Lost: "), F.substring("text", 1, 30)), 4),
+    ]
+    log = edits_[0]
+    for e in edits_[1:]:
+        log = log.unionByName(e)
+    said = sentences(s, d).select("ep", F.col("t").cast("double").alias("start"), (F.col("t") + 3.0).alias("end"), "text")
+    return {"lines": m, "edits": log, "automatic": m.where("label = 'assistant'").select("ep", "label", "spk", "src").distinct(), "made": m.select("ep").distinct().withColumn("made", F.lit(20)), "cues": said}
 
 
 def _edited(s, d):
-    m = messages(s, d).withColumns({"src": F.lit("auto"), "label": F.col("spk")}).select("ep", "id", "t", "spk", "src", "label", "text")
-    auto = m.select("ep", "label", "spk", "src").distinct()
-    made = m.select("ep").distinct().withColumn("made", F.lit(20))
-    return edits.apply_edits(m, _edits(s, d), auto, made).select("ep", "id", "t", "spk", "src", F.md5("text").alias("text"))
+    t = edit_tables(s, d)
+    return edits.apply_edits(t["lines"], t["edits"], t["automatic"], t["made"], t["cues"]).select("ep", "id", "t", "spk", "src", F.md5("text").alias("text"))
+
+
+def _split_times(s, d):
+    """Each message of two sentences or more, split after its first one; sentences are cues of three seconds."""
+    m = messages(s, d)
+    first = F.regexp_extract("text", r"(?s)^(.*?[.?!])\s+(.*)$", 1)
+    rest = F.regexp_extract("text", r"(?s)^(.*?[.?!])\s+(.*)$", 2)
+    x = m.select("ep", "id", "t", first.alias("head"), rest.alias("tail"), F.coalesce(F.lead("t").over(Window.partitionBy("ep").orderBy("t", "id")), F.col("t") + 3600).alias("latest"))
+    return edits.split_times(x.where("head != ''"), edit_tables(s, d)["cues"])
 
 
 def _pieces(s, d):
@@ -73,6 +106,8 @@ ORACLES = {
     "cue_lines": f"WITH {_C} SELECT path AS ep, k AS id, CAST(round_even(start, 0) AS BIGINT) AS t, label AS spk FROM m",
     "time_seconds": "SELECT event_id, (user_id % 3) * 3600 + (event_id % 60) * 60 + 7.25::DOUBLE AS sec FROM events",
 }
+#: Lower case without punctuation, words a blank apart.
+_BARE = r"trim(regexp_replace(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}\s]', '', 'g'), '\s+', ' ', 'g'))"
 RULES = (("The la ", "la "), ("der ", "die "), ("die die ", "die "))
 
 
@@ -102,6 +137,18 @@ ORACLES["name_fixes"] = f"""WITH {_M}, a AS (SELECT ep, id, replace(text, 'The l
 b AS (SELECT *, replace(x, 'der ', 'die ') AS y, len(regexp_extract_all(x, 'der ')) AS n2 FROM a)
 SELECT ep, id, md5(replace(y, 'die die ', 'die ')) AS text, CAST(n1 + n2 + len(regexp_extract_all(y, 'die die ')) AS BIGINT) AS n FROM b"""
 
+QUERIES["split_times"] = _split_times
+#: Cues around a line, joined with a blank; the tail's first four words behind the head's first 40 characters, else anywhere.
+ORACLES["split_times"] = rf"""WITH {_M}, {_S}, n AS (SELECT ep, id AS pos, t::DOUBLE AS a, (t + 3)::DOUBLE AS b, {_BARE.format("text")} AS w FROM s),
+x AS (SELECT ep, id, t, regexp_extract(text, '(?s)^(.*?[.?!])\s+(.*)$', 1) AS head, regexp_extract(text, '(?s)^(.*?[.?!])\s+(.*)$', 2) AS tail, coalesce(lead(t) OVER (PARTITION BY ep ORDER BY t, id), t + 3600) AS latest FROM m),
+y AS (SELECT *, {_BARE.format("head")} AS h, array_to_string(string_split({_BARE.format("tail")}, ' ')[1:4], ' ') AS k FROM x WHERE head <> ''),
+c AS (SELECT y.ep, y.id, n.pos, n.a, n.b, n.w, coalesce(sum(length(n.w) + 1) OVER (PARTITION BY y.ep, y.id ORDER BY n.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM y JOIN n ON n.ep = y.ep AND n.a BETWEEN y.t - 1 AND y.t + 90 AND n.w <> ''),
+j AS (SELECT ep, id, string_agg(w, ' ' ORDER BY pos) AS said FROM c GROUP BY ALL),
+f AS (SELECT y.*, said, CASE WHEN strpos(said, left(h, 40)) = 0 THEN 0 ELSE strpos(said, left(h, 40)) - 1 + greatest(0, length(h) - 10) END AS frm FROM y LEFT JOIN j USING (ep, id)),
+p AS (SELECT *, CASE WHEN k = '' OR said IS NULL THEN -1 WHEN strpos(substr(said, least(frm, length(said)) + 1), k) > 0 THEN least(frm, length(said)) + strpos(substr(said, least(frm, length(said)) + 1), k) - 1 ELSE strpos(said, k) - 1 END AS at FROM f),
+q AS (SELECT p.ep, p.id, arg_max(c.a + (p.at - c.off) / length(c.w)::DOUBLE * greatest(0, c.b - c.a), c.off) AS said_at FROM p JOIN c ON p.ep = c.ep AND p.id = c.id AND c.off <= p.at GROUP BY ALL)
+SELECT p.ep, p.id, CAST(greatest(p.t, least(coalesce(floor(said_at), p.t), p.latest)) AS BIGINT) AS at FROM p LEFT JOIN q USING (ep, id)"""
+
 #: A sentence's end, quotes and brackets after it or not.
 _END = """[.?!…]["''”’)]*$"""
 #: Rows of an episode in order; each step of the recursion puts the next row to the group held, or begins one.
