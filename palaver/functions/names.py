@@ -8,8 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _DAY = r"(?U)^\d{4}-\d\d-\d\d"
-#: The date and a dash after it.
-_LEAD = _DAY + r"\s*-?\s*"
 
 
 def date(name: Column) -> Column:
@@ -21,19 +19,39 @@ def year(name: Column) -> Column:
     return F.substring(date(name), 1, 4)
 
 
-def number(name: Column) -> Column:
-    """The number right after the date, a dash or # before it or not; '' where a word goes on ("12th") or no date leads."""
-    return F.regexp_extract(name, _LEAD + r"#?(\d+(?:\.\d+)?)\b", 1)
+def _stripped(x: Column) -> Column:
+    return F.regexp_replace(x, r"(?U)^\s+", "")
 
 
 def undated(name: Column) -> Column:
-    return F.regexp_replace(name, _LEAD, "")
+    """What follows the date, blanks and one dash; the whole name where no date leads."""
+    rest = _stripped(F.substring(name, F.lit(11), F.length(name)))
+    rest = F.when(F.startswith(rest, F.lit("-")), _stripped(F.substring(rest, F.lit(2), F.length(rest)))).otherwise(rest)
+    return F.when(date(name) == "", name).otherwise(rest)
+
+
+def _numbered(rest: Column) -> tuple[Column, Column]:
+    """The number that rest begins with, a # before it or not, and the character behind it; its fraction goes where a letter follows that."""
+    bare = F.when(F.startswith(rest, F.lit("#")), F.substring(rest, F.lit(2), F.length(rest))).otherwise(rest)
+    whole, both = F.regexp_extract(bare, r"(?U)^\d+", 0), F.regexp_extract(bare, r"(?U)^\d+\.\d+", 0)
+    behind = lambda n: F.substring(bare, F.length(n) + 1, F.lit(1))
+    n = F.when((both != "") & ~behind(both).rlike(r"(?U)\w"), both).otherwise(whole)
+    return n, behind(n)
+
+
+def number(name: Column) -> Column:
+    """The number right after the date, a dash or # before it or not; '' where a word goes on ("12th") or no date leads."""
+    n, next_ = _numbered(undated(name))
+    return F.when((date(name) != "") & ~next_.rlike(r"(?U)\w"), n).otherwise("")
 
 
 def title(name: Column) -> Column:
-    """What follows date and number; the number stays where no blank follows it, or nothing else does."""
+    """What follows date and number; the number stays where no blank follows it (but for a dot), or nothing else does."""
     rest = undated(name)
-    return F.coalesce(F.nullif(F.regexp_replace(rest, r"(?U)^#?\d+(?:\.\d+)?\.?\s+", ""), F.lit("")), rest)
+    words = F.split(rest, r"(?U)\s+", 2)
+    first = F.regexp_replace(F.element_at(words, 1), r"\.$", "")
+    own = F.when(F.startswith(first, F.lit("#")), F.substring(first, F.lit(2), F.length(first))).otherwise(first)
+    return F.when((F.size(words) == 2) & (own != "") & (own == _numbered(own)[0]) & (F.element_at(words, -1) != ""), F.element_at(words, -1)).otherwise(rest)
 
 
 def label(name: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -117,25 +117,54 @@ def last_named(text: Column, people: dict[str, Iterable[str]]) -> Column:
     """The person whose alias stands last in the text, '' for none; at one place the first of ``people``."""
     found = []
     for i, (name, aliases) in enumerate(people.items()):
-        before = F.regexp_extract(text, rf"(?s)^(.*)\b(?:{'|'.join(map(re.escape, aliases))})\b", 1)
-        here = text.rlike(rf"\b(?:{'|'.join(map(re.escape, aliases))})\b")
-        found.append(F.when(here, F.struct(F.length(before).alias("at"), F.lit(-i).alias("i"), F.lit(name).alias("name"))))
+        alias = rf"\b(?:{'|'.join(map(re.escape, aliases))})\b"
+        here = text.rlike(f"(?U){alias}")
+        found.append(F.when(here, F.struct(F.length(F.regexp_extract(text, f"(?sU)^(.*){alias}", 1)).alias("at"), F.lit(-i).alias("i"), F.lit(name).alias("name"))))
     return F.coalesce(F.array_max(F.array_compact(F.array(*found)))["name"], F.lit(""))
 
 
-def announced(line: Column, announcer: Column, people: dict[str, Iterable[str]], mine: str = r"(?i)\b(?:is|that's|and it's) (?:my fact|mine|me)\b") -> Column:
-    """Whom a hand-over names: the announcer where they speak of themselves and are known, else the last name in it."""
+def announced(line: Column, announcer: Column, people: dict[str, Iterable[str]], mine: str) -> Column:
+    """Whom a hand-over names: the announcer where they speak of themselves (``mine``) and are known, else the last name in it."""
     return F.when(line.rlike(mine) & announcer.isin(list(people)), announcer).otherwise(last_named(line, people))
 
 
-def handed_to(line: Column, description: Column, known: dict[str, Iterable[str]], cue: str = r"\b(?:that is|that's|and it's|it's|it is|over to|with)\s+([A-Z][a-z]+)\b", no_name: Iterable[str] = ()) -> Column:
-    """The unknown guest whom a hand-over names: in full where the description has more than the first name."""
+#: What may stand between the capitalised words of a name.
+PARTICLES = ("de", "van", "von", "al")
+
+
+def name_in_full(text: Column, first: Column) -> Column:
+    """The first place at which text has ``first`` as a word, with the capitalised words and particles that follow it; '' for none.
+
+    A word that something other than a dot, dash or apostrophe follows is the name's last; dots at the end don't belong to it.
+    """
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda w: w != "")
+    has = lambda w: F.array_contains(F.split(w, r"(?U)\W+"), first)
+    start = F.array_position(F.transform(words, lambda w: F.when(has(w), 1).otherwise(0)), F.lit(1)).cast("int")
+    goes_on = F.endswith(F.element_at(words, F.greatest(start, F.lit(1))), first)
+    part = lambda w: F.regexp_extract(w, rf"(?U)^([A-Z][\w'.-]*|(?:{'|'.join(PARTICLES)})(?!\w))", 1)
+
+    def step(state: Column, w: Column) -> Column:
+        own = part(w)
+        open_ = state["open"] & (own != "")
+        return F.struct(F.when(open_, F.concat_ws(" ", state["name"], own)).otherwise(state["name"]).alias("name"), (open_ & (own == w)).alias("open"))
+
+    rest = F.slice(words, start + 1, F.greatest(F.size(words) - start, F.lit(0)))
+    whole = F.aggregate(rest, F.struct(first.alias("name"), goes_on.alias("open")), step)["name"]
+    return F.when((start > 0) & (first != ""), F.regexp_replace(whole, r"(?U)\W+$", "")).otherwise("")
+
+
+def handed_to(line: Column, description: Column, known: dict[str, Iterable[str]], cue: str, no_name: Iterable[str] = (), full_names: Mapping[str, str] | None = None) -> Column:
+    """The unknown guest whom a hand-over names: the first group of ``cue``, in full by the description, else by ``full_names``, else as it is said.
+
+    '' for words that are ``no_name`` and for known people.
+    """
     first = F.regexp_extract(line, cue, 1)
-    words = F.concat(F.lit(r"(?s).*?\b("), first, F.lit(r"(?:\s+(?:[A-Z][\w'.-]*|de|van|von|al))*)\b.*"))
-    text = F.coalesce(description, F.lit(""))
-    full = F.when((first != "") & F.regexp_like(text, words), F.regexp_replace(text, words, F.lit("$1"))).otherwise("")
+    full = name_in_full(description, first)
+    short = first
+    for k, v in (full_names or {}).items():
+        short = F.when(first == k, v).otherwise(short)
     ok = (first != "") & ~first.isin([*no_name]) & (last_named(first, known) == "")
-    return F.when(ok, F.when(F.contains(full, F.lit(" ")), full).otherwise(first)).otherwise("")
+    return F.when(ok, F.when(F.contains(full, F.lit(" ")), full).otherwise(short)).otherwise("")
 
 
 def cache_key(stamp: Column, params: Column) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palaver.functions.text import announced, is_person
+from palaver.functions.text import handed_to, is_person, last_named
 from palaver.operators import folds, joins
 
 CLIP = 400
@@ -35,31 +37,108 @@ def tidy(text):
     return F.when(t.rlike(r"[.?!]$"), t).otherwise(F.concat(t, F.lit(".")))
 
 
-def extract(lines: DataFrame, hand_over: str, said: str, people: Mapping[str, Sequence[str]] | None = None, ahead: int = 60, sentence: int = 30, least: int = 25, apart: int = 90, shortest: int = 15) -> DataFrame:
-    """(ep, n, t, who, fact, src): numbered statements of each episode.
+@dataclass(frozen=True)
+class Rules:
+    """What hand-overs and statements sound like (patterns), and who presents.
 
-    A line that fits ``hand_over`` gives the first line at most ``ahead`` seconds later that fits ``said``, else the first of ``least`` characters at
-    most ``sentence`` seconds later; lines that fit ``said`` count by themselves where no such slot is within ``apart``
-    seconds. A statement begins behind the match of ``said``; those under ``shortest`` characters don't count. Of all, those stay that come
-    ``apart`` seconds after the last one kept. Who: the person whom the hand-over announces (``people``: name and aliases; the last one
-    named, or the announcer who speaks of themselves), else the label of the statement's line.
+    ``hand_over`` begins a slot, ``said`` stands before a statement. A slot without ``said`` takes the first plain sentence where its text is ``strong`` and names
+    somebody; one that begins with an ``opener`` is none. ``mine`` says that the announcer means themselves, ``cue`` has a guest's first name in its first
+    group; ``no_name`` are words that are none, ``full_names`` completes first names that descriptions don't.
+    """
+
+    hand_over: str
+    said: str
+    hosts: Mapping[str, Sequence[str]] = field(default_factory=dict)
+    strong: str = ""
+    opener: str = r"(?!)"
+    mine: str = r"(?!)"
+    cue: str = r"(?!)()"
+    no_name: Sequence[str] = ()
+    full_names: Mapping[str, str] = field(default_factory=dict)
+    ahead: int = 60
+    sentence: int = 30
+    least: int = 25
+    apart: int = 90
+    shortest: int = 15
+
+
+def _presenters(cues: DataFrame, guests: DataFrame | None, rules: Rules) -> DataFrame:
+    """cues (ep, cue, cue_text, cue_spk) with presenter: whom the hand-over names last, host or guest, by all of a guest's name or its first word; '' for none."""
+    mine = F.col("cue_text").rlike(rules.mine) & (F.col("cue_spk").isin(list(rules.hosts)) | F.col("is_guest"))
+    if guests is None:
+        j = cues.withColumns({"guest": F.lit(""), "guest_at": F.lit(-1), "is_guest": F.lit(False)})
+    else:
+        g = guests.select(F.col("ep").alias("_ep"), F.col("guest").alias("_guest"))
+        last = lambda name: F.concat(F.lit(r"(?sU)^(.*)\b\Q"), name, F.lit(r"\E\b"))
+        at = lambda name: F.when(F.regexp_like("cue_text", last(name)), F.length(F.call_function("regexp_extract", F.col("cue_text"), last(name), F.lit(1)))).otherwise(-1)
+        where = F.greatest(at(F.col("_guest")), at(F.element_at(F.split("_guest", " "), 1)))
+        j = cues.join(g, F.col("ep") == F.col("_ep"), "left").withColumn("_at", F.when(F.col("_guest").isNull(), -1).otherwise(where))
+        j = j.groupBy(*cues.columns).agg(F.min(F.struct((-F.col("_at")).alias("a"), F.col("_guest").alias("g"))).alias("m"), F.max(F.coalesce(F.col("_guest") == F.col("cue_spk"), F.lit(False))).alias("is_guest"))
+        j = j.withColumns({"guest": F.coalesce("m.g", F.lit("")), "guest_at": -F.col("m.a")})
+    host = last_named(F.col("cue_text"), dict(rules.hosts)) if rules.hosts else F.lit("")
+    spots = [F.when(host == n, F.length(F.regexp_extract("cue_text", rf"(?sU)^(.*)\b(?:{'|'.join(map(re.escape, a))})\b", 1))) for n, a in rules.hosts.items()]
+    host_at = F.coalesce(*spots, F.lit(-1)) if spots else F.lit(-1)
+    named = F.when(F.col("guest_at") > host_at, F.col("guest")).otherwise(host)
+    return j.withColumn("presenter", F.when(mine, F.col("cue_spk")).otherwise(named)).select(*cues.columns, "presenter")
+
+
+def extract(lines: DataFrame, rules: Rules, guests: DataFrame | None = None, descriptions: DataFrame | None = None) -> DataFrame:
+    """(ep, n, t, who, fact, src, how): numbered statements of each episode.
+
+    A line that fits ``hand_over`` takes the first ``said`` at most ``ahead`` seconds later (its own rest included), src "my"; else, where it is strong and
+    names somebody, the first sentence of ``least`` characters at most ``sentence`` seconds later, src "guess". Other lines that fit
+    ``said`` join in where no slot is within ``apart`` seconds, those that joined included; see ``folds.greedy_slots``. Statements under
+    ``shortest`` characters don't count. Who: whom the hand-over names (how "announced"), but a guest of the episode (ep, guest) who
+    shares the announcer's name is meant where the announcer would be and the guest says it; else (how "speaker") the line's speaker where that is a host or a guest; else,
+    where nobody's name is on the line, the stranger that the hand-over names, in full by the description (ep, description).
     """
     w = Window.partitionBy("ep").orderBy("t", "id")
-    head = F.substring(F.concat_ws(" ", F.regexp_extract("text", f"(?s)(?:{hand_over}).*", 0), F.substring(F.lead("text").over(w), 1, 60)), 1, 120)
-    begin = F.when(F.col("text").rlike(said), F.regexp_replace("text", f"(?s)^.*?(?:{said})", "")).otherwise(F.col("text"))
-    d = sentence_ahead(lines, begin=begin).withColumn("fact", tidy(F.col("sentence")))
-    cue = d.withColumn("cue_text", head).where(d["text"].rlike(hand_over)).select("ep", F.col("id").alias("cue"), (F.col("t") + 1).alias("t"), "cue_text", F.col("spk").alias("cue_spk"))
-    d = d.where(F.length("fact") >= shortest)
-    rows = d.select("ep", F.col("id").alias("r_id"), F.col("t").alias("r_t"), "text")
-    first = joins.first_ahead(cue, rows.where(F.col("text").rlike(said)), ["ep"], ahead - 1)
-    plain = joins.first_ahead(joins.pending(cue, first, ["ep", "cue"]), rows.where(F.length("text") >= least), ["ep"], sentence - 1)
-    slots = first.unionByName(plain).select("ep", F.col("r_id").alias("id"), F.col("r_t").alias("t"), "cue_text", "cue_spk").dropDuplicates(["ep", "id"]).withColumn("src", F.lit("announced"))
-    own = d.where(F.col("text").rlike(said)).select("ep", "id", "t")
-    near = joins.nearest(own, slots.select("ep", F.col("id").alias("r_id"), F.col("t").alias("r_t")), ["ep"], apart - 1)
-    alone = joins.pending(own, near, ["ep", "id"]).withColumns({"cue_text": F.lit(""), "cue_spk": F.lit(""), "src": F.lit("said")})
-    kept = folds.keep_apart(slots.unionByName(alone).select("ep", "id", "t"), apart)
-    full = kept.join(slots.unionByName(alone).drop("t"), ["ep", "id"]).join(d.select("ep", "id", "spk", "fact"), ["ep", "id"])
-    named = F.nullif(announced(F.col("cue_text"), F.col("cue_spk"), dict(people)), F.lit("")) if people else F.lit(None).cast("string")
-    who = F.coalesce(named, F.when(is_person(F.col("spk")), F.col("spk")), F.lit(""))
-    line = Window.partitionBy("ep").orderBy("t", "id")
-    return full.select("ep", F.row_number().over(line).alias("n"), "t", who.alias("who"), "fact", "src")
+    rest = F.regexp_replace("text", f"(?s)^.*?(?:{rules.hand_over})", "")
+    head = F.substring(F.concat_ws(" ", F.regexp_extract("text", f"(?s)(?:{rules.hand_over}).*", 0), F.substring(F.lead("text").over(w), 1, 60)), 1, 120)
+    over = F.col("text").rlike(rules.hand_over)
+    begin = F.when(F.col("text").rlike(rules.said), F.regexp_replace("text", f"(?s)^.*?(?:{rules.said})", "")).otherwise(F.col("text"))
+    d = sentence_ahead(lines.withColumns({"head": head, "over": over}), begin=begin).withColumn("fact", tidy(F.col("sentence")))
+    cues = d.where("over").select("ep", F.col("id").alias("cue"), "t", F.col("head").alias("cue_text"), F.col("spk").alias("cue_spk"), F.lit(True if not rules.strong else None).cast("boolean").alias("_s"), F.col("text").alias("_text"), rest.rlike(rules.said).alias("own"))
+    cues = cues.withColumn("strong", F.coalesce("_s", F.col("_text").rlike(rules.strong or "(?!)"))).drop("_s", "_text")
+    cues = cues.join(_presenters(cues.select("ep", "cue", "cue_text", "cue_spk"), guests, rules).select("ep", "cue", "presenter"), ["ep", "cue"])
+    cues = cues.withColumn("description", F.lit("")) if descriptions is None else cues.join(descriptions.groupBy("ep").agg(F.max("description").alias("description")), "ep", "left")
+    stranger = handed_to(F.col("cue_text"), F.col("description"), dict(rules.hosts), rules.cue, rules.no_name, rules.full_names)
+    cues = cues.withColumn("named", F.when(F.col("presenter") == "", stranger).otherwise("")).drop("description")
+    rows = d.select("ep", F.col("id").alias("r_id"), F.col("t").alias("r_t"), "text", "over", "fact")
+    # a statement in the hand-over's own rest, else in a later line
+    here = cues.where("own").select("ep", "cue", F.col("cue").alias("r_id"), F.col("t").alias("r_t"))
+    later = cues.where("not own").select("ep", "cue", F.struct("t", "cue").alias("from"), "t")
+    mine = _first_behind(later, rows.where(F.col("text").rlike(rules.said)), rules.ahead)
+    plain = cues.where("not own and strong and (presenter != '' or named != '')").select("ep", "cue", F.struct("t", "cue").alias("from"), "t")
+    proper = rows.where((F.length("fact") >= rules.least) & ~F.col("fact").rlike(rf"(?i)^(?:{rules.opener})"))
+    guess = _first_behind(joins.pending(plain, mine, ["ep", "cue"]), proper, rules.sentence)
+    found = here.unionByName(mine).withColumn("src", F.lit("my")).unionByName(guess.withColumn("src", F.lit("guess")))
+    found = found.join(cues.select("ep", "cue", "cue_spk", "strong", "presenter", "named"), ["ep", "cue"]).withColumnRenamed("r_id", "id")
+    text = d.select("ep", "id", "t", "spk", "fact")
+    slots = found.drop("r_t").join(text, ["ep", "id"]).where(F.length("fact") >= rules.shortest)
+    best = Window.partitionBy("ep", "id").orderBy("presenter", "cue")  # a line that several hand-overs lead to
+    slots = slots.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
+    own = joins.pending(text.join(lines.where(F.col("text").rlike(rules.said)).select("ep", "id"), ["ep", "id"]).where(F.length("fact") >= rules.shortest), found, ["ep", "id"])
+    kept = folds.greedy_slots(slots.select("ep", "id", "t"), own.select("ep", "id", "t"), rules.apart)
+    full = kept.drop("t").join(text, ["ep", "id"]).join(slots.select("ep", "id", "src", "cue_spk", "strong", "presenter", "named"), ["ep", "id"], "left")
+    presenter = F.coalesce("presenter", F.lit(""))
+    host = F.col("spk").isin(list(rules.hosts))
+    if guests is None:
+        full = full.withColumn("guest", is_person(F.col("spk")) & ~host)
+    else:
+        full = full.join(guests.select("ep", F.col("guest").alias("spk"), F.lit(True).alias("guest")).distinct(), ["ep", "spk"], "left").withColumn("guest", F.coalesce("guest", F.lit(False)))
+    presenter = F.when((presenter != "") & (presenter == F.col("cue_spk")) & F.col("guest") & (F.col("spk") != F.col("cue_spk")) & ~host, F.col("spk")).otherwise(presenter)
+    speaker = F.when(host | F.col("guest"), F.col("spk")).when(F.col("spk") != "", "").otherwise(F.when(F.col("strong"), F.col("named")).otherwise(""))
+    who = F.when(presenter != "", presenter).otherwise(F.coalesce(speaker, F.lit("")))
+    how = F.when(presenter != "", "announced").otherwise("speaker")
+    return full.select("ep", F.row_number().over(w).alias("n"), "t", who.alias("who"), "fact", F.coalesce("src", F.lit("my")).alias("src"), how.alias("how"))
+
+
+def _first_behind(cues: DataFrame, rows: DataFrame, within: int) -> DataFrame:
+    """(ep, cue, r_id, r_t): the first of rows behind each cue, at most ``within`` seconds later; rows of the cue's second count where they stand behind it."""
+    r = rows.select("ep", "r_id", "r_t")
+    b = lambda t: F.floor(t / within)
+    l = cues.withColumn("_b", F.explode(F.array(b(F.col("t")), b(F.col("t")) + 1)))
+    r = r.select(F.col("ep").alias("_ep"), "r_id", "r_t", b(F.col("r_t")).alias("_rb"))
+    on = (F.col("ep") == F.col("_ep")) & (F.col("_b") == F.col("_rb")) & (F.struct(F.col("r_t").alias("t"), F.col("r_id").alias("cue")) > F.col("from")) & (F.col("r_t") - F.col("t") <= within)
+    return l.join(r, on).groupBy("ep", "cue").agg(F.min(F.struct("r_t", "r_id")).alias("m")).select("ep", "cue", "m.r_id", "m.r_t")

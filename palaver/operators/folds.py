@@ -6,6 +6,7 @@ Each fold is a grouped-map function over the rows of an episode (a recording, so
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 
 import pandas as pd
@@ -60,20 +61,23 @@ def merge_sentences(segments: DataFrame, gap: float = 1.0, longest: float = 30.0
     return _fold(segments, "path", ["start"], "path string, start double, end double, text string", step)
 
 
-def joined_turns(lines: DataFrame, within: int = 40) -> DataFrame:
-    """(ep, t, spk, text): lines put together while the speaker stays, the turn began under ``within`` seconds ago and no sentence has ended."""
+def joined_turns(lines: DataFrame, within: int = 40, numbered: bool = False) -> DataFrame:
+    """(ep, t, spk, text): lines put together while the speaker stays, the turn began under ``within`` seconds ago and no sentence has ended.
+
+    ``numbered``: with id, that of the turn's first line, behind ep.
+    """
     kind = dict(lines.dtypes)["ep"]
 
     def step(pdf):
         out: list[list] = []
         for r in pdf.itertuples():
-            if out and out[-1][2] == r.spk and r.t - out[-1][1] < within and not re.search(r"[.?!]$", out[-1][3]):
-                out[-1][3] += " " + r.text
+            if out and out[-1][-2] == r.spk and r.t - out[-1][-3] < within and not re.search(r"[.?!]$", out[-1][-1]):
+                out[-1][-1] += " " + r.text
             else:
-                out.append([r.ep, r.t, r.spk, r.text])
+                out.append([r.ep, *([r.id] if numbered else []), r.t, r.spk, r.text])
         return [tuple(x) for x in out]
 
-    return _fold(lines, "ep", ["t", "id"], f"ep {kind}, t bigint, spk string, text string", step)
+    return _fold(lines, "ep", ["t", "id"], f"ep {kind}, {'id bigint, ' if numbered else ''}t bigint, spk string, text string", step)
 
 
 def keep_apart(rows: DataFrame, gap: int = 90) -> DataFrame:
@@ -90,6 +94,33 @@ def keep_apart(rows: DataFrame, gap: int = 90) -> DataFrame:
     return _fold(rows, "ep", ["t", "id"], f"ep {kind}, id bigint, t bigint", step)
 
 
+def greedy_slots(slots: DataFrame, own: DataFrame, gap: int = 90) -> DataFrame:
+    """(ep, id, t, own): the rows kept of fixed slots and of own statements (both ep, id, t).
+
+    Own statements join in by time where no slot, fixed or joined before, is under ``gap`` seconds away, before or after; of all slots
+    in time those stay that come ``gap`` seconds after the last one kept. At one time fixed slots come first, then ids.
+    """
+    kind = dict(slots.dtypes)["ep"]
+
+    def step(pdf):
+        fixed = sorted(pdf.loc[~pdf["own"], "t"])
+        taken, last = [], None
+        for r in pdf[pdf["own"]].itertuples():
+            k = bisect_left(fixed, r.t)
+            near = [abs(r.t - x) for x in (*fixed[max(0, k - 1) : k + 1], *([] if last is None else [last]))]
+            if not near or min(near) >= gap:
+                taken.append((r.t, True, r.id, r.ep))
+                last = r.t
+        out: list[tuple] = []
+        for t, mine, i, ep in sorted([(r.t, False, r.id, r.ep) for r in pdf[~pdf["own"]].itertuples()] + taken):
+            if not out or t - out[-1][2] >= gap:
+                out.append((ep, i, t, mine))
+        return out
+
+    rows = slots.select("ep", "id", "t", F.lit(False).alias("own")).unionByName(own.select("ep", "id", "t", F.lit(True).alias("own")))
+    return _fold(rows, "ep", ["t", "id"], f"ep {kind}, id bigint, t bigint, own boolean", step)
+
+
 def split_long(segments: DataFrame, longest: float = 30.0) -> DataFrame:
     """(path, start, end, text): segments over ``longest`` in even pieces, words shared out in whole numbers. No fold: rows stand alone."""
     w = F.filter(F.split("text", r"(?U)\s+"), lambda x: x != "")

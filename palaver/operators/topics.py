@@ -14,7 +14,7 @@ def topic(text: Column, topics: Sequence[tuple[str, Sequence[str], float]], othe
     scores = []
     for order, (name, words, weight) in enumerate(topics):
         one = "|".join(re.escape(w).replace(r"\*", r"\w*") for w in words)
-        scores.append(F.struct((F.regexp_count(text, F.lit(rf"(?i)\b(?:{one})\b")) * float(weight)).alias("score"), F.lit(-order).alias("order"), F.lit(name).alias("name")))
+        scores.append(F.struct((F.regexp_count(text, F.lit(rf"(?iuU)\b(?:{one})\b")) * float(weight)).alias("score"), F.lit(-order).alias("order"), F.lit(name).alias("name")))
     best = F.array_max(F.array(*scores))
     return F.when(best["score"] > 0, best["name"]).otherwise(other)
 

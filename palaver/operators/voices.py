@@ -61,8 +61,12 @@ def best_names(scores: DataFrame) -> DataFrame:
 
 
 def second_chance(best: DataFrame, regulars, taken: DataFrame, least: float = 0.47, margin: float = 0.12, speech: float = 120) -> DataFrame:
-    """Of the labels without a name (with sec, their seconds of speech), one each for regulars that an episode hasn't found yet, best score first."""
-    good = F.col("name").isin(list(regulars)) & (F.col("sec") >= speech) & (F.col("score") >= least) & (F.col("margin") >= margin)
+    """Of the labels without a name (with sec, their seconds of speech), one each for regulars that an episode hasn't found yet, best score first.
+
+    ``regulars`` None: best holds regulars only.
+    """
+    regular = F.lit(True) if regulars is None else F.col("name").isin(list(regulars))
+    good = regular & (F.col("sec") >= speech) & (F.col("score") >= least) & (F.col("margin") >= margin)
     free = best.where(good).join(taken.select("ep", "name"), ["ep", "name"], "left_anti")
     w = Window.partitionBy("ep", "name").orderBy(F.desc("score"), "label")
     return free.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
@@ -95,25 +99,66 @@ def fold(unnamed: DataFrame, named: DataFrame, least: float = 0.65, lead: float
     return r.where((F.col("rank") == 1) & (F.col("sim") >= least) & (F.coalesce(F.col("sim") - F.col("next"), F.lit(1.0)) >= lead)).select("ep", "label", "into", "sim")
 
 
-def guess_guests(voices: DataFrame, candidates: DataFrame) -> DataFrame:
+#: Seconds of speech that a voice needs to be matched at all, and to be a guest.
+MATCHED, GUEST = 15, 60
+
+
+def guess_guests(voices: DataFrame, candidates: DataFrame, least: float = GUEST) -> DataFrame:
     """(ep, label, name, source): voices without a name (of all voices: ep, label, sec, name, source) by talk time meet candidates by score.
 
-    "sure" where there is one of each and every other voice has its name from a voiceprint.
+    A voice needs ``least`` seconds. Candidates whose name a voice of the episode has already are out. "sure" where one of each is left
+    and every other voice of ``least`` seconds has its name from a voiceprint. Equal scores go by rank, where candidates have one, then name.
     """
     ep = Window.partitionBy("ep")
-    open_ = F.coalesce("name", F.lit("")) == ""
-    v = voices.withColumn("known", F.bool_and(open_ | (F.coalesce("source", F.lit("")) == "voiceprint")).over(ep)).where(open_)
+    has = F.coalesce("name", F.lit("")) != ""
+    long = voices.where(F.col("sec") >= least)
+    v = long.withColumn("known", F.bool_and(~has | (F.coalesce("source", F.lit("")) == "voiceprint")).over(ep)).where(~has)
     v = v.withColumns({"rank": F.row_number().over(ep.orderBy(F.desc("sec"), "label")), "n": F.count(F.lit(1)).over(ep)}).drop("name", "source")
-    c = candidates.withColumns({"rank": F.row_number().over(ep.orderBy(F.desc("score"), "name")), "m": F.count(F.lit(1)).over(ep)})
+    c = candidates.join(voices.where(has).select("ep", "name"), ["ep", "name"], "left_anti")
+    order = [F.desc("score"), *(["rank"] if "rank" in candidates.columns else []), "name"]
+    c = c.withColumns({"rank": F.row_number().over(ep.orderBy(*order)), "m": F.count(F.lit(1)).over(ep)})
     return v.join(c, ["ep", "rank"]).select("ep", "label", "name", F.when((F.col("n") == 1) & (F.col("m") == 1) & F.col("known"), "sure").otherwise("guess").alias("source"))
 
 
-def redo_guests(voices: DataFrame, candidates: DataFrame) -> DataFrame:
+def _with(voices: DataFrame, new: DataFrame) -> DataFrame:
+    """voices with name and source of new (ep, label, name, source) where it has any."""
+    n = new.select("ep", "label", F.col("name").alias("_name"), F.col("source").alias("_source"))
+    return voices.join(n, ["ep", "label"], "left").withColumns({"name": F.coalesce("_name", "name"), "source": F.coalesce("_source", "source")}).drop("_name", "_source")
+
+
+def redo_guests(voices: DataFrame, candidates: DataFrame, least: float = GUEST) -> DataFrame:
     """All voices with guesses made anew: what was guessed is forgotten, names from voiceprints and by hand stay."""
     guessed = F.coalesce("source", F.lit("")).isin("guess", "sure")
     bare = voices.withColumns({"name": F.when(guessed, None).otherwise(F.col("name")), "source": F.when(guessed, None).otherwise(F.col("source"))})
-    new = guess_guests(bare, candidates).select("ep", "label", F.col("name").alias("_name"), F.col("source").alias("_source"))
-    return bare.join(new, ["ep", "label"], "left").withColumns({"name": F.coalesce("_name", "name"), "source": F.coalesce("_source", "source")}).drop("_name", "_source")
+    return _with(bare, guess_guests(bare, candidates, least))
+
+
+def name_voices(windows: DataFrame, profiles: DataFrame, speech: DataFrame, regulars: DataFrame, candidates: DataFrame, done: DataFrame | None = None) -> DataFrame:
+    """(ep, label, sec, name, source, score, margin) of all voices of the episodes that aren't done yet.
+
+    windows (ep, label, win, emb), profiles (name, emb), speech (ep, label, sec), regulars (ep, name): those of the episode's show. A voice of
+    ``MATCHED`` seconds and three windows gets the best name at 0.55 (0.63 for one who isn't a regular) and a lead of 0.05; then regulars not
+    found yet their second chance; then voices that are a part of a named one that name; then, in episodes all of whose regulars are enrolled, guests theirs.
+    """
+    if done is not None:
+        windows, speech = (x.join(done.select("ep"), "ep", "left_anti") for x in (windows, speech))
+    enough = speech.where(F.col("sec") >= MATCHED).select("ep", "label")
+    heard = windows.join(enough, ["ep", "label"], "left_semi")
+    heard = heard.join(heard.groupBy("ep", "label").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 3").select("ep", "label"), ["ep", "label"], "left_semi")
+    best = best_names(window_scores(heard, profiles)).join(regulars.select("ep", "name", F.lit(True).alias("regular")), ["ep", "name"], "left").withColumn("regular", F.coalesce("regular", F.lit(False)))
+    v = speech.join(best.withColumnRenamed("name", "best"), ["ep", "label"], "left")
+    good = (F.col("score") >= F.when(F.col("regular"), 0.55).otherwise(0.63)) & (F.col("margin") >= 0.05)
+    v = v.withColumns({"name": F.when(good, F.col("best")), "source": F.when(good, "voiceprint")})
+    found = v.where("name is not null").select("ep", "name")
+    again = second_chance(v.where("name is null and regular").drop("name").withColumnRenamed("best", "name"), None, found)
+    v = _with(v, again.select("ep", "label", "name", F.lit("voiceprint").alias("source")))
+    middle = centroids(heard.select(F.struct("ep", "label").alias("voice"), "emb"), "voice").select("voice.ep", "voice.label", "emb")
+    named = v.where("name is not null").select("ep", "label", "name").join(middle, ["ep", "label"])
+    parts = fold(v.where("name is null").select("ep", "label").join(middle, ["ep", "label"]), named)
+    v = _with(v, parts.select("ep", "label", F.col("into").alias("name"), F.lit("voiceprint").alias("source")))
+    missing = regulars.join(profiles.select("name").distinct(), "name", "left_anti").select("ep").distinct()
+    guests = guess_guests(v.join(missing, "ep", "left_anti"), candidates)
+    return _with(v, guests).select("ep", "label", "sec", "name", "source", "score", "margin")
 
 
 def sample_windows(turns: DataFrame, trim: float = 0.3, size: float = 4.0, least: float = 2.0, most: int = 24) -> DataFrame:

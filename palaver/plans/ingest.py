@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions.stem import has_phrase, stems
 from palaver.functions.text import seconds
-from palaver.operators import edits, folds
+from palaver.operators import edits, facts, folds
 from palaver.plans.bindings import table
 from palaver.plans.pages import _S, sentences
 from palaver.plans.words import _M, messages
@@ -127,12 +127,17 @@ def _spoken(s, d):
 
 
 def _facts(s, d):
-    from palaver.operators.facts import extract
+    rules = facts.Rules(r"(?i)\bthe\b", r"(?i)\b(?:of|la)\b", {"Ann": ["and"], "Bob": ["de"]}, ahead=21, sentence=14, apart=10)
+    return facts.extract(messages(s, d), rules)
 
-    return extract(messages(s, d), r"(?i)\bthe\b", r"(?i)\b(?:of|la)\b", {"Ann": ["and"], "Bob": ["de"]}, 21, 14, 25, 10)
 
+def _slots(s, d):
+    m = messages(s, d).select("ep", "id", "t", "text")
+    fixed = F.col("text").rlike("[Tt]he |[Dd]ie ")
+    return folds.greedy_slots(m.where(fixed), m.where(~fixed & F.col("text").rlike(",")), 10)
 
-QUERIES |= {"name_fixes": _corrected, "speaker_runs": lambda s, d: folds.speaker_runs(_spoken(s, d)), "fact_extract": _facts}
+
+QUERIES |= {"name_fixes": _corrected, "speaker_runs": lambda s, d: folds.speaker_runs(_spoken(s, d)), "fact_extract": _facts, "greedy_slots": _slots}
 ORACLES["name_fixes"] = f"""WITH {_M}, a AS (SELECT ep, id, replace(text, 'The la ', 'la ') AS x, len(regexp_extract_all(text, 'The la ')) AS n1 FROM m),
 b AS (SELECT *, replace(x, 'der ', 'die ') AS y, len(regexp_extract_all(x, 'der ')) AS n2 FROM a)
 SELECT ep, id, md5(replace(y, 'die die ', 'die ')) AS text, CAST(n1 + n2 + len(regexp_extract_all(y, 'die die ')) AS BIGINT) AS n FROM b"""
@@ -151,6 +156,15 @@ SELECT p.ep, p.id, CAST(greatest(p.t, least(coalesce(floor(said_at), p.t), p.lat
 
 #: A sentence's end, quotes and brackets after it or not.
 _END = """[.?!…]["''”’)]*$"""
+#: Own statements by time, the last one that joined in carried along; then slots by time, the last one kept carried along.
+ORACLES["greedy_slots"] = f"""WITH RECURSIVE {_M}, x AS (SELECT ep, id, t, regexp_matches(text, '[Tt]he |[Dd]ie ') AS f, contains(text, ',') AS c FROM m),
+o AS (SELECT *, row_number() OVER (PARTITION BY ep ORDER BY t, id) AS k FROM (SELECT ep, id, t, EXISTS (SELECT 1 FROM x y WHERE y.ep = x.ep AND y.f AND abs(y.t - x.t) < 10) AS near FROM x WHERE NOT f AND c)),
+r AS (SELECT ep, k, id, t, NOT near AS ok, CASE WHEN NOT near THEN t END AS last FROM o WHERE k = 1 UNION ALL
+  SELECT o.ep, o.k, o.id, o.t, NOT o.near AND (r.last IS NULL OR o.t - r.last >= 10), CASE WHEN NOT o.near AND (r.last IS NULL OR o.t - r.last >= 10) THEN o.t ELSE r.last END FROM r JOIN o ON o.ep = r.ep AND o.k = r.k + 1),
+a AS (SELECT *, row_number() OVER (PARTITION BY ep ORDER BY t, own, id) AS k FROM (SELECT ep, id, t, false AS own FROM x WHERE f UNION ALL SELECT ep, id, t, true FROM r WHERE ok)),
+z AS (SELECT ep, k, id, t, own, true AS kept, t AS last FROM a WHERE k = 1 UNION ALL SELECT a.ep, a.k, a.id, a.t, a.own, a.t - z.last >= 10, CASE WHEN a.t - z.last >= 10 THEN a.t ELSE z.last END FROM z JOIN a ON a.ep = z.ep AND a.k = z.k + 1)
+SELECT ep, id, t, own FROM z WHERE kept"""
+
 #: Rows of an episode in order; each step of the recursion puts the next row to the group held, or begins one.
 _FOLDS = {
     "interval_dedupe": f"""WITH RECURSIVE {_M}, r AS (SELECT ep, arg_min(id, row(t, id)) AS id, min(t) AS t FROM m GROUP BY ep

@@ -10,6 +10,7 @@ from palaver.functions import text as fx
 from palaver.operators import joins, shows, topics, voices
 from palaver.plans.bindings import LINES_SQL, lines, table
 from palaver.plans.misc import _F, TOPICS
+from palaver.plans.pages import _B, _E
 from palaver.plans.words import _M, messages
 
 PEOPLE = {"Ann": ("la", "les"), "Bob": ("of", "de"), "Cy": ("the", "Der")}
@@ -49,7 +50,8 @@ def _guess(s, d):
     e = lines(s, d).where("spk != ''").groupBy("ep", F.col("spk").alias("label")).agg(F.sum("words").alias("sec"))
     v = e.select("ep", "label", "sec", F.when(F.col("label") == "view", "Host").alias("name"), F.when(F.col("label") == "view", F.when(F.col("ep") % 2 == 0, "voiceprint").otherwise("hand")).alias("source"))
     c = e.where("sec > 40").select("ep", F.concat(F.lit("Guest "), F.length("label").cast("string")).alias("name"), F.col("sec").alias("score")).distinct()
-    return v, c
+    host = e.where("label = 'purchase' AND sec > 200").select("ep", F.lit("Host").alias("name"), F.lit(100_000).cast("long").alias("score"))
+    return v, c.unionByName(host)
 
 
 def _asr(s, d):
@@ -77,14 +79,14 @@ def _described(s, d):
 
 def _announced(s, d):
     m = messages(s, d)
-    return m.select("ep", "id", fx.last_named(F.col("text"), PEOPLE).alias("last"), fx.announced(F.col("text"), F.when(F.col("spk") == "user", "Bob").otherwise(F.col("spk")), PEOPLE, r"(?i)\b(?:in|et) (?:la|de|of)\b").alias("who"))
+    return m.select("ep", "id", fx.last_named(F.col("text"), PEOPLE).alias("last"), fx.announced(F.col("text"), F.when(F.col("spk") == "user", "Bob").otherwise(F.col("spk")), PEOPLE, r"(?iuU)\b(?:in|et) (?:la|de|of)\b").alias("who"))
 
 
 def _handed(s, d):
     c = table(s, d, "customer")
     line = F.concat(F.lit("and that is "), F.element_at(F.array(*map(F.lit, ("Mary", "Ann", "Okay", "mary", "Zed"))), (F.col("c_custkey") % 5 + 1).cast("int")), F.lit(" with it"))
     text = F.when(F.col("c_nationkey") < 12, "Mary de Cruz joins us, Zed too").otherwise(F.lit(None).cast("string"))
-    return c.select(F.col("c_custkey").alias("id"), fx.handed_to(line, text, {"Ann": ("Ann",)}, no_name=("Okay",)).alias("guest"))
+    return c.select(F.col("c_custkey").alias("id"), fx.handed_to(line, text, {"Ann": ("Ann",)}, r"\bthat is ([A-Z][a-z]+)\b", ("Okay",)).alias("guest"))
 
 
 def _rules(s, d):
@@ -126,8 +128,8 @@ QUERIES = {
     "loud_windows": lambda s, d: table(s, d, "embeddings").select("vec_id", F.round(fx.loudness(F.col("embedding")), 6).alias("rms")).where("rms >= 0.005"),
     "fold_voices": _fold,
     "second_chance": _second,
-    "guessed_guests": lambda s, d: voices.guess_guests(*_guess(s, d)),
-    "guests_redone": lambda s, d: voices.redo_guests(_guess(s, d)[0].withColumns({"name": F.when(F.length("label") > 6, "old").otherwise(F.col("name")), "source": F.when(F.length("label") > 6, "guess").otherwise(F.col("source"))}), _guess(s, d)[1]).select("ep", "label", "name", "source"),
+    "guessed_guests": lambda s, d: voices.guess_guests(*_guess(s, d), 60),
+    "guests_redone": lambda s, d: voices.redo_guests(_guess(s, d)[0].withColumns({"name": F.when(F.length("label") > 6, "old").otherwise(F.col("name")), "source": F.when(F.length("label") > 6, "guess").otherwise(F.col("source"))}), _guess(s, d)[1], 60).select("ep", "label", "name", "source"),
     "announced_names": _announced,
     "handed_to": _handed,
     "carry_word_speaker": lambda s, d: joins.carry_forward(joins.carry_forward(lines(s, d).withColumn("at", F.when(F.col("words") > 20, F.col("t").cast("string"))), "ep", ["t", "id"], "spk"), "ep", ["t", "id"], "at").select("id", "spk", "at"),
@@ -135,17 +137,18 @@ QUERIES = {
 }
 _FX = _F + ", ff AS (SELECT ep, id AS n, t, who, topic AS fact, CASE WHEN topic = 'articles' THEN 'my' ELSE 'guess' END AS src FROM f)"
 _V = f"WITH {LINES_SQL}, v AS (SELECT DISTINCT ep, spk AS label FROM lines), a AS (SELECT ep, label, CASE WHEN length(label) > 4 THEN 'auto ' || label END AS name FROM v), b AS (SELECT ep, label, 'hand ' || CAST(ep AS VARCHAR) AS name FROM v WHERE label IN ('click', 'signup'))"
-_E = "WITH v AS (SELECT vec_id % 3 AS ep, vec_id AS label, CASE WHEN embedding[1] > 0 THEN 'p' || CAST(label AS VARCHAR) END AS name, embedding AS e, CAST(vec_id % 400 AS DOUBLE) AS sec FROM embeddings WHERE label IS NOT NULL)"
+_VEC = "WITH v AS (SELECT vec_id % 3 AS ep, vec_id AS label, CASE WHEN embedding[1] > 0 THEN 'p' || CAST(label AS VARCHAR) END AS name, embedding AS e, CAST(vec_id % 400 AS DOUBLE) AS sec FROM embeddings WHERE label IS NOT NULL)"
 _G = f"""WITH {LINES_SQL}, e AS (SELECT ep, spk AS label, CAST(sum(words) AS BIGINT) AS sec FROM lines WHERE spk <> '' GROUP BY ALL),
   v AS (SELECT *, CASE WHEN label = 'view' THEN 'Host' END AS name, CASE WHEN label = 'view' THEN CASE WHEN ep % 2 = 0 THEN 'voiceprint' ELSE 'hand' END END AS source FROM e),
-  c AS (SELECT ep, name, row_number() OVER (PARTITION BY ep ORDER BY score DESC, name) AS k, count(*) OVER (PARTITION BY ep) AS m FROM (SELECT DISTINCT ep, 'Guest ' || CAST(length(label) AS VARCHAR) AS name, sec AS score FROM e WHERE sec > 40)),
-  o AS (SELECT ep, label, row_number() OVER (PARTITION BY ep ORDER BY sec DESC, label) AS k, count(*) OVER (PARTITION BY ep) AS n FROM v WHERE name IS NULL),
-  w AS (SELECT ep, bool_and(name IS NULL OR source = 'voiceprint') AS known FROM v GROUP BY ep),
+  c AS (SELECT ep, name, row_number() OVER (PARTITION BY ep ORDER BY score DESC, name) AS k, count(*) OVER (PARTITION BY ep) AS m FROM (SELECT DISTINCT ep, 'Guest ' || CAST(length(label) AS VARCHAR) AS name, sec AS score FROM e WHERE sec > 40 UNION ALL SELECT ep, 'Host', 100000 FROM e WHERE label = 'purchase' AND sec > 200) q
+    WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.ep = q.ep AND v.name = q.name)),
+  o AS (SELECT ep, label, row_number() OVER (PARTITION BY ep ORDER BY sec DESC, label) AS k, count(*) OVER (PARTITION BY ep) AS n FROM v WHERE name IS NULL AND sec >= 60),
+  w AS (SELECT ep, bool_and(name IS NULL OR source = 'voiceprint') AS known FROM v WHERE sec >= 60 GROUP BY ep),
   g AS (SELECT o.ep, o.label, c.name, CASE WHEN n = 1 AND m = 1 AND known THEN 'sure' ELSE 'guess' END AS source FROM o JOIN c ON o.ep = c.ep AND o.k = c.k JOIN w ON w.ep = o.ep)"""
 
 
 def _last(text: str) -> str:
-    at = lambda a: rf"CASE WHEN regexp_matches({text}, '\b(?:{a})\b') THEN length(regexp_extract({text}, '(?s)^(.*)\b(?:{a})\b', 1)) ELSE -1 END"
+    at = lambda a: rf"CASE WHEN regexp_matches({text}, '{_B}(?:{a}){_E}') THEN length(regexp_extract({text}, '(?s)^(.*{_B})(?:{a}){_E}', 1)) ELSE -1 END"
     x, y, z = (at(a) for a in _ALIAS.values())
     return f"CASE WHEN greatest({x}, {y}, {z}) = -1 THEN '' WHEN {x} = greatest({x}, {y}, {z}) THEN 'Ann' WHEN {y} = greatest({x}, {y}, {z}) THEN 'Bob' ELSE 'Cy' END"
 
@@ -170,13 +173,13 @@ ORACLES = {
     "backfilled_names": f"{_V} SELECT * FROM b UNION ALL SELECT a.* FROM a WHERE (ep, label) NOT IN (SELECT (ep, label) FROM b)",
     "speech_seconds": f"WITH {LINES_SQL} SELECT ep, spk AS label, CAST(sum(2 + id % 3) AS BIGINT) AS sec FROM lines GROUP BY ALL",
     "loud_windows": "SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) / len(embedding)), 6) AS rms FROM embeddings WHERE sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) / len(embedding)) >= 0.005",
-    "fold_voices": f"""{_E}, b AS (SELECT u.ep, u.label, k.name AS "into", max(list_dot_product(CAST(u.e AS DOUBLE[]), CAST(k.e AS DOUBLE[]))) AS sim FROM v u JOIN v k ON u.ep = k.ep WHERE u.name IS NULL AND k.name IS NOT NULL GROUP BY ALL),
+    "fold_voices": f"""{_VEC}, b AS (SELECT u.ep, u.label, k.name AS "into", max(list_dot_product(CAST(u.e AS DOUBLE[]), CAST(k.e AS DOUBLE[]))) AS sim FROM v u JOIN v k ON u.ep = k.ep WHERE u.name IS NULL AND k.name IS NOT NULL GROUP BY ALL),
       r AS (SELECT *, row_number() OVER w AS k, sim - lead(sim) OVER w AS gap FROM b WINDOW w AS (PARTITION BY ep, label ORDER BY sim DESC, "into")) SELECT ep, label, "into", round(sim, 6) AS sim FROM r WHERE k = 1 AND sim >= 0.3 AND coalesce(gap, 1) >= 0.02""",
-    "second_chance": f"""{_E}, s AS (SELECT ep, label, name, round(abs(e[2]), 6)::DOUBLE AS score, round(abs(e[3]), 6)::DOUBLE AS margin, sec FROM v WHERE name IN ('p1', 'p2', 'p3', 'p4')),
+    "second_chance": f"""{_VEC}, s AS (SELECT ep, label, name, round(abs(e[2]), 6)::DOUBLE AS score, round(abs(e[3]), 6)::DOUBLE AS margin, sec FROM v WHERE name IN ('p1', 'p2', 'p3', 'p4')),
       r AS (SELECT *, row_number() OVER (PARTITION BY ep, name ORDER BY score DESC, label) AS k FROM s WHERE score >= 0.05 AND margin >= 0.05 AND sec >= 120 AND NOT (ep = 0 AND name = 'p1') AND NOT (ep = 1 AND name = 'p2')) SELECT ep, label, name, score FROM r WHERE k = 1""",
     "guessed_guests": f"{_G} SELECT * FROM g",
     "guests_redone": f"{_G} SELECT v.ep, v.label, coalesce(g.name, v.name) AS name, coalesce(g.source, v.source) AS source FROM v LEFT JOIN g ON g.ep = v.ep AND g.label = v.label",
-    "announced_names": rf"WITH {_M} SELECT ep, id, {_last('text')} AS last, CASE WHEN spk = 'user' AND regexp_matches(text, '(?i)\b(?:in|et) (?:la|de|of)\b') THEN 'Bob' ELSE {_last('text')} END AS who FROM m",
+    "announced_names": rf"WITH {_M} SELECT ep, id, {_last('text')} AS last, CASE WHEN spk = 'user' AND regexp_matches(text, '(?i){_B}(?:in|et) (?:la|de|of){_E}') THEN 'Bob' ELSE {_last('text')} END AS who FROM m",
     "handed_to": "SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN CASE WHEN c_nationkey < 12 THEN 'Mary de Cruz' ELSE 'Mary' END WHEN 4 THEN 'Zed' ELSE '' END AS guest FROM customer",
     "carry_word_speaker": f"""WITH {LINES_SQL} SELECT id, coalesce(last_value(nullif(spk, '') IGNORE NULLS) OVER w, '') AS spk, coalesce(last_value(CASE WHEN words > 20 THEN CAST(t AS VARCHAR) END IGNORE NULLS) OVER w, '') AS at FROM lines
       WINDOW w AS (PARTITION BY ep ORDER BY t, id ROWS UNBOUNDED PRECEDING)""",

@@ -17,20 +17,24 @@ def _fs(spark: SparkSession, path: str):
 
 
 def swap(df: DataFrame, path: str) -> None:
-    """df in place of the table at path: readers meet the old rows or the new ones, never a part, and a failed write leaves the old ones.
+    """df in place of the table at path. A write that fails leaves the old rows, and so does a move that fails: the old table is put back.
 
-    df may read the table that it replaces.
+    df may read the table that it replaces. Between the two moves there is no table at path for a moment; ``store.Store`` has no such moment.
     """
     fs, at = _fs(df.sparkSession, path)
     new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     try:
         df.write.parquet(new)
+        there = fs.exists(at(path))
+        if there and not fs.rename(at(path), at(old)):
+            raise RuntimeError(f"{path} could not be moved away")
+        if not fs.rename(at(new), at(path)):
+            if there and not fs.rename(at(old), at(path)):
+                raise RuntimeError(f"{path} could not be replaced, nor put back: its rows are at {old}")
+            raise RuntimeError(f"{path} could not be replaced")
     except Exception:
         fs.delete(at(new), True)
         raise
-    if fs.exists(at(path)):
-        fs.rename(at(path), at(old))
-    fs.rename(at(new), at(path))
     fs.delete(at(old), True)
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from palaver.operators.joins import upsert
 from palaver.sources import captions
@@ -27,6 +28,22 @@ def upsert_sink(read: Callable[[], DataFrame | None], write: Callable[[DataFrame
     return f
 
 
+def watch(listings: DataFrame, checkpoint: str, refresh: Callable[[DataFrame], object]) -> StreamingQuery:
+    """Call ``refresh`` with each newest listing (ep, stamp, made) of a stream of them (at, ep, stamp, made).
+
+    A listing has all inputs that exist at a time, so that what isn't in it any more is known to be gone, and what changed under its old name is known
+    by its stamp. Of several listings that come at once the newest counts; one with no inputs at all has a row whose ep is null. A batch that runs again
+    after a failure finds nothing to do if its commit was made.
+    """
+
+    def f(batch: DataFrame, _: int) -> None:
+        newest = batch.agg(F.max("at")).first()[0]
+        if newest is not None:
+            refresh(batch.where((F.col("at") == newest) & F.col("ep").isNotNull()).select("ep", "stamp", "made"))
+
+    return listings.writeStream.option("checkpointLocation", checkpoint).foreachBatch(f).trigger(availableNow=True).start()
+
+
 def minute_counts(requests: DataFrame, limit: int = 30, late: str = "5 minutes") -> DataFrame:
     """(ip, minute, n, allowed) of a stream of (ip, ts); minutes older than the watermark are forgotten."""
     c = requests.withWatermark("ts", late).groupBy("ip", F.window("ts", "1 minute").alias("w")).agg(F.count(F.lit(1)).alias("n"))

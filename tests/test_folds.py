@@ -99,9 +99,9 @@ def test_guests_and_topics(spark):
     rows = [(1, "L1", 50.0, None, None), (1, "H", 90.0, "Host", "voiceprint"), (2, "L2", 10.0, None, None), (2, "L3", 20.0, "", None), (3, "L4", 5.0, None, None), (3, "H", 9.0, "Host", "hand")]
     v = spark.createDataFrame(rows, "ep long, label string, sec double, name string, source string")
     c = spark.createDataFrame([(1, "Ann", 9.0), (2, "Bob", 5.0), (3, "Cy", 1.0)], "ep long, name string, score double")
-    assert sorted(tuple(r) for r in voices.guess_guests(v, c).collect()) == [(1, "L1", "Ann", "sure"), (2, "L3", "Bob", "guess"), (3, "L4", "Cy", "guess")]
+    assert sorted(tuple(r) for r in voices.guess_guests(v, c, 0).collect()) == [(1, "L1", "Ann", "sure"), (2, "L3", "Bob", "guess"), (3, "L4", "Cy", "guess")]
     old = v.where("ep = 1").withColumns({"name": F.when(F.col("label") == "L1", "Old").otherwise(F.col("name")), "source": F.when(F.col("label") == "L1", "guess").otherwise(F.col("source"))})
-    assert sorted((r.label, r.name, r.source) for r in voices.redo_guests(old, c).collect()) == [("H", "Host", "voiceprint"), ("L1", "Ann", "sure")]
+    assert sorted((r.label, r.name, r.source) for r in voices.redo_guests(old, c, 0).collect()) == [("H", "Host", "voiceprint"), ("L1", "Ann", "sure")]
     t = [("Animals", ["cat*", "dog"], 1.0), ("Food", ["fish", "bread"], 2.0)]
     assert col(spark, ["Cats and a dog", "a cat, fish", "cat dog bread", "none"], lambda x: topics.topic(x, t)) == ["Animals", "Food", "Animals", "Other"]
     reads = spark.createDataFrame([(["a", "b"], "friend"), (["a"], "foe")], "who array<string>, verdict string")
@@ -121,19 +121,53 @@ def test_speaker_runs(spark):
 
 
 def test_facts(spark):
-    from palaver.operators.facts import extract
+    from palaver.operators.facts import Rules, extract
 
     rows = [
         (1, 1, 0, "Host", "Time for fact number one and that is Ann"), (1, 2, 5, "", "Short"), (1, 3, 10, "guest 1", "My fact is that bees"), (1, 4, 12, "guest 1", "can count."), (1, 5, 60, "Bob", "My fact is too near."),
         (1, 6, 200, "Bob", "my fact is about owls, who see"), (1, 7, 203, "", "at night."), (1, 8, 400, "Host", "Time for fact two, Zoe"), (1, 9, 410, "", "Here is something quite long enough."), (2, 1, 0, "Host", "Nothing"),
     ]
     d = spark.createDataFrame(rows, "ep long, id long, t long, spk string, text string")
-    got = [tuple(r) for r in extract(d, r"Time for fact", r"(?i)my fact is", {"Ann": ["Ann"], "Zoe": ["Zoe"]}).orderBy("ep", "n").collect()]
+    got = [tuple(r) for r in extract(d, Rules(r"Time for fact", r"(?i)my fact is", {"Ann": ["Ann"], "Zoe": ["Zoe"]})).orderBy("ep", "n").collect()]
     assert got == [
-        (1, 1, 10, "Ann", "Bees can count.", "announced"), (1, 2, 200, "Bob", "Owls, who see at night.", "said"), (1, 3, 410, "Zoe", "Here is something quite long enough.", "announced"),
+        (1, 1, 10, "Ann", "Bees can count.", "my", "announced"), (1, 2, 200, "Bob", "Owls, who see at night.", "my", "speaker"), (1, 3, 410, "Zoe", "Here is something quite long enough.", "guess", "announced"),
     ]
 
 
+def test_who_presents(spark):
+    from palaver.operators.facts import Rules, extract
+
+    rules = Rules(r"Fact number", r"(?i)my fact is that", {"Dan": ["Dan", "Daniel"], "Eve": ["Eve"]}, strong="number", opener=r"(?:okay|thanks)\b", mine=r"(?i)that is mine", cue=r"over to ([A-Z][a-z]+)", no_name=["Time"], full_names={"Alex": "Alex Bell"})
+    long = "and this is a long sentence for a fact."
+    eps = {
+        1: [(0, "Dan", "Fact number one, that is mine."), (9, "Dan", f"My fact is that {long}")],
+        2: [(0, "Dan", "Fact number one, that is Dan."), (9, "Dan Zed", f"My fact is that {long}")],  # a guest with the announcer's name says it
+        3: [(0, "Dan", "Fact number one, Mary."), (9, "", f"My fact is that {long}")],  # a guest by the first name
+        4: [(0, "Dan", "Fact number one, over to Russell."), (9, "", "Okay, and here is a long sentence."), (12, "", long)],  # a stranger; an opener is no fact
+        5: [(0, "Dan", "Fact number one, over to Alex."), (9, "", long)],
+        6: [(0, "Dan", "Fact number one, over to Time."), (9, "", long)],  # nobody named: no guess
+        7: [(0, "Dan", "Fact number one."), (9, "Voice 3", f"My fact is that {long}")],  # a label that is nobody
+        8: [(0, "Eve", f"Fact number one: my fact is that {long}")],  # in the hand-over's own rest
+        9: [(0, "Dan", "Fact number one."), (61, "Eve", f"My fact is that {long}")],  # too late for the slot, but said
+    }
+    lines = [(e, i, t, s, x) for e, ls in eps.items() for i, (t, s, x) in enumerate(ls)]
+    d = spark.createDataFrame(lines, "ep long, id long, t long, spk string, text string")
+    guests = spark.createDataFrame([(2, "Dan Zed"), (3, "Mary Roach")], "ep long, guest string")
+    told = spark.createDataFrame([(4, "Dan, Eve and (live) Russell T. Davies, who")], "ep long, description string")
+    got = {r.ep: (r.who, r.how, r.src) for r in extract(d, rules, guests, told).collect()}
+    assert got == {
+        1: ("Dan", "announced", "my"), 2: ("Dan Zed", "announced", "my"), 3: ("Mary Roach", "announced", "my"), 4: ("Russell T. Davies", "speaker", "guess"), 5: ("Alex Bell", "speaker", "guess"),
+        7: ("", "speaker", "my"), 8: ("Eve", "speaker", "my"), 9: ("Eve", "speaker", "my"),
+    }
+
+
+def test_slots_that_join_in_keep_others_out(spark):
+    s = "ep long, id long, t long"
+    slots, own = spark.createDataFrame([(1, 1, 0), (1, 2, 50), (1, 9, 400)], s), spark.createDataFrame([(1, 3, 80), (1, 4, 150), (1, 5, 200), (1, 6, 245), (1, 7, 330), (2, 1, 7)], s)
+    # 80 is near 0 and 50; 150 joins in, which keeps 200 out (fixed slots alone would let it in); 245 joins; 330 is near 400
+    assert sorted(tuple(r) for r in folds.greedy_slots(slots, own).collect()) == [(1, 1, 0, False), (1, 4, 150, True), (1, 6, 245, True), (1, 9, 400, False), (2, 1, 7, True)]
+
+
 def test_corrections(spark):
     d = spark.createDataFrame([(1, "Jon smith and jon"), (2, None)], "i int, x string")
     new, n = text.corrected(F.col("x"), [(r"\bJon\b", "John"), (r"John smith", "John Smith")])

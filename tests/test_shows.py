@@ -35,9 +35,11 @@ def test_small_rules(spark):
     assert one(spark, fx.loudness(F.array().cast("array<double>"))) == 0.0
     people = {"Ann": ["Ann", "Anna"], "Bob": ["Bob"]}
     assert [one(spark, fx.last_named(F.lit(x), people)) for x in ("Bob and Ann", "Ann then Bob", "Annabel", "")] == ["Ann", "Bob", "", ""]
-    assert one(spark, fx.announced(F.lit("and that is me"), F.lit("Bob"), people)) == "Bob"
-    hand = lambda line, d: one(spark, fx.handed_to(F.lit(line), F.lit(d), people, no_name=("Okay",)))
-    assert hand("that is Russell", "With Russell T Davies, live") == "Russell T Davies" and hand("over to Zed", None) == "Zed" and hand("it is Okay", "") == "" and hand("it is Ann", "Ann B") == ""
+    assert one(spark, fx.announced(F.lit("and that is me"), F.lit("Bob"), people, r"\bis me\b")) == "Bob"
+    hand = lambda line, d: one(spark, fx.handed_to(F.lit(line), F.lit(d), people, r"\b(?:is|to) ([A-Z]\w+)", ("Okay",), {"Zed": "Zed Young"}))
+    assert hand("that is Russell", "With Russell T Davies, live") == "Russell T Davies" and hand("over to Zed", None) == "Zed Young" and hand("over to Ned", "Ned, Zed") == "Ned" and hand("it is Okay", "") == "" and hand("it is Ann", "Ann B") == ""
+    full = lambda d, first: one(spark, fx.name_in_full(F.lit(d), F.lit(first)))
+    assert [full(*x) for x in (("with (Mary de la Cruz)", "Mary"), ("Maryland, Mary van Dyke's", "Mary"), ("Mary, Queen", "Mary"), ("St. Mary T. Roach. Then", "Mary"), ("Mary desk", "Mary"), ("none", "Mary"), (None, "Mary"), ("x", ""))] == ["Mary de", "Mary van Dyke's", "Mary", "Mary T. Roach. Then", "Mary", "", "", ""]
     m = F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.lit("1")), F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2"))
     assert one(spark, fx.cache_key(F.lit(7), m[0])) == one(spark, fx.cache_key(F.lit(7), m[1])) != one(spark, fx.cache_key(F.lit(8), m[1]))
     assert one(spark, fx.highlight(F.lit("The cat, bathe"), ["the"])) == "<mark>The</mark> cat, bathe"
