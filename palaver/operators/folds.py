@@ -171,8 +171,8 @@ def align(mentions: DataFrame, reads: DataFrame, within: int = 20) -> DataFrame:
     kind = dict(mentions.dtypes)["ep"]
 
     def f(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values(["t", "id"]), b.sort_values(["t", "id"])
-        x, y = a["t"].tolist(), b["t"].tolist()
+        a, b = a.sort_values(["t", "id"]), b.sort_values(["r_t", "r_id"])
+        x, y = a["t"].tolist(), b["r_t"].tolist()
         best = [[(0, 0)] * (len(y) + 1) for _ in range(len(x) + 1)]
         for i in range(len(x) - 1, -1, -1):
             for j in range(len(y) - 1, -1, -1):
@@ -188,11 +188,12 @@ def align(mentions: DataFrame, reads: DataFrame, within: int = 20) -> DataFrame:
             elif best[i][j] == best[i][j + 1]:
                 j += 1
             else:
-                out.append((a["ep"].iloc[i], a["phrase"].iloc[i], int(a["id"].iloc[i]), int(b["id"].iloc[j])))
+                out.append((a["ep"].iloc[i], a["phrase"].iloc[i], int(a["id"].iloc[i]), int(b["r_id"].iloc[j])))
                 i, j = i + 1, j + 1
         return pd.DataFrame(out, columns=["ep", "phrase", "m_id", "r_id"])
 
-    return mentions.groupBy("ep", "phrase").cogroup(reads.groupBy("ep", "phrase")).applyInPandas(f, f"ep {kind}, phrase string, m_id bigint, r_id bigint")
+    r = reads.select(*[F.col(c).alias(f"r_{c}") for c in ("ep", "phrase", "id", "t")])
+    return mentions.groupBy("ep", "phrase").cogroup(r.groupBy("r_ep", "r_phrase")).applyInPandas(f, f"ep {kind}, phrase string, m_id bigint, r_id bigint")
 
 
 def speaker_runs(words: DataFrame, shortest: float = 0.5, reach: int = 3) -> DataFrame:
