@@ -90,8 +90,8 @@ def filter_counts(facts: DataFrame, hosts: Sequence[str], section: str, least: i
 
 
 def trademark(signatures: DataFrame, by: str = "person", among_first: int = 10) -> DataFrame:
-    """(by, word, lift): the one word of all that its group's first ones say most over others; ties to the least."""
-    return signatures.where(F.col("rank") <= among_first).agg(F.max_by(F.struct(by, "word", "lift"), F.struct("lift", F.xxhash64(by, "word"))).alias("s")).select("s.*")
+    """(by, word, lift): the one word of all that its group's first ones say most over others; ties to the greatest group, then word."""
+    return signatures.where(F.col("rank") <= among_first).agg(F.max_by(F.struct(by, "word", "lift"), F.struct("lift", by, "word")).alias("s")).select("s.*")
 
 
 def sorted_rows(rows: DataFrame, column: str, descending: bool = False, ties: Sequence[str] = ()) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palaver.functions.text import tokens
+from palaver.session import kept
 
 PRIOR = 1000.0
 
@@ -31,7 +32,7 @@ def log_odds(y_a: Column, n_a: Column, y_b: Column, n_b: Column, prior: Column,
 
 def signatures(counts: DataFrame, by: str = "person", value: str = "n", least: int = 30, episodes: int = 10, lift: float = 1.5, length: int = 3, k: int = 20) -> DataFrame:
     """(by, word, z, n, lift, rank): the words that set a group apart from the rest, ``k`` each."""
-    f = counts.groupBy(by, "word").agg(F.sum(value).alias("y"), F.count(F.lit(1)).alias("eps"))
+    f = kept(counts.groupBy(by, "word").agg(F.sum(value).alias("y"), F.count(F.lit(1)).alias("eps")))  # what all totals come from
     word = f.groupBy("word").agg(F.sum("y").alias("w"))
     group = f.groupBy(by).agg(F.sum("y").alias("n_a"))
     total = group.agg(F.sum("n_a").alias("n_all"))
@@ -46,14 +47,19 @@ def signatures(counts: DataFrame, by: str = "person", value: str = "n", least: i
 def vocabulary(texts: DataFrame, by: str = "person", block: int = 1000, least: int = 10_000) -> DataFrame:
     """(by, ttr, words): mean distinct words in a full block of ``block``, in the order of episodes, for those with ``least`` words.
 
-    Places come from running sums over episodes, so tokens are never sorted by group.
+    Places come from running sums over episodes, so tokens are never sorted by group; windows see a number an episode.
     """
-    t = texts.select(by, "ep", tokens(F.col("text")).alias("toks")).withColumn("size", F.size("toks"))
+    t = texts.select(by, "ep", tokens(F.col("text")).alias("toks"))
     line = Window.partitionBy(by).orderBy("ep")
-    sizes = t.select(by, "ep", "size").withColumns({"before": F.sum("size").over(line) - F.col("size"), "all": F.sum("size").over(Window.partitionBy(by))}).where(F.col("all") >= least)
-    j = t.select(by, "ep", "toks").join(sizes, [by, "ep"]).select(by, "before", "all", F.posexplode("toks").alias("pos", "word"))
-    b = j.withColumn("block", F.floor((F.col("before") + F.col("pos")) / block)).where(F.col("block") < F.floor(F.col("all") / block))
-    per = b.groupBy(by, "block").agg(F.count_distinct("word").alias("d"), F.first("all").alias("all"))
+    sizes = t.select(by, "ep", F.size("toks").alias("size")).withColumns({"before": F.sum("size").over(line) - F.col("size"), "all": F.sum("size").over(Window.partitionBy(by))}).where(F.col("all") >= least)
+    j = t.join(sizes, [by, "ep"]).where("size > 0")
+    cut = F.sequence(F.floor(F.col("before") / block), F.floor((F.col("before") + F.col("size") - 1) / block))
+    begin = F.greatest(F.col("block") * block - F.col("before"), F.lit(0)).cast("int")
+    end = F.least((F.col("block") + 1) * block - F.col("before"), F.col("size")).cast("int")
+    b = j.withColumn("block", F.explode(cut)).where(F.col("block") < F.floor(F.col("all") / block))
+    # An episode's part of a block travels as one array; a block holds ``block`` words.
+    b = b.select(by, "block", "all", F.array_distinct(F.slice("toks", begin + 1, end - begin)).alias("part"))
+    per = b.groupBy(by, "block").agg(F.size(F.array_distinct(F.flatten(F.collect_list("part")))).alias("d"), F.first("all").alias("all"))
     return per.groupBy(by).agg(F.round(F.avg("d") / block, 6).alias("ttr"), F.first("all").alias("words"))
 
 
@@ -92,10 +98,10 @@ def year_words(counts: DataFrame, skip=(), furniture=(), show: str = "person", l
     episodes it gets in other years; what is said about once an episode in many episodes, or in three quarters of them, is furniture.
     Years with fewer than ``year_least`` episodes have no words. The list is as long as ``trimmed`` may need: twice ``k``.
     """
-    f = counts.groupBy(show, "year", "word").agg(F.sum("n").alias("n"), F.sum("capped").alias("cap"), F.count(F.lit(1)).alias("eps"))
+    f = kept(counts.groupBy(show, "year", "word").agg(F.sum("n").alias("n"), F.sum("capped").alias("cap"), F.count(F.lit(1)).alias("eps")))  # what all totals come from
     word = f.groupBy("word").agg(F.sum("cap").alias("prior"))
     whole = f.groupBy(show, "word").agg(F.sum("cap").alias("whole"), F.sum("eps").alias("whole_eps"))
-    year = counts.groupBy(show, "year").agg(F.count_distinct("ep").alias("n_eps"), F.sum("capped").alias("n_a"))
+    year = counts.groupBy(show, "year").agg(F.count_distinct("ep").alias("n_eps")).join(f.groupBy(show, "year").agg(F.sum("cap").alias("n_a")), [show, "year"])
     all_ = year.groupBy(show).agg(F.sum("n_eps").alias("all_eps"), F.sum("n_a").alias("n_all"))
     total = all_.agg(F.sum("n_all").alias("n_prior"))
     year = year.where(F.col("n_eps") >= year_least).join(all_, show).join(F.broadcast(total))  # a row a year and show

@@ -41,9 +41,8 @@ def mentions(lines: DataFrame, items: Mapping[str, Sequence[str]], by: Sequence[
     item = F.create_map(*[F.lit(x) for kv in spellings.items() for x in kv])[F.col("phrase")]
     who = F.when(F.col("spk").isin(list(hosts)), F.col("spk")).otherwise(others)
     r = rows.select(item.alias("item"), *by, who.alias("who")).groupBy("item", *by, "who").agg(F.count(F.lit(1)).alias("n"))
-    r.createOrReplaceTempView("_palaver_mentions")
-    cols = ", ".join(by)
-    return r.sparkSession.sql(f"SELECT item, {cols}, who, grouping(who) AS level, sum(n) AS n FROM _palaver_mentions GROUP BY GROUPING SETS ((item, {cols}), (item, {cols}, who))")
+    sets = [[F.col("item"), *[F.col(c) for c in by]], [F.col("item"), *[F.col(c) for c in by], F.col("who")]]
+    return r.groupingSets(sets, "item", *by, "who").agg(F.grouping("who").alias("level"), F.sum("n").alias("n")).select("item", *by, "who", "level", "n")
 
 
 def matched(lines: DataFrame, words: Sequence[str], where: Column | None = None) -> DataFrame:
@@ -64,9 +63,10 @@ def trend(rows: DataFrame) -> DataFrame:
     (set, year, series, spk, tenth, slot, ep, said, lines, t_min, t_max), columns outside a grouping null; set is grouping_id.
     """
     g = rows.groupBy("ep", "series", "year", "spk", "tenth", "slot").agg(F.sum("said").alias("said"), F.count(F.lit(1)).alias("lines"), F.min("t").alias("t_min"), F.max("t").alias("t_max"))
-    g.createOrReplaceTempView("_palaver_trend")
-    return g.sparkSession.sql("""SELECT CAST(grouping_id(year, series, spk, tenth, slot, ep) AS BIGINT) AS grouping, year, series, spk, tenth, slot, ep, sum(said) AS said, sum(lines) AS lines, min(t_min) AS t_min, max(t_max) AS t_max
-      FROM _palaver_trend GROUP BY year, series, spk, tenth, slot, ep GROUPING SETS ((year, series, spk), (series, tenth), (series, slot), (series, ep, spk))""")
+    sets = [["year", "series", "spk"], ["series", "tenth"], ["series", "slot"], ["series", "ep", "spk"]]
+    out = g.groupingSets([[F.col(c) for c in s] for s in sets], "year", "series", "spk", "tenth", "slot", "ep")
+    sums = (F.sum("said").alias("said"), F.sum("lines").alias("lines"), F.min("t_min").alias("t_min"), F.max("t_max").alias("t_max"))
+    return out.agg(F.grouping_id("year", "series", "spk", "tenth", "slot", "ep").alias("grouping"), *sums).select("grouping", "year", "series", "spk", "tenth", "slot", "ep", "said", "lines", "t_min", "t_max")
 
 
 def dense(trended: DataFrame, column: str, size: int) -> DataFrame:

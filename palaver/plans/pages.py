@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palaver.functions import names
 from palaver.functions import text as fx
 from palaver.operators import flow, pages, style, topics, words
+from palaver.session import kept
 from palaver.plans.bindings import LINES_SQL, PERSON_SQL, TALK_SQL, lines, table, talk_rows
 from palaver.plans.misc import _F, TOPICS
 from palaver.plans.words import _M, _TOK, LEVELS, WORDS, messages, texts
@@ -77,6 +78,11 @@ def _years(s, d):
     return style.year_words(style.token_counts(x), YEAR_SKIP, ("en",), least=6, episodes=3, share=0.02, lift=1.2, year_least=5, k=5)
 
 
+def _trimmed(s, d):
+    y = kept(_years(s, d))
+    return style.trimmed(y.withColumn("grp", F.concat("person", "year")), "grp", y.where(F.col("word").rlike("^[a-m]")), 5).drop("grp")
+
+
 def _sized(s, d):
     x = sentences(s, d)
     return x.withColumn("sec", F.lit(3.0))
@@ -94,7 +100,7 @@ QUERIES = {
     "item_ranking": lambda s, d: pages.ranked_with_rest(words.phrase_counts(texts(s, d).withColumn("spk", F.col("person")), WORDS, ("year", "spk")), "phrase", "spk", 2),
     "fact_filters": lambda s, d: pages.filter_counts(_facts(s, d), ("user",), "topic"),
     "facts_of_people": lambda s, d: _facts(s, d).where(pages.among(F.col("who"), ("Guests",), ("user",)) & (F.col("topic") != "Other")).select("ep", "id", "who"),
-    "trademark_word": lambda s, d: pages.trademark(style.signatures(style.token_counts(texts(s, d)), least=10, episodes=3)).select("lift"),
+    "trademark_word": lambda s, d: pages.trademark(style.signatures(style.token_counts(texts(s, d)), least=10, episodes=3)),
     "table_descending": lambda s, d: pages.page(pages.sorted_rows(named_parts(s, d).select("id", F.nullif(names.number(F.col("name")), F.lit("")).try_cast("double").alias("number")), "number", True, ("id",)), 1, 20, 50),
     "table_ascending": lambda s, d: pages.page(pages.sorted_rows(named_parts(s, d).select("id", F.nullif(names.number(F.col("name")), F.lit("")).try_cast("double").alias("number")), "number", False, ("id",)), 0, 40),
     "names_from_a_to_z": lambda s, d: pages.page(pages.alphabetical(table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), "name", ("id",)), 2, 10, 30),
@@ -103,7 +109,8 @@ QUERIES = {
     "second_voice_pieces": lambda s, d: flow.pieces(_sized(s, d), "in", 6.0),
     "sentence_turns": lambda s, d: flow.turns(sentences(s, d)).groupBy("ep", "turn").agg(F.first("spk").alias("spk"), F.min("t").alias("t"), F.count(F.lit(1)).alias("lines")),
     "year_words": _years,
-    "year_words_trimmed": lambda s, d: style.trimmed(_years(s, d).withColumn("grp", F.concat("person", "year")), "grp", _years(s, d).where(F.col("word").rlike("^[a-m]")), 5).drop("grp"),
+    "word_of_year": lambda s, d: _years(s, d).where("rank = 1").select("person", "year", "word", "z"),
+    "year_words_trimmed": _trimmed,
     "multiset_difference": lambda s, d: style.fewer(*[style.token_counts(texts(s, d)).where(F.col("year") == y).groupBy("word").agg(F.sum("n").alias("n")) for y in ("2018", "2019")]),
     "multiset_sum": lambda s, d: style.combined(*[style.token_counts(texts(s, d)).where(F.col("year") == y).groupBy("word").agg(F.sum("n").alias("n")) for y in ("2018", "2019")]),
     "highlighted": lambda s, d: messages(s, d).select("ep", "id", F.md5(fx.highlight(F.regexp_replace("text", "[^a-zA-Z ]", "."), ("the", "la"))).alias("text")),
@@ -144,7 +151,7 @@ ORACLES = {
     "fact_filters": f"""WITH {_F} SELECT 'person' AS filter, CASE WHEN who = 'user' THEN who ELSE 'Guests' END AS value, count(*) AS n FROM f WHERE who <> '' GROUP BY ALL
       UNION ALL SELECT 'section', topic, count(*) FROM f GROUP BY topic HAVING count(*) >= 5""",
     "facts_of_people": f"WITH {_F} SELECT ep, id, who FROM f WHERE who NOT IN ('', 'user') AND topic <> 'Other'",
-    "trademark_word": f"WITH s AS ({WORD_SQL['log_odds_signature']}) SELECT max(lift) AS lift FROM s WHERE rank <= 10",
+    "trademark_word": f"WITH s AS ({WORD_SQL['log_odds_signature']}) SELECT t.person, t.word, t.lift FROM (SELECT arg_max(s, row(lift, person, word)) AS t FROM s WHERE rank <= 10)",
     "table_descending": f"{_NUM} ORDER BY number DESC NULLS FIRST, id LIMIT 50 OFFSET 20",
     "table_ascending": f"{_NUM} ORDER BY number ASC NULLS LAST, id LIMIT 40",
     "names_from_a_to_z": "SELECT c_custkey AS id, c_name AS name FROM customer ORDER BY lower(c_name), c_custkey LIMIT 30 OFFSET 40",
@@ -156,6 +163,7 @@ ORACLES = {
       SELECT ep, turn, piece, any_value(spk) AS spk, min(t) AS begins, 3.0::DOUBLE * count(*) AS sec, count(*) AS lines FROM x WHERE NOT cut AND {PERSON_SQL} GROUP BY ep, turn, piece HAVING count(*) >= 2""",
     "sentence_turns": f"""WITH {_S}, u AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND lag(spk) OVER w = spk THEN 0 ELSE 1 END AS st FROM s WINDOW w AS (PARTITION BY ep ORDER BY t, id)),
       v AS (SELECT *, CAST(sum(st) OVER (PARTITION BY ep ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS turn FROM u) SELECT ep, turn, any_value(spk) AS spk, min(t) AS t, count(*) AS lines FROM v GROUP BY ep, turn""",
+    "word_of_year": f"{_Y} SELECT person, year, word, z FROM q WHERE rank = 1",
     "year_words": f"{_Y} SELECT person, year, word, z, n, eps, rank FROM q WHERE rank <= 10",
     "year_words_trimmed": f"{_Y}, ky AS (SELECT * FROM q WHERE rank <= 10), r AS (SELECT *, row_number() OVER (PARTITION BY person, year ORDER BY rank) AS n2 FROM ky WHERE word NOT IN (SELECT word FROM ky WHERE regexp_matches(word, '^[a-m]'))) SELECT person, year, word, z, n, eps, CAST(n2 AS INTEGER) AS rank FROM r WHERE n2 <= 5",
     "multiset_difference": f"WITH {_TOK}, {_C2} SELECT word, y2018.n - coalesce(y2019.n, 0) AS n FROM y2018 LEFT JOIN y2019 USING (word) WHERE y2018.n > coalesce(y2019.n, 0)",

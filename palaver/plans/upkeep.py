@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palaver.operators import corrections, declared, guests, index, prefixes
-from palaver.plans.bindings import table
-from palaver.plans.words import _M, messages
+from palaver.functions.text import count_words
+from palaver.operators import corrections, declared, guests, index, prefixes, style, talk
+from palaver.plans.bindings import DURATIONS_SQL, LINES_SQL, table
+from palaver.plans.pages import _S, sentences
+from palaver.plans.talk import ORACLES as TALK_SQL_OF
+from palaver.plans.words import _M, messages, texts
+from palaver.plans.words import ORACLES as WORD_SQL
 
 
 def _inputs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -69,7 +73,34 @@ def _people(s, d):
     return declared.people(_declared(s, d)).select("name", join("friend"), join("enemy"), join("acquaintance"), "both", "why")
 
 
+SHOW = "en"
+
+
+def talked(s: SparkSession, d: str) -> DataFrame:
+    """Sentences as lines of shows (languages), with what durations need; how long a line is says who speaks, how long a document is what kind it is and when it was."""
+    who = F.element_at(F.array(*map(F.lit, ("", "ann", "bob", "cy", "dee", "guest 2", "ann"))), F.length("text") % 7 + 1)
+    doc = table(s, d, "documents").select(F.col("doc_id").alias("ep"), F.col("lang").alias("series"), F.concat((2018 + F.col("n_chars") % 5).cast("string"), F.lit("-0"), (1 + F.col("n_chars") % 9).cast("string"), F.lit("-01")).alias("date"), F.when(F.col("n_chars") > 1000, "Main").otherwise("Special").alias("kind"))
+    return sentences(s, d).withColumns({"spk": who, "words": count_words(F.col("text")), "chars": F.length("text")}).join(doc, "ep")
+
+
+def _headlines(s, d):
+    x = talked(s, d)
+    facts = x.where(F.col("text").rlike("^(?:The|La|Die) ")).select(F.col("spk").alias("who"))
+    judged = table(s, d, "labels").select((F.col("quality") == 1).alias("friend"), (F.col("toxic") == 1).alias("enemy"))
+    h = talk.headlines(x, ("ann", "bob"), SHOW, ("the",), ("la", "der"), ("of", "de", "in", "et"), ("and", "und", "que"), facts, judged, style.vocabulary(texts(s, d)), hours=0.1, run={"start": 3, "end": 3, "least": 3.0})
+    told = lambda c, name, value, by=1: F.array_join(F.transform(c, lambda x: F.concat(name(x), F.lit("="), F.round(x[value] * by).cast("long").cast("string"))), ",")
+    f = F.col("ttp.fastest")
+    return h.select(
+        F.col("ttp.with").alias("ttp_with"), F.col("ttp.of").alias("ttp_of"), F.col("ttp.median").alias("ttp_median"), F.concat_ws("|", f["t"].cast("string"), f["date"], f["ep"].cast("string"), f["who"]).alias("ttp_fastest"),
+        told("talk", lambda x: x["spk"], "percent", 10).alias("talk"), told("guests", lambda x: x["spk"], "n").alias("guests"), told("swears", lambda x: x["spk"], "rate", 10).alias("swears"), told("phrases", lambda x: x["phrase"], "n").alias("phrases"),
+        F.col("facts.total").alias("facts"), told("facts.top", lambda x: x["who"], "n").alias("facts_top"), F.col("lineup.all").alias("lineup_all"), F.col("lineup.of").alias("lineup_of"), "episodes", "hours",
+        told("hours_by_year", lambda x: F.concat(x["series"], x["year"]), "hours", 100).alias("hours_by_year"), F.array_join("hosts", ",").alias("hosts"), F.concat("flow.spk", F.lit("="), F.round("flow.sec").cast("long").cast("string")).alias("flow"),
+        F.concat("style.person", F.lit("="), F.round(F.col("style.ttr") * 1000).cast("long").cast("string")).alias("style"), told("mentions", lambda x: x["series"], "rate", 10).alias("mentions"), F.col("pod.friends").alias("friends"), F.col("pod.enemies").alias("enemies"),
+    )
+
+
 QUERIES = {
+    "headlines": _headlines,
     "input_decisions": lambda s, d: index.decisions(*_inputs(s, d)),
     "guest_candidates": lambda s, d: guests.candidates(*_described(s, d), PEOPLE).select("ep", "name", "score"),
     "corrected_lines": _corrected,
@@ -85,7 +116,42 @@ f AS (SELECT ep, date, id, t, spk, lower(regexp_replace(p, '[\s-]+', ' ', 'g'))
 n AS (SELECT *, row_number() OVER (ORDER BY date, ep, t, id, phrase) - 1 AS n, row_number() OVER (PARTITION BY ep, phrase ORDER BY t, id) AS k FROM f),
 v AS (SELECT *, string_split(phrase, ' ')[2] AS w, k = 1 AND spk <> '' AS is_read, length(quote) > 250 AS far FROM n),
 r AS (SELECT *, CASE WHEN regexp_matches(w, '^[a-e]') THEN 'friend' WHEN regexp_matches(w, '^[f-o]') THEN 'enemy' WHEN regexp_matches(w, '^[p-s]') THEN 'unclear' ELSE 'unread' END AS vd FROM v)"""
+_COUNT = lambda ws: "CAST(len(list_filter(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}_'']+'), lambda x: lower(x) IN (" + ", ".join(f"'{w}'" for w in ws) + "))) AS BIGINT)"
+_TALKED = f"""{_S},
+lines AS (
+  SELECT s.ep, s.id, s.t, ['', 'ann', 'bob', 'cy', 'dee', 'guest 2', 'ann'][length(s.text) % 7 + 1] AS spk, s.text, CAST(len(regexp_extract_all(s.text, '[^\\s]+')) AS BIGINT) AS words, CAST(length(s.text) AS BIGINT) AS chars, lang AS series,
+    CAST(2018 + n_chars % 5 AS VARCHAR) || '-0' || CAST(1 + n_chars % 9 AS VARCHAR) || '-01' AS date, CASE WHEN n_chars > 1000 THEN 'Main' ELSE 'Special' END AS kind FROM s JOIN documents ON doc_id = s.ep)"""
+_PERSON = "(spk NOT IN ('', 'guest 2'))"
+_RUNS = TALK_SQL_OF["longest_runs"].replace(LINES_SQL, f"""{_TALKED.replace("lines AS", "every AS")}, lines AS (SELECT * FROM every WHERE series = '{SHOW}' AND kind = 'Main')""").replace(">= 8 ", ">= 3 ").replace("begins >= 10", "begins >= 3").replace("last - 6", "last - 3")
 ORACLES = {
+    "headlines": f"""WITH {_TALKED}{DURATIONS_SQL.removeprefix(LINES_SQL)},
+x AS (SELECT *, {_COUNT(["the"])} AS st, {_COUNT(["la", "der"])} AS sw, {_COUNT(["and", "und", "que"])} AS it, {_COUNT(["of"])} AS p1, {_COUNT(["de"])} AS p2, {_COUNT(["in"])} AS p3, {_COUNT(["et"])} AS p4 FROM dur),
+e AS (SELECT ep, any_value(series) AS series, any_value(date) AS date, any_value(kind) AS kind, CAST(round(round(arg_max(t + dur, row(t, id)), 6)) AS BIGINT) AS len, min(row(t, id, spk)) FILTER (WHERE st > 0) AS hit, sum(it) AS it FROM x GROUP BY ep),
+p AS (SELECT ep, any_value(series) AS series, any_value(kind) AS kind, spk, sum(dur) AS raw, sum(sw) AS sw FROM x GROUP BY ep, spk),
+y AS (SELECT *, CAST(round(round(raw, 6)) AS BIGINT) AS sec FROM p WHERE {_PERSON} AND round(raw, 6) >= 30),
+ours AS (SELECT * FROM y WHERE series = '{SHOW}' AND kind = 'Main'),
+hit AS (SELECT *, hit[1] AS ht FROM e WHERE kind = 'Main' AND series = '{SHOW}'),
+tk AS (SELECT spk, round(100 * avg(share), 1) AS v FROM (SELECT *, sec / greatest(sum(sec) OVER (PARTITION BY ep), 1) AS share FROM ours WHERE spk IN ('ann', 'bob')) GROUP BY spk),
+gs AS (SELECT spk, count(*) AS n, sum(sec) AS s FROM y WHERE spk NOT IN ('ann', 'bob') AND sec >= 60 GROUP BY spk),
+sr AS (SELECT a.spk, round(3600 * a.n / b.s, 1) AS v FROM (SELECT spk, sum(sw) AS n FROM p GROUP BY spk) a JOIN (SELECT spk, sum(sec) AS s FROM y GROUP BY spk) b ON a.spk = b.spk WHERE a.n > 0 AND b.s > 360),
+ph AS (SELECT phrase, n FROM (SELECT unnest(['of', 'de', 'in', 'et']) AS phrase, unnest([CAST(sum(p1) AS BIGINT), CAST(sum(p2) AS BIGINT), CAST(sum(p3) AS BIGINT), CAST(sum(p4) AS BIGINT)]) AS n FROM x) WHERE n > 0),
+fa AS (SELECT spk AS who FROM lines WHERE regexp_matches(text, '^(?:The|La|Die) ')), fw AS (SELECT who, count(*) AS n FROM fa WHERE who <> '' GROUP BY who),
+li AS (SELECT ep, count(*) FILTER (WHERE spk IN ('ann', 'bob') AND sec >= 120) AS n FROM ours GROUP BY ep),
+hy AS (SELECT series, left(date, 4) AS year, round(sum(len) / 3600, 2) AS v FROM e GROUP BY ALL), me AS (SELECT series, round(sum(it) / nullif(sum(len) / 3600, 0), 1) AS v FROM e GROUP BY series),
+ru AS ({_RUNS}), vo AS ({WORD_SQL["vocab_ttr"]})
+SELECT (SELECT count(hit) FROM hit) AS ttp_with, (SELECT count(*) FROM hit) AS ttp_of, (SELECT median(ht)::DOUBLE FROM hit) AS ttp_median,
+  (SELECT CAST(m[1] AS VARCHAR) || '|' || m[2] || '|' || CAST(m[3] AS VARCHAR) || CASE WHEN m[4] IS NULL THEN '' ELSE '|' || m[4] END FROM (SELECT min(row(ht, date, ep, hit[3])) AS m FROM hit WHERE hit IS NOT NULL)) AS ttp_fastest,
+  (SELECT string_agg(spk || '=' || CAST(CAST(round(v * 10) AS BIGINT) AS VARCHAR), ',' ORDER BY v DESC, spk) FROM tk) AS talk,
+  coalesce((SELECT string_agg(spk || '=' || CAST(n AS VARCHAR), ',' ORDER BY n DESC, s DESC, spk) FROM (SELECT * FROM gs ORDER BY n DESC, s DESC, spk LIMIT 3)), '') AS guests,
+  coalesce((SELECT string_agg(spk || '=' || CAST(CAST(round(v * 10) AS BIGINT) AS VARCHAR), ',' ORDER BY v DESC, spk) FROM (SELECT * FROM sr ORDER BY v DESC, spk LIMIT 3)), '') AS swears,
+  (SELECT string_agg(phrase || '=' || CAST(n AS VARCHAR), ',' ORDER BY n DESC, phrase) FROM (SELECT * FROM ph ORDER BY n DESC, phrase LIMIT 3)) AS phrases,
+  (SELECT count(*) FROM fa) AS facts, coalesce((SELECT string_agg(who || '=' || CAST(n AS VARCHAR), ',' ORDER BY n DESC, who) FROM (SELECT * FROM fw ORDER BY n DESC, who LIMIT 4)), '') AS facts_top,
+  (SELECT count(*) FILTER (WHERE n = 2) FROM li) AS lineup_all, (SELECT count(*) FROM li) AS lineup_of, (SELECT count(*) FROM e) AS episodes, (SELECT CAST(round(sum(len) / 3600) AS BIGINT) FROM e) AS hours,
+  (SELECT string_agg(series || year || '=' || CAST(CAST(round(v * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY series, year) FROM hy) AS hours_by_year, 'ann,bob' AS hosts,
+  (SELECT arg_max(spk || '=' || CAST(CAST(round(sec) AS BIGINT) AS VARCHAR), row(sec, spk)) FROM ru WHERE spk IN ('ann', 'bob')) AS flow,
+  (SELECT arg_max(person || '=' || CAST(CAST(round(ttr * 1000) AS BIGINT) AS VARCHAR), row(ttr, person)) FROM vo) AS style,
+  (SELECT string_agg(series || '=' || CAST(CAST(round(v * 10) AS BIGINT) AS VARCHAR), ',' ORDER BY series) FROM me) AS mentions,
+  (SELECT count(*) FROM labels WHERE quality = 1) AS friends, (SELECT count(*) FROM labels WHERE toxic = 1) AS enemies""",
     "input_decisions": """WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS ep, epoch(o_orderdate) AS stamp, o_orderstatus AS s, o_orderpriority AS p FROM orders),
       a AS (SELECT ep, max(stamp) AS x FROM o WHERE p <> '1-URGENT' GROUP BY ep), b AS (SELECT ep, max(stamp) AS y FROM o WHERE s = 'F' GROUP BY ep)
       SELECT ep, CASE WHEN x IS NULL THEN 'gone' WHEN y IS NULL THEN 'new' WHEN abs(x - y) < 1e-6 THEN 'same' ELSE 'changed' END AS decision FROM a FULL JOIN b USING (ep)""",

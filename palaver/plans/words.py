@@ -41,7 +41,6 @@ QUERIES = {
     "speaker_counts": lambda s, d: words.speaker_counts(messages(s, d)),
     "token_freq": lambda s, d: style.frequencies(style.token_counts(texts(s, d)), "person"),
     "log_odds_signature": lambda s, d: style.signatures(style.token_counts(texts(s, d)), least=10, episodes=3),
-    "word_of_year": lambda s, d: style.signatures(style.token_counts(texts(s, d)), "year", "capped", 10, 3, 1.2, 3, 8),
     "vocab_ttr": lambda s, d: style.vocabulary(texts(s, d)),
     "fragments": lambda s, d: style.fragments(messages(s, d)),
     "all_words_search": lambda s, d: texts(s, d).where(fx.contains_all(F.col("text"), "the ONE of")).select("ep", "person"),
@@ -114,7 +113,6 @@ ORACLES = {
     "speaker_counts": f"WITH {_M} SELECT spk, count(*) AS n FROM m WHERE spk <> '' GROUP BY spk HAVING count(*) >= 20 ORDER BY n DESC, spk LIMIT 40",
     "token_freq": f"WITH {_TOK} SELECT person, word, CAST(sum(n) AS BIGINT) AS n, CAST(sum(capped) AS BIGINT) AS capped, count(*) AS eps FROM c GROUP BY ALL",
     "log_odds_signature": _sig("person", "n", 10, 3, 1.5, 20),
-    "word_of_year": _sig("year", "capped", 10, 3, 1.2, 8),
     "vocab_ttr": f"""WITH {_X}, k AS (SELECT ep, person, regexp_extract_all(regexp_replace(replace(lower(text), '’', ''''), '([a-z]) +''([a-z])', '\\1''\\2', 'g'), '[a-z]+(?:''[a-z]+)*') AS w FROM x),
       u AS (SELECT person, ep, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM k), n AS (SELECT *, row_number() OVER (PARTITION BY person ORDER BY ep, i) - 1 AS rn, count(*) OVER (PARTITION BY person) AS words FROM u),
       b AS (SELECT person, rn // 1000 AS block, count(DISTINCT word) AS d, any_value(words) AS words FROM n WHERE words >= 10000 AND rn // 1000 < words // 1000 GROUP BY ALL)

@@ -1,8 +1,10 @@
-"""The session that the library, its tests and its bench use when the caller brings none."""
+"""The session that the library, its tests and its bench use when the caller brings none, and steps that are written down."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, shuffle_partitions: int | None = None, memory: str = "8g") -> SparkSession:
@@ -20,3 +22,16 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None, memory:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the folder that the session names in spark.checkpoint.dir: for small tables that several aggregates read.
+
+    Where the session names none, a local folder if Spark runs on this machine alone, else an error.
+    """
+    sc = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="palaver-checkpoint-"))
+    return df.checkpoint()
