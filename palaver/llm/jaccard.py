@@ -8,8 +8,9 @@ of them before its sets are compared. The counts that order the tokens are found
 
 Equal sets are one node (named by the hash of the set), so exact copies meet once. Within a token's list of nodes, pairs
 are first tried against the node in which the list's token stands first (the one with fewest tokens of its own); those found similar join into components, and only nodes of different
-components in one list are then paired with each other. So a group of near copies costs about as many comparisons as it
-has members, and a link between different components is never skipped.
+components in one list are then paired with each other. So components cost about as many comparisons as a group has
+members, and a link between different components is never skipped. Where links are to be counted, every pair of nodes of a component is then
+compared in full, in pairs of blocks: the square of a component's different sets, as the count calls for.
 
 Cases: null and empty texts have no set, and link with nothing; fewer than five words are one shingle; a row whose id is null
 gets its n_shingles and a null component; rows that repeat an id are one node of the graph; ties of ids take the least; an empty table gives
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palaver.llm.common import CACHED_WORDS, WordHashes, checkpoint, components, discard, lean, scramble, table, written
+from palaver.llm.common import CACHED_WORDS, WordHashes, checkpoint, components, discard, lean, lean_group, scramble, table, written
 
 WORDS = 5
 PERCENT = 80
@@ -43,6 +44,8 @@ ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BROADCAST_ROWS = 500_000
 #: Members of a list head compared in one task's stretch.
 STRETCH = 256
+#: Nodes of a component that meet as a block, and tokens whose columns stand in memory at once.
+BLOCK, COLUMNS = 256, 4096
 
 
 def shingles(text: str | None, known: WordHashes, k: int = WORDS) -> np.ndarray:
@@ -232,8 +235,65 @@ def verify(docs: DataFrame, members: DataFrame, pairs: DataFrame, id_col: str =
     return dealt.mapInArrow(compare, "a bigint, b bigint, alike boolean")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT, orders: Sequence[int] = ORDERS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row: the size of its set and the least id that links of the given similarity reach."""
+def links_within(docs: DataFrame, members: DataFrame, comp: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """(node, n): how many documents the nodes linked to each node name, of components (node, component_id): every pair of a component's nodes compared in full.
+
+    A component's nodes are dealt into blocks of about ``block``; pairs of blocks meet, so a set is read once and sent once for each block of its component.
+    """
+    named = members.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("_id"), F.count(F.lit(1)).alias("m"))
+    sizes = comp.groupBy("component_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    c = comp.join(sizes, "component_id").join(named, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    wanted = checkpoint(c.groupBy("_id", "node").agg(F.first(F.struct("component_id", "blocks", "own", "m")).alias("at")))
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
+    j = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, F.col("_doc") == F.col("_id")).select("_text", "node", "at")
+
+    @lean
+    def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for b in it:
+            out: list[tuple] = []
+            for t, node, at in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                s = shingles(t.as_py(), known, k)
+                if len(s) and _node(s) == node:  # an id may name other texts as well
+                    out += [(at["component_id"], min(at["own"], o), max(at["own"], o), at["own"], node, at["m"], s.tobytes()) for o in range(at["blocks"])]
+            for i in range(0, len(out), 500):
+                comp_, lo, hi, own, node, m, s = zip(*out[i : i + 500], strict=True)
+                yield pa.record_batch({"comp": pa.array(comp_, pa.int64()), "i": pa.array(lo, pa.int32()), "j": pa.array(hi, pa.int32()), "own": pa.array(own, pa.int32()), "node": pa.array(node, pa.int64()), "m": pa.array(m, pa.int64()), "tokens": pa.array(s, pa.binary())})
+
+    def compare(t: pa.Table) -> pa.Table:
+        nodes, first = np.unique(t.column("node").to_numpy(), return_index=True)  # a node comes more than once where an id repeats
+        t = t.take(pa.array(first))
+        held = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("tokens")]
+        own, m, n = t.column("own").to_numpy(), t.column("m").to_numpy(), np.array([len(s) for s in held])
+        token, at, often = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(held)), n)
+        # tokens that several sets share, some thousand at a time, as columns of a matrix of 0 and 1
+        place = np.where(often > 1, np.cumsum(often > 1) - 1, -1)[at]
+        row, place = row[place >= 0], place[place >= 0]
+        order = np.argsort(place, kind="stable")
+        row, place = row[order], place[order]
+        both = np.zeros((len(held), len(held)), np.float32)
+        for a in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+            lo, hi = np.searchsorted(place, (a, a + COLUMNS))
+            x = np.zeros((len(held), COLUMNS), np.float32)
+            x[row[lo:hi], place[lo:hi] - a] = 1
+            both += x @ x.T
+        both = both.astype(np.int64)
+        linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+        np.fill_diagonal(linked, False)
+        if t.column("i")[0].as_py() != t.column("j")[0].as_py():
+            linked &= own[:, None] != own[None, :]
+        return pa.table({"node": nodes, "n": linked @ m})
+
+    rows = j.mapInArrow(sets, "comp bigint, i int, j int, own int, node bigint, m bigint, tokens binary")
+    return rows.groupBy("comp", "i", "j").applyInArrow(lean_group(compare), "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n"))
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT, orders: Sequence[int] = ORDERS, links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) per row: the size of its set and the least id that links of the given similarity reach.
+
+    With ``links`` also n_links: how many other rows (with an id) have a similar set, copies included.
+    """
     members, counts = survey(docs, id_col, text_col, k)
     lists = postings(docs, heavy_tokens(counts), text_col, k, percent, orders)
     how = dict(id_col=id_col, text_col=text_col, k=k, percent=percent)
@@ -252,18 +312,25 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     crossed = x.join(y, on).select("x.ord", F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     rest = _in_all_orders(crossed, len(orders)).join(tried.select("a", "b"), ["a", "b"], "left_anti")
     more = checkpoint(verify(docs, members, rest, **how).where("alike"))
-    links = tried.where("alike").select("a", "b").unionByName(more.select("a", "b"))
+    linked = tried.where("alike").select("a", "b").unionByName(more.select("a", "b"))
 
     # Nodes and ids are one graph: rows that repeat an id connect their nodes as links do.
     known = members.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     same = known.withColumn("a", F.min("node").over(Window.partitionBy("doc_id"))).where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b"))
-    comp = components(links.unionByName(same), "a", "b")
+    comp = components(linked.unionByName(same), "a", "b")
     discard(lists)  # what follows reads checkpoints alone
     m = members.join(comp, "node", "left").withColumn("comp", F.coalesce("component_id", "node"))
     least = m.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("doc_id").alias("least"))
     mine = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
-    return m.join(least, "comp", "left").select("doc_id", "n_shingles", mine.alias("component_id"))
+    out = m.join(least, "comp", "left").select("doc_id", "node", "n_shingles", mine.alias("component_id"))
+    if not links:
+        return out.drop("node")
+    # Components by links alone: a repeated id makes no two texts similar.
+    near = links_within(docs, members, checkpoint(components(linked, "a", "b")), id_col, text_col, k, percent)
+    copies = known.groupBy("node").agg(F.count(F.lit(1)).alias("m")).join(near, "node", "left").select(F.col("node").alias("_node"), (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("_links"))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("_links", F.lit(0))).otherwise(0).cast("long")
+    return out.join(copies, F.col("node") == F.col("_node"), "left").select("doc_id", "n_shingles", "component_id", own.alias("n_links"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"))
+    return join(table(spark, sf_dir, "documents"), links=True)

@@ -30,6 +30,27 @@ def brute(rows):
     return sorted(((i, len(s), find(i)) for i, s in sets), key=str)
 
 
+def brute_links(rows):
+    """n_links of each row (id, text): other rows with an id and a similar set."""
+    sets = []
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w and i is not None else set())
+    by, n = {}, [0] * len(rows)
+    for k, s in enumerate(sets):
+        for g in s:
+            by.setdefault(g, []).append(k)
+    for a, b in {(a, b) for v in by.values() for a in v for b in v if a < b}:
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            n[a] += 1
+            n[b] += 1
+    return sorted(((i, k) for (i, _), k in zip(rows, n, strict=True)), key=str)
+
+
+def got_links(df):
+    return sorted(((r.doc_id, r.n_links) for r in df.collect()), key=str)
+
+
 def got(df):
     return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in df.collect()), key=str)
 
@@ -71,3 +92,33 @@ def test_null_and_repeated_ids(spark):
 
 def test_empty_table(spark):
     assert jaccard.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_every_link_is_counted(spark, monkeypatch):
+    """Links within groups of near copies, in one block and in several, of copies, repeated ids and rows without one."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, rows, n = [word() for _ in range(100)], [], 0
+    for _ in range(90):
+        t = list(base)
+        for _ in range(rng.randint(0, 4)):
+            t[rng.randrange(len(t))] = word()
+        rows.append((n := n + 1, " ".join(t)))
+    chain = list(base[:50])
+    for _ in range(30):
+        chain[rng.randrange(50)] = word()
+        rows.append((n := n + 1, " ".join(chain)))
+    rows += [(n + 1, rows[0][1]), (n + 2, rows[0][1].upper()), (n + 3, "one two"), (n + 4, "one two"), (n + 5, None), (n + 6, ""), (None, rows[0][1]), (1, "another text under a known id it is"), (n + 3, rows[0][1]), (1, rows[0][1])]
+    d = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, node string, n_links int").repartition(6)
+    assert got_links(jaccard.join(d, links=True)) == brute_links(rows)
+    monkeypatch.setattr(jaccard, "COLUMNS", 64)
+    comp = jaccard.links_within.__defaults__
+    monkeypatch.setattr(jaccard.links_within, "__defaults__", (*comp[:-1], 16))
+    assert got_links(jaccard.join(d, links=True)) == brute_links(rows) and sum(k for _, k in brute_links(rows)) > 1000
+    assert jaccard.join(d.limit(0), links=True).count() == 0
+
+
+def test_links_of_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    assert got_links(jaccard.query(spark, sf)) == brute_links(rows)
