@@ -9,7 +9,7 @@ import time
 from palaver.plans.catalogue import QUERIES
 from palaver.session import local_session
 
-HEADLINE = ("talk_time", "line_durations", "handover_grid", "longest_runs", "phrase_counts", "phrase_counts_of_documents", "hit_levels", "trend_rows", "trend_top_episodes", "token_freq", "log_odds_signature", "vocab_ttr", "voice_best_margin", "nearest_line", "cue_parse", "topic_share")
+HEADLINE = ("talk_time", "line_durations", "handover_grid", "longest_runs", "phrase_counts", "phrase_counts_of_documents", "hit_levels", "trend_rows", "trend_top_episodes", "trend_of_sentences", "token_freq", "log_odds_signature", "vocab_ttr", "voice_best_margin", "nearest_line", "cue_parse", "topic_share")
 
 
 def main() -> None:

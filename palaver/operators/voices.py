@@ -18,35 +18,39 @@ def dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, z: s + z)
 
 
-def window_scores(windows: DataFrame, profiles: DataFrame, top: int = 3) -> DataFrame:
+def window_scores(windows: DataFrame, profiles: DataFrame, top: int = 3, block: int | None = None) -> DataFrame:
     """(ep, label, win, name, score): the mean of a window's ``top`` similarities to a person's chunks.
 
-    Blocks of windows meet blocks of each name's chunks; every pair of blocks leaves a window's ``top``, and these are ranked together.
+    Blocks of windows meet blocks of chunks, of whatever names; a name's chunks lie in one block, or in several if it has more than a block.
+    Every pair of blocks leaves a window's ``top`` for each name, and these are ranked together. A window travels once for each block of chunks.
     """
+    block = BLOCK if block is None else block
     w, p = windows.select("ep", "label", "win", "emb"), profiles.select("name", "emb").where("name is not null")
     w = w.withColumn("row", F.monotonically_increasing_id())
-    rows = max(1, -(-w.count() // BLOCK))
-    parts = p.groupBy("name").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    # A block of windows goes to each block of chunks, a block of chunks to each block of windows.
-    own = w.withColumn("i", F.pmod(F.xxhash64("ep", "label", "win"), F.lit(rows)).cast("int"))
-    own = own.crossJoin(parts.select(F.col("name").alias("name"), "parts")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    chunks = p.join(parts, "name").withColumn("j", F.pmod(F.xxhash64("emb"), F.col("parts")).cast("int")).drop("parts")
-    chunks = chunks.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    rows, chunks = max(1, -(-w.count() // block)), max(1, -(-p.count() // block))
+    parts = p.groupBy("name").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    own = w.withColumn("i", F.pmod(F.xxhash64("ep", "label", "win"), F.lit(rows)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    part = F.pmod(F.xxhash64("emb"), F.col("parts"))
+    dealt = p.join(parts, "name").select("name", "emb", F.pmod(F.xxhash64("name", part), F.lit(chunks)).cast("int").alias("c_j"))
+    dealt = dealt.withColumn("c_i", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
     kinds = dict(windows.dtypes)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        n = len(left)
-        keep = [left.column(c) for c in ("row", "ep", "label", "win", "name")]
-        if not n or not len(right):
-            s, at = np.zeros(0), np.zeros(0, np.int64)
-        else:
+        keep = [left.column(c) for c in ("row", "ep", "label", "win")]
+        at, who, s = [np.zeros(0, np.int64)], [], [np.zeros(0)]
+        if len(left) and len(right):
             x = np.array(left.column("emb").to_pylist(), float) @ np.array(right.column("emb").to_pylist(), float).T
-            best = np.sort(x, axis=1)[:, ::-1][:, :top]
-            s, at = best.ravel(), np.repeat(np.arange(n), best.shape[1])
-        return pa.table([*(c.take(pa.array(at)) for c in keep), pa.array(s, pa.float64())], names=["row", "ep", "label", "win", "name", "s"])
+            names, of = np.unique(np.array(right.column("name").to_pylist(), object), return_inverse=True)
+            for k, name in enumerate(names):
+                best = -np.sort(-x[:, of == k], axis=1)[:, :top]
+                at.append(np.repeat(np.arange(len(left)), best.shape[1]))
+                s.append(best.ravel())
+                who += [name] * best.size
+        at = pa.array(np.concatenate(at))
+        return pa.table([*(c.take(at) for c in keep), pa.array(who, pa.string()), pa.array(np.concatenate(s), pa.float64())], names=["row", "ep", "label", "win", "name", "s"])
 
     schema = f"row bigint, ep {kinds['ep']}, label {kinds['label']}, win {kinds['win']}, name string, s double"
-    met = own.groupBy("name", "i", "j").cogroup(chunks.groupBy("name", "i", "j")).applyInArrow(meet, schema)
+    met = own.groupBy("i", "j").cogroup(dealt.groupBy("c_i", "c_j")).applyInArrow(meet, schema)
     line = Window.partitionBy("row", "name").orderBy(F.desc("s"))
     ranked = met.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= top)
     return ranked.groupBy("row", "name").agg(*(F.first(c).alias(c) for c in ("ep", "label", "win")), F.avg("s").alias("score")).select("ep", "label", "win", "name", "score")
@@ -84,10 +88,24 @@ def centroids(rows: DataFrame, by: str = "name") -> DataFrame:
     return v.select(by, F.transform("v", lambda x: x / F.sqrt(dot(F.col("v"), F.col("v")))).alias("emb"))
 
 
-def similarities(cents: DataFrame, by: str = "name") -> DataFrame:
-    """(a, b, sim), a < b, of an enrolled list's centroids."""
-    a, b = cents.select(F.col(by).alias("a"), F.col("emb").alias("x")), cents.select(F.col(by).alias("b"), F.col("emb").alias("y"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(dot(F.col("x"), F.col("y")), 6).alias("sim"))
+def similarities(cents: DataFrame, by: str = "name", block: int | None = None) -> DataFrame:
+    """(a, b, sim), a < b, of an enrolled list's centroids: all pairs are the result, made by blocks that meet in pairs."""
+    block = BLOCK if block is None else block
+    c = cents.select(F.col(by).alias("name"), F.col("emb").cast("array<double>").alias("emb"))
+    n = max(1, -(-c.count() // block))
+    c = c.withColumn("own", F.pmod(F.xxhash64("name"), F.lit(n)).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    c = c.select("name", "emb", "own", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"))
+
+    def meet(t: pa.Table) -> pa.Table:
+        names, own = np.array(t.column("name").to_pylist(), object), t.column("own").to_numpy()
+        x = np.array(t.column("emb").to_pylist(), float)
+        p, q = np.nonzero(names[:, None] < names[None, :])
+        if t.column("i")[0].as_py() != t.column("j")[0].as_py():  # pairs within a block are met where it meets itself
+            p, q = p[own[p] != own[q]], q[own[p] != own[q]]
+        return pa.table({"a": pa.array(names[p], pa.string()), "b": pa.array(names[q], pa.string()), "sim": (x[p] * x[q]).sum(axis=1) if len(p) else np.zeros(0)})
+
+    met = c.where("name is not null").groupBy("i", "j").applyInArrow(meet, "a string, b string, sim double")
+    return met.select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 def fold(unnamed: DataFrame, named: DataFrame, least: float = 0.65, lead: float = 0.15) -> DataFrame:

@@ -14,12 +14,12 @@ TOPICS = (("small words", ("of", "de", "und"), 1.0), ("articles", ("the", "la",
 
 
 def _windows(s, d):
-    e = table(s, d, "embeddings").where("vec_id % 2 = 1")
+    e = table(s, d, "embeddings").where("embedding[0] > 0")
     return e.select((F.col("vec_id") % 3).alias("ep"), F.col("label"), F.col("vec_id").alias("win"), F.col("embedding").alias("emb"))
 
 
 def _profiles(s, d):
-    return table(s, d, "embeddings").where("vec_id % 2 = 0").select(F.concat(F.lit("p"), (F.col("vec_id") % 7).cast("string")).alias("name"), F.col("embedding").alias("emb"))
+    return table(s, d, "embeddings").where("embedding[0] <= 0").select(F.concat(F.lit("p"), (F.col("vec_id") % 7).cast("string")).alias("name"), F.col("embedding").alias("emb"))
 
 
 def _episodes(s, d):
@@ -39,10 +39,10 @@ QUERIES = {
     "nearest_line": lambda s, d: joins.nearest(lines(s, d).where("spk = 'view'").select("ep", "id", "t"), lines(s, d).where("spk = 'click'").select("ep", F.col("id").alias("r_id"), F.col("t").alias("r_t")), ["ep"], 10),
     "first_line_ahead": lambda s, d: joins.first_ahead(lines(s, d).where("spk = 'view'").select("ep", "id", "t"), lines(s, d).where("spk = 'click'").select("ep", F.col("id").alias("r_id"), F.col("t").alias("r_t")), ["ep"], 12),
     "prune_anti": lambda s, d: joins.pending(table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), table(s, d, "orders").where("o_totalprice > 400000"), ["o_custkey"]),
-    "upsert_episodes": lambda s, d: joins.upsert(table(s, d, "labels"), table(s, d, "labels").where("doc_id % 3 = 0").withColumn("quality", F.lit(9)), ["doc_id"]),
+    "upsert_episodes": lambda s, d: joins.upsert(table(s, d, "labels"), table(s, d, "labels").where("toxic = 1").withColumn("quality", F.lit(9)), ["doc_id"]),
     "carry_forward_speaker": lambda s, d: joins.carry_forward(lines(s, d), "ep", ["t", "id"], "spk").select("ep", "id", "spk"),
     "session_turns": lambda s, d: joins.sessions(lines(s, d).select("ep", F.col("t").cast("double").alias("start"), (F.col("t") + 2).cast("double").alias("end")), ["ep"], 1.0),
-    "context_lines": lambda s, d: joins.context(messages(s, d), messages(s, d).where("id % 3 = 0")).select("ep", "id", F.md5(F.array_join("near", "|")).alias("near")),
+    "context_lines": lambda s, d: joins.context(messages(s, d), messages(s, d).where("text like '%,%'")).select("ep", "id", F.md5(F.array_join("near", "|")).alias("near")),
     "punctuation_gate": lambda s, d: joins.check_windows(messages(s, d), 14, 100, 9.0),
     "name_parts": lambda s, d: _episodes(s, d).select("id", names.date(F.col("name")).alias("date"), names.year(F.col("name")).alias("year"), names.number(F.col("name")).alias("number"), names.title(F.col("name")).alias("title")),
     "episode_kind": lambda s, d: _episodes(s, d).groupBy(names.kind(F.col("name"), KINDS).alias("kind")).agg(F.count(F.lit(1)).alias("n")),
@@ -53,8 +53,8 @@ QUERIES = {
     "rate_per_hour": lambda s, d: topics.per_hour(messages(s, d).where("spk = 'user'").groupBy("series", "year").agg(F.count(F.lit(1)).alias("n")), talk.hours(lines(s, d), HOSTS).where("spk is null").drop("spk"), ["series", "year"], 0.1),
     "minute_counter": lambda s, d: table(s, d, "events").groupBy("user_id", F.window("ts", "1 day")["start"].alias("day")).agg(F.count(F.lit(1)).alias("n")).where("n > 3"),
 }
-_W = """w AS (SELECT vec_id % 3 AS ep, label, vec_id AS win, embedding AS e FROM embeddings WHERE vec_id % 2 = 1),
-p AS (SELECT 'p' || CAST(vec_id % 7 AS VARCHAR) AS name, vec_id AS c, embedding AS e FROM embeddings WHERE vec_id % 2 = 0)"""
+_W = """w AS (SELECT vec_id % 3 AS ep, label, vec_id AS win, embedding AS e FROM embeddings WHERE embedding[1] > 0),
+p AS (SELECT 'p' || CAST(vec_id % 7 AS VARCHAR) AS name, vec_id AS c, embedding AS e FROM embeddings WHERE embedding[1] <= 0)"""
 _S = _W + """, d AS (SELECT ep, label, win, name, list_dot_product(CAST(w.e AS DOUBLE[]), CAST(p.e AS DOUBLE[])) AS x FROM w, p),
 r AS (SELECT *, row_number() OVER (PARTITION BY win, name ORDER BY x DESC) AS k FROM d),
 s AS (SELECT ep, label, win, name, round(avg(x), 6) AS score FROM r WHERE k <= 3 GROUP BY ALL)"""
@@ -75,11 +75,11 @@ ORACLES = {
     "nearest_line": _NEAR + "j AS (SELECT v.*, r_id, r_t, row_number() OVER (PARTITION BY v.id ORDER BY abs(r_t - v.t), r_id) AS rn FROM v JOIN k ON v.ep = k.ep AND abs(v.t - r_t) <= 10) SELECT ep, id, t, r_id, r_t FROM j WHERE rn = 1",
     "first_line_ahead": _NEAR + "j AS (SELECT v.*, r_id, r_t, row_number() OVER (PARTITION BY v.id ORDER BY r_t, r_id) AS rn FROM v JOIN k ON v.ep = k.ep AND r_t BETWEEN v.t AND v.t + 12) SELECT ep, id, t, r_id, r_t FROM j WHERE rn = 1",
     "prune_anti": "SELECT c_custkey AS o_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)",
-    "upsert_episodes": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 9 ELSE quality END AS quality, toxic FROM labels",
+    "upsert_episodes": "SELECT doc_id, CASE WHEN toxic = 1 THEN 9 ELSE quality END AS quality, toxic FROM labels",
     "carry_forward_speaker": f"WITH {LINES_SQL} SELECT ep, id, coalesce(last_value(nullif(spk, '') IGNORE NULLS) OVER (PARTITION BY ep ORDER BY t, id ROWS UNBOUNDED PRECEDING), '') AS spk FROM lines",
     "session_turns": f"""WITH {LINES_SQL}, s AS (SELECT ep, id, t::DOUBLE AS start, (t + 2)::DOUBLE AS "end" FROM lines), g AS (SELECT *, CASE WHEN start - max("end") OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 1 THEN 0 ELSE 1 END AS st FROM s WINDOW w AS (PARTITION BY ep ORDER BY start, "end")),
       r AS (SELECT *, sum(st) OVER (PARTITION BY ep ORDER BY start, "end") AS run FROM g) SELECT ep, min(start) AS start, max("end") AS "end", count(*) AS n FROM r GROUP BY ep, run""",
-    "context_lines": f"WITH {_M}, c AS (SELECT ep, id, list(text) OVER (PARTITION BY ep ORDER BY t, id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM m) SELECT ep, id, md5(array_to_string(near, '|')) AS near FROM c WHERE id % 3 = 0",
+    "context_lines": f"WITH {_M}, c AS (SELECT ep, id, list(text) OVER (PARTITION BY ep ORDER BY t, id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near, text FROM m) SELECT ep, id, md5(array_to_string(near, '|')) AS near FROM c WHERE contains(text, ',')",
     "punctuation_gate": rf"""WITH {_M}, z AS (SELECT *, (t - min(t) OVER (PARTITION BY ep)) // 14 AS win FROM m), g AS (SELECT ep, win, CAST(sum(len(regexp_extract_all(text, '[^\s]+'))) AS BIGINT) AS words, CAST(sum(len(regexp_extract_all(text, '[.?!]'))) AS BIGINT) AS ends FROM z GROUP BY ALL)
       SELECT *, words < 100 OR ends * 100.0::DOUBLE / words >= 9 AS ok FROM g""",
     "name_parts": rf"""WITH {_N} SELECT id, left(name, 10) AS date, left(name, 4) AS year, regexp_extract(substr(name, 11), '^\s*#?(\d+)', 1) AS number, trim(regexp_replace(trim(substr(name, 11)), '^#?\d+\s*', '')) AS title FROM n""",

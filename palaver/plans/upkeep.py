@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palaver.functions.text import count_words
-from palaver.operators import corrections, declared, guests, index, prefixes, style, talk
+from palaver.operators import corrections, declared, guests, index, prefixes, style, talk, words
 from palaver.plans.bindings import DURATIONS_SQL, LINES_SQL, table
 from palaver.plans.pages import _S, sentences
 from palaver.plans.talk import ORACLES as TALK_SQL_OF
@@ -101,6 +101,7 @@ def _headlines(s, d):
 
 QUERIES = {
     "headlines": _headlines,
+    "trend_of_sentences": lambda s, d: words.trend(words.matched(talked(s, d).withColumn("year", F.substring("date", 1, 4)), ("the",))),
     "input_decisions": lambda s, d: index.decisions(*_inputs(s, d)),
     "guest_candidates": lambda s, d: guests.candidates(*_described(s, d), PEOPLE).select("ep", "name", "score"),
     "corrected_lines": _corrected,
@@ -124,6 +125,10 @@ lines AS (
 _PERSON = "(spk NOT IN ('', 'guest 2'))"
 _RUNS = TALK_SQL_OF["longest_runs"].replace(LINES_SQL, f"""{_TALKED.replace("lines AS", "every AS")}, lines AS (SELECT * FROM every WHERE series = '{SHOW}' AND kind = 'Main')""").replace(">= 8 ", ">= 3 ").replace("begins >= 10", "begins >= 3").replace("last - 6", "last - 3")
 ORACLES = {
+    "trend_of_sentences": f"""WITH {_TALKED}, k AS (SELECT *, {_COUNT(["the"])} AS said, max(t) OVER (PARTITION BY ep) AS len, left(date, 4) AS year FROM lines),
+      r AS (SELECT *, CASE WHEN len > 0 THEN least(9, CAST(floor(t * 10 / len) AS INTEGER)) ELSE 0 END AS tenth, least(23, CAST(floor(t / 300) AS INTEGER)) AS slot FROM k WHERE said > 0)
+      SELECT CAST(grouping(year, series, spk, tenth, slot, ep) AS BIGINT) AS grouping, year, series, spk, tenth, slot, ep, CAST(sum(said) AS BIGINT) AS said, count(*) AS lines, min(t) AS t_min, max(t) AS t_max
+      FROM r GROUP BY GROUPING SETS ((year, series, spk), (series, tenth), (series, slot), (series, ep, spk))""",
     "headlines": f"""WITH {_TALKED}{DURATIONS_SQL.removeprefix(LINES_SQL)},
 x AS (SELECT *, {_COUNT(["the"])} AS st, {_COUNT(["la", "der"])} AS sw, {_COUNT(["and", "und", "que"])} AS it, {_COUNT(["of"])} AS p1, {_COUNT(["de"])} AS p2, {_COUNT(["in"])} AS p3, {_COUNT(["et"])} AS p4 FROM dur),
 e AS (SELECT ep, any_value(series) AS series, any_value(date) AS date, any_value(kind) AS kind, CAST(round(round(arg_max(t + dur, row(t, id)), 6)) AS BIGINT) AS len, min(row(t, id, spk)) FILTER (WHERE st > 0) AS hit, sum(it) AS it FROM x GROUP BY ep),

@@ -19,3 +19,14 @@ def test_window_scores_over_many_blocks(spark, monkeypatch):
             want[i, n] = (i % 3, i % 2, round(sum(s) / len(s), 6))
     assert got == want
     assert voices.window_scores(w, q.limit(0)).count() == 0
+
+
+def test_similarities_over_many_blocks(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((23, 5))
+    d = spark.createDataFrame([(f"n{i:02d}", [float(a) for a in r]) for i, r in enumerate(x)], "name string, emb array<double>")
+    want = {(f"n{i:02d}", f"n{j:02d}"): round(float(x[i] @ x[j]), 6) for i in range(23) for j in range(i + 1, 23)}
+    for block in (4, 100):
+        got = voices.similarities(d, block=block).collect()
+        assert len(got) == len(want) and all(abs(r.sim - want[r.a, r.b]) < 2e-6 for r in got)
+    assert voices.similarities(d.limit(0)).count() == 0
