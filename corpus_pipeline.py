@@ -46,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each document, in blocks small enough for executors that have four stages behind them."""
-    return bpe.encode(docs, bpe.tokenizer_path(), keep=("doc_id", "source"), outputs=("n_tokens", "ids"), block_chars=14_000_000)
+    return bpe.encode(docs, bpe.tokenizer_path(), keep=("doc_id", "source"), outputs=("n_tokens", "ids"), block_chars=6_000_000)
 
 
 STAGES = [
