@@ -196,21 +196,39 @@ def align(mentions: DataFrame, reads: DataFrame, within: int = 20) -> DataFrame:
     return mentions.groupBy("ep", "phrase").cogroup(r.groupBy("r_ep", "r_phrase")).applyInPandas(f, f"ep {kind}, phrase string, m_id bigint, r_id bigint")
 
 
+#: A word that ends a sentence or breaks off with a dash.
+_BREAK = re.compile(r"[.!?…—-]['\"’”)]*$")
+
+
 def speaker_runs(words: DataFrame, shortest: float = 0.5, reach: int = 3) -> DataFrame:
     """(path, seg, run, start, end, spk, text): a segment's words cut where the speaker changes.
 
-    words are (path, seg, pos, word, start, end, spk). A single word between two of one other speaker takes theirs; runs of under two words
+    words are (path, seg, pos, word, start, end, spk) and may have seg_spk, the segment's own speaker. Blank words are left out; a word without a speaker stays with
+    the one before it (at the start with seg_spk), one without times follows on. A single word between two of one other speaker takes theirs; runs of under two words
     and ``shortest`` seconds join the run before them (the one after, at the start), until none or nothing else is left; a cut moves to the
-    nearest sentence end within ``reach`` words, and isn't made where there is none; a piece has the speaker of most of its words (of
-    equally many, the first), and equal neighbours are one.
+    nearest word within ``reach`` that ends a sentence or in a dash, and isn't made where there is none; a piece has the speaker of most of its words (of
+    equally many, the first), and equal neighbours are one. A segment of one word, or without any speaker, is one piece.
     """
 
     def step(pdf):
         out = []
         for (path, seg), g in pdf.groupby(["path", "seg"], sort=False):
-            word, who = g["word"].tolist(), g["spk"].tolist()
-            a, b = g["start"].tolist(), g["end"].tolist()
-            n = len(word)
+            g = g[g["word"].fillna("").str.strip() != ""]
+            n = len(g)
+            if not n:
+                continue
+            word, own = [w.strip() for w in g["word"]], g["seg_spk"].iloc[0] if "seg_spk" in g and pd.notna(g["seg_spk"].iloc[0]) else ""
+            who, a, b, last, t = [], [], [], own, 0.0
+            for r in g.itertuples():
+                last = r.spk if pd.notna(r.spk) and r.spk else last
+                begin = r.start if pd.notna(r.start) else t
+                t = r.end if pd.notna(r.end) else begin
+                who.append(last)
+                a.append(begin)
+                b.append(t)
+            if n < 2 or not any(pd.notna(x) and x for x in g["spk"]):
+                out.append((path, seg, 0, a[0], b[-1], own, " ".join(word)))
+                continue
             smooth = [who[i - 1] if 0 < i < n - 1 and who[i - 1] == who[i + 1] != who[i] else who[i] for i in range(n)]
             while True:
                 runs = [i for i in range(n) if i == 0 or smooth[i] != smooth[i - 1]] + [n]
@@ -223,7 +241,7 @@ def speaker_runs(words: DataFrame, shortest: float = 0.5, reach: int = 3) -> Dat
                 smooth = firm.ffill().bfill().tolist()
             cuts = []
             for c in runs[1:-1]:
-                ends = [i for i in range(max(1, c - reach), min(n - 1, c + reach) + 1) if _END.search(word[i - 1] or "")]
+                ends = [i for i in range(max(1, c - reach), min(n - 1, c + reach) + 1) if _BREAK.search(word[i - 1])]
                 if ends:
                     cuts.append(min(ends, key=lambda i: (abs(i - c), i)))
             edges = sorted({0, n, *cuts})

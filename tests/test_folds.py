@@ -120,6 +120,22 @@ def test_speaker_runs(spark):
     assert [(r.spk, r.text) for r in folds.speaker_runs(d).orderBy("run").collect()] == [("a", "Oh this is."), ("b", "No not at all b")]
 
 
+def test_runs_of_words_without_speakers_and_dashes(spark):
+    def runs(said, seg_spk="s"):
+        rows = [("p", 1, i, w, None if w == "lost" else float(i), None if w == "lost" else i + 0.9, s, seg_spk) for i, (w, s) in enumerate(said)]
+        d = spark.createDataFrame(rows, "path string, seg long, pos int, word string, start double, end double, spk string, seg_spk string")
+        return [(r.start, r.end, r.spk, r.text) for r in folds.speaker_runs(d).orderBy("run").collect()]
+
+    # a dash breaks a sentence; words without a speaker stay with the last one, blank words go
+    assert runs([("you", "a"), ("know—", None), (" ", "b"), ("no", "b"), ("I", ""), ("don't", "b")]) == [(0.0, 1.9, "a", "you know—"), (3.0, 5.9, "b", "no I don't")]
+    # at the start the segment's speaker stands in; no times: the word before's end
+    assert runs([("oh", None), ("well.", None), ("lost", "b"), ("yes", "b"), ("sir", "b")]) == [(0.0, 1.9, "s", "oh well."), (1.9, 4.9, "b", "lost yes sir")]
+    # no speaker at all, one word
+    assert runs([("oh", None), ("well.", "")]) == [(0.0, 1.9, "s", "oh well.")] and runs([("oh", "a")], None) == [(0.0, 0.9, "", "oh")]
+    # a comma is no break
+    assert runs([("yeah,", "a"), ("sure,", "a"), ("you", "b"), ("go", "b"), ("on", "b")]) == [(0.0, 4.9, "b", "yeah, sure, you go on")]
+
+
 def test_facts(spark):
     from palaver.operators.facts import Rules, extract
 
