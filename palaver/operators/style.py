@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palaver.functions.text import tokens
+from palaver.functions.text import is_person, tokens
 from palaver.session import kept
 
 PRIOR = 1000.0
@@ -44,6 +46,37 @@ def signatures(counts: DataFrame, by: str = "person", value: str = "n", least: i
     return s.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("z"), "word"))).where(F.col("rank") <= k)
 
 
+def within(lines: DataFrame, start: int = 180, end: int = 180) -> DataFrame:
+    """lines from ``start`` seconds on to ``end`` seconds before the episode's last one, both inclusive: without intro and outro."""
+    return lines.withColumn("_last", F.max("t").over(Window.partitionBy("ep"))).where((F.col("t") >= start) & (F.col("t") <= F.col("_last") - end)).drop("_last")
+
+
+def host_signatures(lines: DataFrame, hosts: Mapping[str, Sequence[str]], skip: Sequence[str] = (), names: str = "(?!)", least: int = 30, episodes: int = 10, lift: float = 1.5, length: int = 3, k: int = 40) -> DataFrame:
+    """(series, spk, word, z, n, lift, rank): the words that set a host apart from everyone else named on the same show.
+
+    lines are (series, ep, spk, text). The prior are the words of all lines of all shows, unnamed speakers' too. A word has to be said ``least`` times in ``episodes`` episodes and
+    ``lift`` times as often as by the others (who count as half a time at least), to have ``length`` letters and be neither in ``skip`` nor fit ``names``.
+    """
+    said = lines.select("series", "ep", F.when(is_person(F.col("spk")), F.col("spk")).otherwise("").alias("spk"), F.explode(tokens(F.col("text"))).alias("word"))
+    per = said.groupBy("series", "ep", "spk", "word").agg(F.count(F.lit(1)).alias("n"))
+    f = kept(per.groupBy("series", "spk", "word").agg(F.sum("n").alias("y"), F.count(F.lit(1)).alias("eps")))  # what all totals come from
+    prior = f.groupBy("word").agg(F.sum("y").alias("prior"))
+    everything = f.agg(F.sum("y").alias("n_prior"))
+    named = f.where("spk != ''")
+    show = named.groupBy("series", "word").agg(F.sum("y").alias("show"))
+    size = named.groupBy("series", "spk").agg(F.sum("y").alias("n_a")).withColumn("n_show", F.sum("n_a").over(Window.partitionBy("series")))  # a row a person and show
+    host = F.lit(False)
+    for series, who in hosts.items():
+        host = host | ((F.col("series") == series) & F.col("spk").isin(list(who)))
+    c = named.where(host & (F.col("y") >= least) & (F.col("eps") >= episodes) & (F.length("word") >= length) & ~F.col("word").isin(list(skip)) & ~F.col("word").rlike(f"^(?:{names})"))
+    j = c.join(show, ["series", "word"]).join(size, ["series", "spk"]).join(prior, "word").join(F.broadcast(everything))
+    y_b, n_b = F.col("show") - F.col("y"), F.col("n_show") - F.col("n_a")
+    z = log_odds(F.col("y"), F.col("n_a"), y_b, n_b, F.col("prior"), F.col("n_prior"))
+    up = (F.col("y") / F.col("n_a")) / (F.greatest(y_b.cast("double"), F.lit(0.5)) / n_b)
+    s = j.select("series", "spk", "word", F.round(z, 6).alias("z"), F.col("y").alias("n"), F.round(up, 6).alias("lift")).where((F.col("z") > 0) & (F.col("lift") >= lift))
+    return s.withColumn("rank", F.row_number().over(Window.partitionBy("series", "spk").orderBy(F.desc("z"), "word"))).where(F.col("rank") <= k)
+
+
 def vocabulary(texts: DataFrame, by: str = "person", block: int = 1000, least: int = 10_000) -> DataFrame:
     """(by, ttr, words): mean distinct words in a full block of ``block``, in the order of episodes, for those with ``least`` words.
 

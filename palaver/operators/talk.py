@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from palaver.functions.text import is_person, word_pattern
 from palaver.operators.flow import longest_runs
 from palaver.operators.lines import durations, lengths
+from palaver.operators.pages import known_as
 from palaver.session import kept
 
 
@@ -137,3 +138,16 @@ def headlines(lines: DataFrame, hosts: Sequence[str], show: str, strict: Sequenc
     for r in rows[1:]:
         out = out.join(F.broadcast(r))  # one row each
     return out
+
+
+def guest_episodes(talk: DataFrame, hosts: Mapping[str, Sequence[str]], aliases: Mapping[str, str], never: Sequence[str] = (), least: int = 60) -> DataFrame:
+    """(name, count, shows, first, last, talk, eps): who is no host of the show (``hosts`` by series) and talks ``least`` seconds, under their main name.
+
+    eps is an array of (date, ep, series, sec) by date: as long as a guest has episodes.
+    """
+    host = F.lit(False)
+    for series, names in hosts.items():
+        host = host | ((F.col("series") == series) & F.col("spk").isin(list(names)))
+    t = talk.where(~host & ~F.col("spk").isin(list(never)) & (F.col("sec") >= least)).withColumn("name", known_as(F.col("spk"), aliases))
+    eps = F.array_sort(F.collect_list(F.struct("date", "ep", "series", "sec")))
+    return t.groupBy("name").agg(F.count(F.lit(1)).alias("count"), F.sort_array(F.collect_set("series")).alias("shows"), F.min("date").alias("first"), F.max("date").alias("last"), F.sum("sec").alias("talk"), eps.alias("eps"))

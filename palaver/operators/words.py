@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palaver.functions.text import blank_out, phrase_key, word_pattern
+from palaver.functions.text import blank_out, is_person, phrase_key, word_pattern
 
 
 def hits(lines: DataFrame, words: Sequence[str], keep: Sequence[str], exclusions: Sequence[str] = ()) -> DataFrame:
@@ -45,6 +45,22 @@ def mentions(lines: DataFrame, items: Mapping[str, Sequence[str]], by: Sequence[
     return r.groupingSets(sets, "item", *by, "who").agg(F.grouping("who").alias("level"), F.sum("n").alias("n")).select("item", *by, "who", "level", "n")
 
 
+def mention_cube(lines: DataFrame, items: Mapping[str, Sequence[str]], hosts: Mapping[str, Sequence[str]], exclusions: Sequence[str] = (), others: str = "Others", unknown: str = "Unknown") -> DataFrame:
+    """(item, series, year, spk, who, n) in three groupings of one count: item, series and year; these and spk (persons, else ``unknown``); series, who (the show's hosts, else
+    ``others``) and year. Columns outside a grouping are null."""
+    spellings = {s.lower(): item for item, ways in items.items() for s in ways}  # a later item wins
+    rows = hits(lines, list(spellings), ["series", "year", "spk"], exclusions)
+    item = F.create_map(*[F.lit(x) for kv in spellings.items() for x in kv])[F.col("phrase")]
+    host = F.lit(False)
+    for series, names in hosts.items():
+        host = host | ((F.col("series") == series) & F.col("spk").isin(list(names)))
+    who = F.when(host, F.col("spk")).otherwise(others)
+    r = rows.select(item.alias("item"), "series", "year", F.when(is_person(F.col("spk")), F.col("spk")).otherwise(unknown).alias("spk"), who.alias("who")).groupBy("item", "series", "year", "spk", "who").agg(F.count(F.lit(1)).alias("n"))
+    sets = [["item", "series", "year"], ["item", "series", "year", "spk"], ["series", "who", "year"]]
+    g = r.groupingSets([[F.col(c) for c in s] for s in sets], "item", "series", "year", "spk", "who").agg(F.grouping_id("item", "series", "year", "spk", "who").alias("grouping"), F.sum("n").alias("n"))
+    return g.select("item", "series", "year", "spk", "who", "grouping", "n")
+
+
 def matched(lines: DataFrame, words: Sequence[str], where: Column | None = None) -> DataFrame:
     """lines with a match, said (how many, at least 1), len (the episode's last start), tenth (0 to 9) and slot (five minutes, 0 to 23)."""
     if len(words) > 8 or any(not 2 <= len(w) <= 60 for w in words):

@@ -79,7 +79,7 @@ SHOW = "en"
 def talked(s: SparkSession, d: str) -> DataFrame:
     """Sentences as lines of shows (languages), with what durations need; how long a line is says who speaks, how long a document is what kind it is and when it was."""
     who = F.element_at(F.array(*map(F.lit, ("", "ann", "bob", "cy", "dee", "guest 2", "ann"))), F.length("text") % 7 + 1)
-    doc = table(s, d, "documents").select(F.col("doc_id").alias("ep"), F.col("lang").alias("series"), F.concat((2018 + F.col("n_chars") % 5).cast("string"), F.lit("-0"), (1 + F.col("n_chars") % 9).cast("string"), F.lit("-01")).alias("date"), F.when(F.col("n_chars") > 1000, "Main").otherwise("Special").alias("kind"))
+    doc = table(s, d, "documents").select(F.col("doc_id").alias("ep"), F.col("lang").alias("series"), F.concat((2018 + F.col("n_chars") % 5).cast("string"), F.lit("-0"), (1 + F.col("n_chars") % 9).cast("string"), F.lit("-01")).alias("date"), F.when(F.col("n_chars") > 1000, "Main").otherwise("Special").alias("kind"), F.col("source").alias("title"))
     return sentences(s, d).withColumns({"spk": who, "words": count_words(F.col("text")), "chars": F.length("text")}).join(doc, "ep")
 
 
@@ -121,7 +121,7 @@ _COUNT = lambda ws: "CAST(len(list_filter(regexp_extract_all(text, '[\\p{L}\\p{M
 _TALKED = f"""{_S},
 lines AS (
   SELECT s.ep, s.id, s.t, ['', 'ann', 'bob', 'cy', 'dee', 'guest 2', 'ann'][length(s.text) % 7 + 1] AS spk, s.text, CAST(len(regexp_extract_all(s.text, '[^\\s]+')) AS BIGINT) AS words, CAST(length(s.text) AS BIGINT) AS chars, lang AS series,
-    CAST(2018 + n_chars % 5 AS VARCHAR) || '-0' || CAST(1 + n_chars % 9 AS VARCHAR) || '-01' AS date, CASE WHEN n_chars > 1000 THEN 'Main' ELSE 'Special' END AS kind FROM s JOIN documents ON doc_id = s.ep)"""
+    CAST(2018 + n_chars % 5 AS VARCHAR) || '-0' || CAST(1 + n_chars % 9 AS VARCHAR) || '-01' AS date, CASE WHEN n_chars > 1000 THEN 'Main' ELSE 'Special' END AS kind, source AS title FROM s JOIN documents ON doc_id = s.ep)"""
 _PERSON = "(spk NOT IN ('', 'guest 2'))"
 _RUNS = TALK_SQL_OF["longest_runs"].replace(LINES_SQL, f"""{_TALKED.replace("lines AS", "every AS")}, lines AS (SELECT * FROM every WHERE series = '{SHOW}' AND kind = 'Main')""").replace(">= 8 ", ">= 3 ").replace("begins >= 10", "begins >= 3").replace("last - 6", "last - 3")
 ORACLES = {
