@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,36 @@ from pyspark.sql.types import StructType
 from palaver.operators.joins import first_of
 
 
+@dataclass(frozen=True)
+class Run:
+    """What one run of the figures is about: ``shows`` (None: all), main episodes or ``all_kinds``, and pages to ``skip``. Every metric takes the rows that it lets through."""
+
+    shows: Sequence[str] | None = None
+    all_kinds: bool = False
+    skip: Sequence[str] = ()
+    main: Sequence[str] = ("Main", "Guest episode", "Issue")
+
+    def rows(self, lines: DataFrame) -> DataFrame:
+        """lines (with series) of the shows."""
+        return lines if self.shows is None else lines.where(F.col("series").isin(list(self.shows)))
+
+    def chief(self, lines: DataFrame) -> DataFrame:
+        """Of these, lines (with kind) of the episodes that figures are made from."""
+        return self.rows(lines) if self.all_kinds else self.rows(lines).where(F.col("kind").isin(list(self.main)))
+
+    def pages(self, known: Mapping[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
+        """The pages to make, built in their order; a name to skip that isn't known is an error."""
+        if unknown := {*self.skip} - {*known}:
+            raise ValueError(f"no such pages: {', '.join(sorted(unknown))}")
+        return {n: make() for n, make in known.items() if n not in self.skip}
+
+
+def reference(series: str = "series", ep: str = "ep", title: str = "title", number: str = "number", date: str = "date", kind: str = "kind") -> Column:
+    """An episode under short keys (p, e, t, n, d, k), empty strings for nulls; the number is null where there is none."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.struct(text(series).alias("p"), F.col(ep).alias("e"), text(title).alias("t"), F.nullif(text(number), F.lit("")).alias("n"), text(date).alias("d"), text(kind).alias("k"))
+
+
 def with_hosts(rows: DataFrame, registry: DataFrame, key: str = "series") -> DataFrame:
     """rows with hosts, an array from the registry (key, host); empty for a show that isn't in it. A registry has a row a host."""
     hosts = registry.groupBy(F.col("key").alias(key)).agg(F.sort_array(F.collect_list("host")).alias("hosts"))

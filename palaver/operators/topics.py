@@ -37,7 +37,7 @@ def slots(facts: DataFrame, size: int = 4) -> DataFrame:
 
 def medians(rows: DataFrame, by: str, value: str) -> DataFrame:
     """(by, n, mean, median)."""
-    return rows.groupBy(by).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.median(value), 6).alias("median"))
+    return rows.groupBy(by).agg(F.count(value).alias("n"), F.coalesce(F.round(F.avg(value), 6), F.lit(0.0)).alias("mean"), F.coalesce(F.round(F.median(value), 6), F.lit(0.0)).alias("median"))
 
 
 def per_hour(counts: DataFrame, hours: DataFrame, keys: Sequence[str], least: float = 1.0) -> DataFrame:

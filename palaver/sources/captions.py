@@ -75,3 +75,18 @@ def write(rows: DataFrame) -> DataFrame:
     cue = F.concat(stamp(F.col("start")), F.lit(" --> "), stamp(F.col("end")), F.lit("\n"), F.when(F.col("label") != "", F.concat(F.lit("["), F.col("label"), F.lit("] "))).otherwise(""), F.col("text"))
     g = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", cue.alias("cue")))).alias("c"))
     return g.select("path", F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform("c", lambda x: x["cue"]), "\n\n"), F.lit("\n")).alias("content"))
+
+
+def imported(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Caption files of other makers (path, content) as own ones: (ep, content), their speakers (ep, label, name), and the paths that are left out.
+
+    A file's name without its ending is the episode; one that doesn't begin with a date is left out. Speakers are numbered in the order in which they
+    speak, cues of nobody are the last one's; names that say nothing ("?", "Speaker 2") are labels without a name.
+    """
+    base = F.regexp_replace(F.regexp_extract("path", r"([^/\\]+)$", 1), r"\.[^.]*$", "")
+    f = files.select("path", "content", base.alias("ep"))
+    dated = F.col("ep").rlike(r"^\d{4}-\d\d-\d\d")
+    own = named(cues(f.where(dated).select(F.col("ep").alias("path"), "content"))).withColumn("own", F.concat(F.lit("Speaker "), (F.col("number") + 1).cast("string")))
+    texts = write(own.select("path", "pos", "start", "end", F.when(F.col("label") == "", "").otherwise(F.col("own")).alias("label"), "text"))
+    names = own.where((F.col("label") != "") & (F.col("label") != "?") & ~F.col("label").rlike(r"^Speaker \d+$")).select(F.col("path").alias("ep"), F.col("own").alias("label"), F.col("label").alias("name")).distinct()
+    return texts.withColumnRenamed("path", "ep"), names, f.where(~dated).select("path")
