@@ -10,7 +10,8 @@ Spans are in code points, end exclusive, ordered by start, then kind in the orde
 
 Cases: null text counts as empty; no finding gives empty arrays, counts of 0 and the hash of ''; repeated rows
 each give their row; a candidate of any length is cut in pieces that overlap by a window less one, so windows across cuts
-count and memory stays at one piece; an empty table gives an empty result; extra columns stay as they are.
+count and memory stays at one piece; an empty table gives an empty result; extra columns stay as they are, but for base_spans and secret_spans, which ``scan``
+replaces and ``redact`` drops.
 """
 
 from __future__ import annotations

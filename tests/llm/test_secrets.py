@@ -75,3 +75,10 @@ def test_redact(spark):
 
 def test_empty_table(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_columns_of_the_results_names_are_replaced(spark):
+    d = spark.createDataFrame([(0, "password=abcdefghijkl", "old", "old", "kept")], "doc_id long, text string, base_spans string, secret_spans string, other string")
+    r = secrets.scan(d).first()
+    assert [tuple(x) for x in r.base_spans] == [tuple(x) for x in r.secret_spans] == base("password=abcdefghijkl") and r.other == "kept"
+    assert secrets.redact(d).columns == ["doc_id", "text", "other"] and secrets.redact(d).first().text == "[SECRET]"
