@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palaver.functions.text import count_words
 from palaver.operators import corrections, declared, guests, index, prefixes, style, talk, words
 from palaver.plans.bindings import DURATIONS_SQL, LINES_SQL, table
-from palaver.plans.pages import _S, sentences
+from palaver.plans.pages import _S
 from palaver.plans.talk import ORACLES as TALK_SQL_OF
 from palaver.plans.words import _M, messages, texts
 from palaver.plans.words import ORACLES as WORD_SQL
@@ -79,8 +79,12 @@ SHOW = "en"
 def talked(s: SparkSession, d: str) -> DataFrame:
     """Sentences as lines of shows (languages), with what durations need; how long a line is says who speaks, how long a document is what kind it is and when it was."""
     who = F.element_at(F.array(*map(F.lit, ("", "ann", "bob", "cy", "dee", "guest 2", "ann"))), F.length("text") % 7 + 1)
-    doc = table(s, d, "documents").select(F.col("doc_id").alias("ep"), F.col("lang").alias("series"), F.concat((2018 + F.col("n_chars") % 5).cast("string"), F.lit("-0"), (1 + F.col("n_chars") % 9).cast("string"), F.lit("-01")).alias("date"), F.when(F.col("n_chars") > 1000, "Main").otherwise("Special").alias("kind"), F.col("source").alias("title"))
-    return sentences(s, d).withColumns({"spk": who, "words": count_words(F.col("text")), "chars": F.length("text")}).join(doc, "ep")
+    date = F.concat((2018 + F.col("n_chars") % 5).cast("string"), F.lit("-0"), (1 + F.col("n_chars") % 9).cast("string"), F.lit("-01"))
+    x = table(s, d, "documents").select(
+        F.col("doc_id").alias("ep"), F.col("lang").alias("series"), date.alias("date"), F.when(F.col("n_chars") > 1000, "Main").otherwise("Special").alias("kind"), F.col("source").alias("title"),
+        F.posexplode(F.split(F.translate("text", "\n", " "), r"\. ")).alias("id", "text"),
+    )
+    return x.withColumns({"id": F.col("id").cast("long"), "t": (F.col("id") * 3).cast("long"), "spk": who, "words": count_words(F.col("text")), "chars": F.length("text")})
 
 
 def _headlines(s, d):
