@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from palaver.functions import names, stem, text
@@ -188,3 +190,26 @@ def test_corrections(spark):
     d = spark.createDataFrame([(1, "Jon smith and jon"), (2, None)], "i int, x string")
     new, n = text.corrected(F.col("x"), [(r"\bJon\b", "John"), (r"John smith", "John Smith")])
     assert [tuple(r) for r in d.select(new, n).collect()] == [("John Smith and jon", 2), (None, None)]
+
+
+def test_a_task_walks_through_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(folds, "_OUT", 3, raising=False)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        d = spark.createDataFrame([(e, i, i * 30) for e in [*range(40), None] for i in range(7)], "ep int, id long, t long")
+        f = folds.keep_apart(d, 60)
+        assert "FlatMapGroupsInPandas" not in f._jdf.queryExecution().toString()  # a call for each of many small groups costs more than their rows
+        got = f.collect()
+        assert f.dtypes[0] == ("ep", "int") and sorted((-1 if r.ep is None else r.ep, r.t) for r in got) == [(e, t) for e in range(-1, 40) for t in (0, 60, 120, 180)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_align_by_stretches_equals_one_table(spark):
+    rng = random.Random(5)
+    x = {(e, p): ([rng.randrange(200) for _ in range(rng.randrange(9))], [rng.randrange(200) for _ in range(rng.randrange(9))]) for e in range(12) for p in "ab"}
+    rows = lambda k: spark.createDataFrame([(e, p, i, t) for (e, p), v in x.items() for i, t in enumerate(sorted(v[k]))], "ep long, phrase string, id long, t long")
+    f = folds.align(rows(0), rows(1), 12)
+    assert "CoGroups" not in f._jdf.queryExecution().toString()
+    want = {(e, p, *ij) for (e, p), v in x.items() for ij in folds._aligned(sorted(v[0]), sorted(v[1]), 12)}
+    assert {tuple(r) for r in f.collect()} == want and len(want) > 20
