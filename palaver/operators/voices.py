@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Windows, and chunks of a name, that meet at once.
 BLOCK = 1_024
+#: Voices of an episode that meet at once when unnamed ones are folded, and how many of them at a time.
+FOLD, STRIP = 8_192, 512
 
 
 def dot(a, b):
@@ -108,10 +110,41 @@ def similarities(cents: DataFrame, by: str = "name", block: int | None = None) -
     return met.select("a", "b", F.round("sim", 6).alias("sim"))
 
 
-def fold(unnamed: DataFrame, named: DataFrame, least: float = 0.65, lead: float = 0.15) -> DataFrame:
-    """(ep, label, into, sim): unnamed voices that are a named voice of their episode split in two."""
-    j = unnamed.join(named.select("ep", F.col("name").alias("into"), F.col("emb").alias("other")), "ep").withColumn("sim", dot(F.col("emb"), F.col("other")))
-    j = j.groupBy("ep", "label", "into").agg(F.max("sim").alias("sim"))  # a person's own voices don't compete with each other
+def fold(unnamed: DataFrame, named: DataFrame, least: float = 0.65, lead: float = 0.15, block: int | None = None) -> DataFrame:
+    """(ep, label, into, sim): unnamed voices that are a named voice of their episode split in two.
+
+    All pairs of an episode's voices are compared, by blocks that meet; each pair of blocks leaves two people for an unnamed voice.
+    """
+    block = FOLD if block is None else block
+    whole = lambda d: d.where(F.col("emb").isNotNull() & ~F.exists("emb", F.isnull)).withColumn("dim", F.size("emb"))
+    u, v = whole(unnamed.select("ep", "label", "emb")), whole(named.where("name is not null").select("ep", "name", "emb").distinct())
+    parts = lambda d, n: d.groupBy("ep", "dim").agg(F.ceil(F.count(F.lit(1)) / block).alias(n))
+    both = parts(u, "rows").join(parts(v, "cols"), ["ep", "dim"])
+    dealt = lambda d, own, n, other, m: d.join(both, ["ep", "dim"]).withColumns({own: F.pmod(F.xxhash64("emb", d.columns[1]), F.col(n)), other: F.explode(F.sequence(F.lit(0).cast("long"), F.col(m) - 1))}).drop("rows", "cols")
+    left = dealt(u, "i", "rows", "j", "cols")
+    right = dealt(v, "j", "cols", "i", "rows").select(F.col("ep").alias("v_ep"), F.col("dim").alias("v_dim"), F.col("i").alias("v_i"), F.col("j").alias("v_j"), F.col("name").alias("v_name"), F.col("emb").alias("v_emb"))
+    kinds = dict(unnamed.dtypes)
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        at, who, s = [np.zeros(0, np.int64)], [], [np.zeros(0)]
+        if len(a) and len(b):
+            matrix = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(t), -1)
+            names = np.array(b.column("v_name").to_pylist(), object)
+            order = np.argsort(names, kind="stable")
+            first = np.flatnonzero(np.r_[True, names[order][1:] != names[order][:-1]])
+            x, y = matrix(a, "emb"), matrix(b, "v_emb")[order].T
+            for k in range(0, len(x), STRIP):
+                # a person's own voices don't compete with each other; of a block's people only the best two can be the best two of all
+                best = np.maximum.reduceat(x[k : k + STRIP] @ y, first, axis=1)
+                rank = np.argsort(-np.where(np.isnan(best), np.inf, best), axis=1, kind="stable")[:, :2]
+                at.append(k + np.repeat(np.arange(len(best)), rank.shape[1]))
+                who += names[order][first][rank.ravel()].tolist()
+                s.append(np.take_along_axis(best, rank, 1).ravel())
+        at = pa.array(np.concatenate(at))
+        return pa.table([a.column("ep").take(at), a.column("label").take(at), pa.array(who, pa.string()), pa.array(np.concatenate(s), pa.float64())], names=["ep", "label", "into", "sim"])
+
+    met = left.groupBy("ep", "dim", "i", "j").cogroup(right.groupBy("v_ep", "v_dim", "v_i", "v_j")).applyInArrow(meet, f"ep {kinds['ep']}, label {kinds['label']}, into string, sim double")
+    j = met.groupBy("ep", "label", "into").agg(F.max("sim").alias("sim"))
     w = Window.partitionBy("ep", "label").orderBy(F.desc("sim"), "into")
     r = j.withColumns({"rank": F.row_number().over(w), "next": F.lead("sim").over(w)})
     return r.where((F.col("rank") == 1) & (F.col("sim") >= least) & (F.coalesce(F.col("sim") - F.col("next"), F.lit(1.0)) >= lead)).select("ep", "label", "into", "sim")

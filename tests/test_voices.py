@@ -30,3 +30,18 @@ def test_similarities_over_many_blocks(spark):
         got = voices.similarities(d, block=block).collect()
         assert len(got) == len(want) and all(abs(r.sim - want[r.a, r.b]) < 2e-6 for r in got)
     assert voices.similarities(d.limit(0)).count() == 0
+
+
+def test_fold_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(voices, "STRIP", 3, raising=False)
+    rng = np.random.default_rng(6)
+    u, v = rng.standard_normal((30, 6)), rng.standard_normal((41, 6))
+    left = spark.createDataFrame([(i % 2, i, [float(a) for a in r]) for i, r in enumerate(u)] + [(0, 98, None), (0, 99, [None] * 6), (7, 97, [1.0] * 6)], "ep long, label long, emb array<double>")
+    right = spark.createDataFrame([(i % 2, f"p{i % 5}", [float(a) for a in r]) for i, r in enumerate(v)] * 2 + [(0, "none", None), (0, "part", [1.0])], "ep long, name string, emb array<double>")
+    want = {}
+    for i, r in enumerate(u):
+        best = sorted(((max(float(r @ c) for j, c in enumerate(v) if j % 2 == i % 2 and j % 5 == k), f"p{k}") for k in range(5)), key=lambda b: (-b[0], b[1]))
+        if best[0][0] >= 0.5 and best[0][0] - best[1][0] >= 0.1:
+            want[i % 2, i] = (best[0][1], round(best[0][0], 9))
+    for block in (4, 7, 1000):
+        assert {(r.ep, r.label): (r.into, round(r.sim, 9)) for r in voices.fold(left, right, 0.5, 0.1, block=block).collect()} == want
