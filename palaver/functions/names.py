@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,48 +23,65 @@ def _stripped(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+", "")
 
 
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x worked out once and written once, however often f names it: parts within parts would multiply."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def undated(name: Column) -> Column:
     """What follows the date, blanks and one dash; the whole name where no date leads."""
-    rest = _stripped(F.substring(name, F.lit(11), F.length(name)))
-    rest = F.when(F.startswith(rest, F.lit("-")), _stripped(F.substring(rest, F.lit(2), F.length(rest)))).otherwise(rest)
-    return F.when(date(name) == "", name).otherwise(rest)
+    bare = lambda r: F.when(F.startswith(r, F.lit("-")), _stripped(F.substring(r, F.lit(2), F.length(r)))).otherwise(r)
+    return _let(name, lambda n: F.when(date(n) == "", n).otherwise(_let(_stripped(F.substring(n, F.lit(11), F.length(n))), bare)))
+
+
+def _unhashed(x: Column) -> Column:
+    return _let(x, lambda x: F.when(F.startswith(x, F.lit("#")), F.substring(x, F.lit(2), F.length(x))).otherwise(x))
+
 
+def _numbered(rest: Column) -> Column:
+    """The number n that rest begins with, a # before it or not, and next, the character behind it; its fraction goes where a letter follows that."""
 
-def _numbered(rest: Column) -> tuple[Column, Column]:
-    """The number that rest begins with, a # before it or not, and the character behind it; its fraction goes where a letter follows that."""
-    bare = F.when(F.startswith(rest, F.lit("#")), F.substring(rest, F.lit(2), F.length(rest))).otherwise(rest)
-    whole, both = F.regexp_extract(bare, r"(?U)^\d+", 0), F.regexp_extract(bare, r"(?U)^\d+\.\d+", 0)
-    behind = lambda n: F.substring(bare, F.length(n) + 1, F.lit(1))
-    n = F.when((both != "") & ~behind(both).rlike(r"(?U)\w"), both).otherwise(whole)
-    return n, behind(n)
+    def parts(bare: Column) -> Column:
+        behind = lambda n: F.substring(bare, F.length(n) + 1, F.lit(1))
+        whole, both = F.regexp_extract(bare, r"(?U)^\d+", 0), F.regexp_extract(bare, r"(?U)^\d+\.\d+", 0)
+        n = _let(both, lambda b: F.when((b != "") & ~behind(b).rlike(r"(?U)\w"), b).otherwise(whole))
+        return _let(n, lambda n: F.struct(n.alias("n"), behind(n).alias("next")))
+
+    return _let(_unhashed(rest), parts)
 
 
 def number(name: Column) -> Column:
     """The number right after the date, a dash or # before it or not; '' where a word goes on ("12th") or no date leads."""
-    n, next_ = _numbered(undated(name))
-    return F.when((date(name) != "") & ~next_.rlike(r"(?U)\w"), n).otherwise("")
+    found = lambda x: _let(_numbered(undated(x)), lambda m: F.when((date(x) != "") & ~m["next"].rlike(r"(?U)\w"), m["n"]).otherwise(""))
+    return _let(name, found)
 
 
 def title(name: Column) -> Column:
     """What follows date and number; the number stays where no blank follows it (but for a dot), or nothing else does."""
-    rest = undated(name)
-    words = F.split(rest, r"(?U)\s+", 2)
-    first = F.regexp_replace(F.element_at(words, 1), r"\.$", "")
-    own = F.when(F.startswith(first, F.lit("#")), F.substring(first, F.lit(2), F.length(first))).otherwise(first)
-    return F.when((F.size(words) == 2) & (own != "") & (own == _numbered(own)[0]) & (F.element_at(words, -1) != ""), F.element_at(words, -1)).otherwise(rest)
+
+    def of(rest: Column, words: Column) -> Column:
+        own = _unhashed(F.regexp_replace(F.element_at(words, 1), r"\.$", ""))
+        fits = _let(own, lambda o: (o != "") & (o == _numbered(o)["n"]))
+        return F.when((F.size(words) == 2) & fits & (F.element_at(words, -1) != ""), F.element_at(words, -1)).otherwise(rest)
+
+    return _let(undated(name), lambda rest: _let(F.split(rest, r"(?U)\s+", 2), lambda words: of(rest, words)))
 
 
 def label(name: Column) -> Column:
     """ "#12 The title", or the title alone."""
-    return F.when(number(name) != "", F.concat(F.lit("#"), number(name), F.lit(" "), title(name))).otherwise(title(name))
+    text = lambda n, t: F.when(n != "", F.concat(F.lit("#"), n, F.lit(" "), t)).otherwise(t)
+    return _let(name, lambda x: _let(F.struct(number(x).alias("n"), title(x).alias("t")), lambda p: text(p["n"], p["t"])))
 
 
 def kind(name: Column, rules: Sequence[tuple[str, str]], default: str = "Main") -> Column:
     """The kind of the first pattern that the name without its date fits, in order."""
-    out = F.lit(default)
-    for pattern, value in reversed(rules):
-        out = F.when(undated(name).rlike(pattern), value).otherwise(out)
-    return out
+    def first(rest: Column) -> Column:
+        out = F.lit(default)
+        for pattern, value in reversed(rules):
+            out = F.when(rest.rlike(pattern), value).otherwise(out)
+        return out
+
+    return _let(undated(name), first)
 
 
 def period(day: Column, episode: Column, by: str) -> Column:

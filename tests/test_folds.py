@@ -213,3 +213,10 @@ def test_align_by_stretches_equals_one_table(spark):
     assert "CoGroups" not in f._jdf.queryExecution().toString()
     want = {(e, p, *ij) for (e, p), v in x.items() for ij in folds._aligned(sorted(v[0]), sorted(v[1]), 12)}
     assert {tuple(r) for r in f.collect()} == want and len(want) > 20
+
+
+def test_parts_of_a_name_are_written_once(spark):
+    d = spark.createDataFrame([("2020-01-02 - #12. The title",), ("2020-01-02 3.5 x",), ("2020-01-02 12th x",), ("#4 bare",), ("2020-01-02 7.5b x",), (None,)], "x string")
+    y = d.select(names.number(F.col("x")).alias("n"), names.title(F.col("x")).alias("t"), names.label(F.col("x")).alias("l"), names.kind(F.col("x"), (("(?i)title", "T"),)).alias("k"))
+    assert [tuple(r) for r in y.collect()] == [("12", "The title", "#12 The title", "T"), ("3.5", "x", "#3.5 x", "Main"), ("", "12th x", "12th x", "Main"), ("", "bare", "bare", "Main"), ("7", "7.5b x", "#7 7.5b x", "Main"), ("", None, None, "Main")]
+    assert len(y._jdf.queryExecution().optimizedPlan().toString()) < 20_000
