@@ -85,23 +85,26 @@ def candidates(episodes: DataFrame, transcripts: DataFrame, people: People, list
     if listed_only is not None:
         intro = F.when(listed_only, F.slice(intro, 1, 0)).otherwise(intro)
     found = F.concat(_found(_on_list(d), LISTED, True), _found(joins, JOINED, True), intro)
-    names = F.array_distinct(F.transform(found, lambda x: x["name"]))
+    names = F.array_distinct(F.transform("found", lambda x: x["name"]))
 
     def summed(name: Column, i: Column) -> Column:
-        own = F.filter(found, lambda x: x["name"] == name)
+        own = F.filter("found", lambda x: x["name"] == name)
         words = F.filter(F.split(F.regexp_replace(name, rf"^(?:{_any(TITLES)}) ", ""), " "), lambda w: (w != "") & ~((F.upper(w) == w) & w.rlike("[A-Za-z]") & (F.length(w) > 1)))
         return F.struct(
             i.alias("place"), F.regexp_replace(F.array_join(words, " "), "^['’\"“”]+|['’\"“”]+$", "").alias("name"), F.transform(words, F.lower).alias("words"),
             F.aggregate(own, F.lit(0), lambda s, x: s + x["worth"]).alias("score"), F.exists(own, lambda x: x["listed"]).alias("listed"),
         )
 
-    e = episodes.select("ep", F.coalesce("title", F.lit("")).alias("title"), d.alias("d"), F.transform(names, summed).alias("n"))
-    e = e.where((F.size("n") > 0) | F.lit(bool(people.aliases)))
+    # Nothing filters by what is found: Spark would move such a filter down and work the patterns out again there, once for each place that names them.
+    e = episodes.select("ep", F.coalesce("title", F.lit("")).alias("title"), d.alias("d"), found.alias("found")).withColumn("n", F.transform(names, summed)).drop("found")
     e = e.join(transcripts.select("ep", F.lower("text").alias("low")), "ep", "left").withColumn("low", F.coalesce("low", F.lit("")))
 
+    def counted(x: Column) -> Column:
+        said = _times(F.col("low"), F.lower(x["name"])) * 3 + _times(F.col("low"), F.element_at(x["words"], -1)) + _times(F.col("low"), F.element_at(x["words"], 1))
+        return F.struct(*[x[c].alias(c) for c in ("place", "name", "words", "score", "listed")], said.alias("said"))
+
     def scored(x: Column) -> Column:
-        low_name = F.lower(x["name"])
-        said = _times(F.col("low"), low_name) * 3 + _times(F.col("low"), F.element_at(x["words"], -1)) + _times(F.col("low"), F.element_at(x["words"], 1))
+        low_name, said = F.lower(x["name"]), x["said"]
         no = (F.size(x["words"]) == 0) | low_name.isin(people.full_names()) | ((F.size(x["words"]) == 1) & F.element_at(x["words"], 1).isin([n.split()[0].lower() for n in people.enrolled]))
         no = no | F.forall(F.split(low_name, " "), lambda w: w.isin([f.lower() for f in people.first_names]))
         if people.things:
@@ -116,9 +119,9 @@ def candidates(episodes: DataFrame, transcripts: DataFrame, people: People, list
     for i, (name, (pattern, words)) in enumerate(people.aliases.items()):
         said = sum((_times(F.col("low"), F.lit(w)) for w in words), F.lit(0))
         known.append(F.when(F.col("d").rlike(pattern) & (said >= 2), F.struct(F.lit(name).alias("name"), (F.lit(15) + F.least(said, F.lit(MOST_SAID))).alias("score"), F.lit(i - len(people.aliases)).alias("place"))))
-    every = F.transform("n", scored)
+    every = F.transform(F.transform("n", counted), scored)
     every = F.concat(F.array(*known), every) if known else every
-    e = e.select("ep", F.array_compact(every).alias("c"))
+    e = e.select("ep", F.explode(F.array(F.array_compact(every))).alias("c"))  # a row each, behind which nothing moves down
     x = e.select("ep", F.explode("c").alias("x"), F.transform("c", lambda y: y["name"]).alias("all"))
     x = x.where(~F.exists("all", lambda o: (o != F.col("x.name")) & F.contains(F.col("x.name"), o)))
     best = x.groupBy("ep", F.col("x.name").alias("name")).agg(F.max("x.score").alias("score"), F.min("x.place").alias("place")).where(F.col("score") >= LEAST)

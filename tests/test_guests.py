@@ -94,3 +94,10 @@ def test_the_whole_naming(studio, spark):
     assert len(got) == 9
     # a show whose regulars aren't all enrolled gets no guests; done episodes aren't looked at
     assert {r.ep for r in voices.name_voices(**studio, done=spark.createDataFrame([(1,), (3,)], "ep long")).collect()} == {2}
+
+
+def test_a_description_is_worked_out_once(spark):
+    """A description that costs something isn't worked out again for every place that reads it, however many patterns there are."""
+    e = spark.createDataFrame([(1, "a", "b")], "ep int, title string, text string").select("ep", "title", F.concat("text", F.lit("MARK")).alias("description"))
+    c = guests.candidates(e, spark.createDataFrame([(1, "x")], "ep int, text string"), guests.People())
+    assert c._jdf.queryExecution().optimizedPlan().toString().count("MARK") <= 2
