@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palaver.functions.text import is_person, tokens
+from palaver.operators.folds import counted
 from palaver.session import kept
 
 PRIOR = 1000.0
@@ -15,8 +16,7 @@ PRIOR = 1000.0
 
 def token_counts(texts: DataFrame, cap: int = 3) -> DataFrame:
     """(ep, person, year, word, n, capped): a row per episode and word, counts also cut at ``cap``."""
-    t = texts.select("ep", "person", "year", F.explode(tokens(F.col("text"))).alias("word"))
-    c = t.groupBy("ep", "person", "year", "word").agg(F.count(F.lit(1)).alias("n"))
+    c = counted(texts.select("ep", "person", "year", F.array_join(tokens(F.col("text")), " ").alias("words")), ["ep", "person", "year"])
     return c.withColumn("capped", F.least("n", F.lit(cap)))
 
 
@@ -57,8 +57,8 @@ def host_signatures(lines: DataFrame, hosts: Mapping[str, Sequence[str]], skip:
     lines are (series, ep, spk, text). The prior are the words of all lines of all shows, unnamed speakers' too. A word has to be said ``least`` times in ``episodes`` episodes and
     ``lift`` times as often as by the others (who count as half a time at least), to have ``length`` letters and be neither in ``skip`` nor fit ``names``.
     """
-    said = lines.select("series", "ep", F.when(is_person(F.col("spk")), F.col("spk")).otherwise("").alias("spk"), F.explode(tokens(F.col("text"))).alias("word"))
-    per = said.groupBy("series", "ep", "spk", "word").agg(F.count(F.lit(1)).alias("n"))
+    said = lines.select("series", "ep", F.when(is_person(F.col("spk")), F.col("spk")).otherwise("").alias("spk"), F.array_join(tokens(F.col("text")), " ").alias("words"))
+    per = counted(said, ["series", "ep", "spk"])
     f = kept(per.groupBy("series", "spk", "word").agg(F.sum("n").alias("y"), F.count(F.lit(1)).alias("eps")))  # what all totals come from
     prior = f.groupBy("word").agg(F.sum("y").alias("prior"))
     everything = f.agg(F.sum("y").alias("n_prior"))
@@ -131,10 +131,13 @@ def year_words(counts: DataFrame, skip=(), furniture=(), show: str = "person", l
     episodes it gets in other years; what is said about once an episode in many episodes, or in three quarters of them, is furniture.
     Years with fewer than ``year_least`` episodes have no words. The list is as long as ``trimmed`` may need: twice ``k``.
     """
-    f = kept(counts.groupBy(show, "year", "word").agg(F.sum("n").alias("n"), F.sum("capped").alias("cap"), F.count(F.lit(1)).alias("eps")))  # what all totals come from
+    sets = [[F.col(show), F.col("year"), F.col("word")], [F.col(show), F.col("year"), F.col("ep")]]  # words and episodes of one reading of counts
+    g = counts.groupingSets(sets, show, "year", "word", "ep").agg(F.grouping("word").alias("_ep"), F.sum("n").alias("n"), F.sum("capped").alias("cap"), F.count(F.lit(1)).alias("eps"))
+    g = kept(g)  # what all totals come from
+    f = g.where("_ep = 0").drop("_ep", "ep")
     word = f.groupBy("word").agg(F.sum("cap").alias("prior"))
     whole = f.groupBy(show, "word").agg(F.sum("cap").alias("whole"), F.sum("eps").alias("whole_eps"))
-    year = counts.groupBy(show, "year").agg(F.count_distinct("ep").alias("n_eps")).join(f.groupBy(show, "year").agg(F.sum("cap").alias("n_a")), [show, "year"])
+    year = g.where("_ep = 1").groupBy(show, "year").agg(F.count("ep").alias("n_eps")).join(f.groupBy(show, "year").agg(F.sum("cap").alias("n_a")), [show, "year"])
     all_ = year.groupBy(show).agg(F.sum("n_eps").alias("all_eps"), F.sum("n_a").alias("n_all"))
     total = all_.agg(F.sum("n_all").alias("n_prior"))
     year = year.where(F.col("n_eps") >= year_least).join(all_, show).join(F.broadcast(total))  # a row a year and show
