@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions.text import handed_to, is_person, last_named
 from palaver.operators import folds, joins
+from palaver.session import kept
 
 CLIP = 400
 
@@ -97,30 +98,31 @@ def extract(lines: DataFrame, rules: Rules, guests: DataFrame | None = None, des
     head = F.substring(F.concat_ws(" ", F.regexp_extract("text", f"(?s)(?:{rules.hand_over}).*", 0), F.substring(F.lead("text").over(w), 1, 60)), 1, 120)
     over = F.col("text").rlike(rules.hand_over)
     begin = F.when(F.col("text").rlike(rules.said), F.regexp_replace("text", f"(?s)^.*?(?:{rules.said})", "")).otherwise(F.col("text"))
-    d = sentence_ahead(lines.withColumns({"head": head, "over": over}), begin=begin).withColumn("fact", tidy(F.col("sentence")))
+    d = sentence_ahead(lines.withColumns({"head": head, "over": over, "says": F.col("text").rlike(rules.said)}), begin=begin).withColumn("fact", tidy(F.col("sentence")))
+    d = kept(d.select("ep", "id", "t", "spk", "text", "head", "over", "says", "fact"))  # every step below reads it
     cues = d.where("over").select("ep", F.col("id").alias("cue"), "t", F.col("head").alias("cue_text"), F.col("spk").alias("cue_spk"), F.lit(True if not rules.strong else None).cast("boolean").alias("_s"), F.col("text").alias("_text"), rest.rlike(rules.said).alias("own"))
     cues = cues.withColumn("strong", F.coalesce("_s", F.col("_text").rlike(rules.strong or "(?!)"))).drop("_s", "_text")
     cues = cues.join(_presenters(cues.select("ep", "cue", "cue_text", "cue_spk"), guests, rules).select("ep", "cue", "presenter"), ["ep", "cue"])
     cues = cues.withColumn("description", F.lit("")) if descriptions is None else cues.join(descriptions.groupBy("ep").agg(F.max("description").alias("description")), "ep", "left")
     stranger = handed_to(F.col("cue_text"), F.col("description"), dict(rules.hosts), rules.cue, rules.no_name, rules.full_names)
-    cues = cues.withColumn("named", F.when(F.col("presenter") == "", stranger).otherwise("")).drop("description")
-    rows = d.select("ep", F.col("id").alias("r_id"), F.col("t").alias("r_t"), "text", "over", "fact")
+    cues = kept(cues.withColumn("named", F.when(F.col("presenter") == "", stranger).otherwise("")).drop("description"))
+    rows = d.select("ep", F.col("id").alias("r_id"), F.col("t").alias("r_t"), "says", "fact")
     # a statement in the hand-over's own rest, else in a later line
     here = cues.where("own").select("ep", "cue", F.col("cue").alias("r_id"), F.col("t").alias("r_t"))
     later = cues.where("not own").select("ep", "cue", F.struct("t", "cue").alias("from"), "t")
-    mine = _first_behind(later, rows.where(F.col("text").rlike(rules.said)), rules.ahead)
+    mine = _first_behind(later, rows.where("says"), rules.ahead)
     plain = cues.where("not own and strong and (presenter != '' or named != '')").select("ep", "cue", F.struct("t", "cue").alias("from"), "t")
     proper = rows.where((F.length("fact") >= rules.least) & ~F.col("fact").rlike(rf"(?i)^(?:{rules.opener})"))
     guess = _first_behind(joins.pending(plain, mine, ["ep", "cue"]), proper, rules.sentence)
     found = here.unionByName(mine).withColumn("src", F.lit("my")).unionByName(guess.withColumn("src", F.lit("guess")))
-    found = found.join(cues.select("ep", "cue", "cue_spk", "strong", "presenter", "named"), ["ep", "cue"]).withColumnRenamed("r_id", "id")
+    found = kept(found.join(cues.select("ep", "cue", "cue_spk", "strong", "presenter", "named"), ["ep", "cue"]).withColumnRenamed("r_id", "id"))
     text = d.select("ep", "id", "t", "spk", "fact")
     slots = found.drop("r_t").join(text, ["ep", "id"]).where(F.length("fact") >= rules.shortest)
     best = Window.partitionBy("ep", "id").orderBy("presenter", "cue")  # a line that several hand-overs lead to
     slots = slots.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
-    own = joins.pending(text.join(lines.where(F.col("text").rlike(rules.said)).select("ep", "id"), ["ep", "id"]).where(F.length("fact") >= rules.shortest), found, ["ep", "id"])
-    kept = folds.greedy_slots(slots.select("ep", "id", "t"), own.select("ep", "id", "t"), rules.apart)
-    full = kept.drop("t").join(text, ["ep", "id"]).join(slots.select("ep", "id", "src", "cue_spk", "strong", "presenter", "named"), ["ep", "id"], "left")
+    own = joins.pending(d.where(F.col("says") & (F.length("fact") >= rules.shortest)).select("ep", "id", "t", "spk", "fact"), found, ["ep", "id"])
+    stay = folds.greedy_slots(slots.select("ep", "id", "t"), own.select("ep", "id", "t"), rules.apart)
+    full = stay.drop("t").join(text, ["ep", "id"]).join(slots.select("ep", "id", "src", "cue_spk", "strong", "presenter", "named"), ["ep", "id"], "left")
     presenter = F.coalesce("presenter", F.lit(""))
     host = F.col("spk").isin(list(rules.hosts))
     if guests is None:
