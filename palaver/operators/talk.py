@@ -73,11 +73,15 @@ def spoken(lines: DataFrame, strict: Sequence[str], swears: Sequence[str], phras
 
     swears and items are counts, phrases an array of counts in the order given, hit the first line with a ``strict`` word (t, id). sec isn't rounded, len is the episode's.
     """
-    n = lambda ws: F.sum(F.regexp_count("text", F.lit(word_pattern(ws)))).cast("long") if ws else F.lit(0).cast("long")
-    d = durations(lines).withColumn("_len", F.max(F.struct("t", "id", "dur")).over(Window.partitionBy("ep")))
-    first = F.min(F.when(F.col("text").rlike(word_pattern(strict)), F.struct("t", "id")))
+    # Patterns are counted before the windows, so that these deal out and sort numbers instead of texts.
+    n = lambda ws: F.regexp_count("text", F.lit(word_pattern(ws))).cast("long") if ws else F.lit(0).cast("long")
+    said = {"_swears": n(swears), "_items": n(items), "_strict": F.col("text").rlike(word_pattern(strict))} | {f"_phrase{i}": n([p]) for i, p in enumerate(phrases)}
+    d = durations(lines.select("ep", "id", "t", "spk", "series", "date", "kind", "words", "chars", *[c.alias(k) for k, c in said.items()]))
+    d = d.withColumn("_len", F.max(F.struct("t", "id", "dur")).over(Window.partitionBy("ep")))
+    first = F.min(F.when(F.col("_strict"), F.struct("t", "id")))
     return d.groupBy("ep", "series", "date", "kind", "spk").agg(
-        F.sum("dur").alias("sec"), F.round(F.round(F.first(F.col("_len.t") + F.col("_len.dur")), 6)).cast("long").alias("len"), n(swears).alias("swears"), n(items).alias("items"), F.array(*[n([p]) for p in phrases]).alias("phrases"), first.alias("hit"),
+        F.sum("dur").alias("sec"), F.round(F.round(F.first(F.col("_len.t") + F.col("_len.dur")), 6)).cast("long").alias("len"), F.sum("_swears").alias("swears"), F.sum("_items").alias("items"),
+        F.array(*[F.sum(f"_phrase{i}") for i in range(len(phrases))]).alias("phrases"), first.alias("hit"),
     )
 
 
