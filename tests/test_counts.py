@@ -15,13 +15,13 @@ def test_words_are_counted_behind_the_shuffle(spark):
 def test_year_words_read_counts_once(spark):
     read = spark.sparkContext.accumulator(0)
 
-    @F.udf("int")
+    @F.udf("string")
     def seen(i):
         read.add(1)
         return i
 
     rows = [(i, "s", str(2020 + i % 2), w, 2 + i % 3, 2) for i in range(40) for w in (("one", "two") if i % 4 else ("one", "three"))]
-    c = spark.createDataFrame(rows, "ep int, person string, year string, word string, n long, capped long").withColumn("ep", seen("ep"))
+    c = spark.createDataFrame(rows, "ep int, person string, year string, word string, n long, capped long").withColumn("year", seen("year"))
     style.year_words(c, least=2, episodes=2).collect()
     assert read.value == len(rows)
 
