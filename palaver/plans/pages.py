@@ -22,7 +22,7 @@ YEAR_SKIP = ("the", "and")
 
 def sentences(s: SparkSession, d: str) -> DataFrame:
     """Documents as episodes, their sentences as lines of three seconds; how long a line is says who speaks."""
-    x = table(s, d, "documents").select(F.col("doc_id").alias("ep"), F.posexplode(F.split(F.translate("text", "\n", " "), r"\. ")).alias("id", "text"))
+    x = table(s, d, "documents").select(F.col("doc_id").alias("ep"), F.posexplode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), r"\. ")).alias("id", "text"))
     n = F.length("text") % 4
     return x.select("ep", F.col("id").cast("long").alias("id"), (F.col("id") * 3).cast("long").alias("t"), F.when(n == 0, "").when(n == 1, "ann").otherwise("bob").alias("spk"), "text")
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -225,3 +226,49 @@ def test_parts_of_a_name_are_written_once(spark):
     y = d.select(names.number(F.col("x")).alias("n"), names.title(F.col("x")).alias("t"), names.label(F.col("x")).alias("l"), names.kind(F.col("x"), (("(?i)title", "T"),)).alias("k"))
     assert [tuple(r) for r in y.collect()] == [("12", "The title", "#12 The title", "T"), ("3.5", "x", "#3.5 x", "Main"), ("", "12th x", "12th x", "Main"), ("", "bare", "bare", "Main"), ("7", "7.5b x", "#7 7.5b x", "Main"), ("", None, None, "Main")]
     assert len(y._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+
+
+def test_texts_put_together_as_row_by_row(spark):
+    draw, end = random.Random(5), re.compile(r"[.?!…][\"'”’)]*$")
+    said = ["one", "two.", "three? ", " four", "", " ", "five.\n", "six\u00a0", "“seven.”", "eight [hm] x", "[nine]", "ten  x", "é.\u2003", "\n", "w" * 70, "z" * 330, "twelve!)\n", "a\tb", "\x1c.\x1f"]
+    rows = [(p, i, float(3 * i + draw.choice([0, 0, 2])), 3 * i + 2.5, draw.choice(["x", "x", "x", "y", None]), draw.choice(said)) for p in "abcdef" for i in range(draw.choice([1, 9, 120]))]
+    d = spark.createDataFrame(rows, "path string, pos int, start double, end double, label string, text string")
+    cues, sentences, turns = [], [], []
+    for p in "abcdef":
+        held, some, turn = None, [], []
+        for _, _, a, b, label, x in (r for r in rows if r[0] == p):
+            if some and not end.search(some[-1][3]) and a - some[-1][2] <= 1 and b - some[-1][1] <= 30:
+                some[-1][2:] = [b, f"{some[-1][3]} {x}".strip()]
+            else:
+                some.append([p, a, b, x])
+            if turn and turn[-1][2] == label and a - turn[-1][1] < 40 and not re.search(r"[.?!]$", turn[-1][3]):
+                turn[-1][3] += " " + x
+            else:
+                turn.append([p, int(a), label, x])
+            x = " ".join(re.sub(r"\[[^\]]*\]", " ", x).split())
+            if x and held and held[3] != label:
+                cues.append(held)
+                held = None
+            if x:
+                held = [p, a, b, label, x] if held is None else [p, held[1], b, label, f"{held[4]} {x}"]
+                if len(held[4]) >= 320 or len(held[4]) >= 60 and end.search(held[4]):
+                    cues.append(held)
+                    held = None
+        cues += [held] if held else []
+        sentences += some
+        turns += turn
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # groups end within batches and go over many
+    try:
+        key = lambda r: (r[0], r[1])
+        assert [list(r) for r in sorted(folds.merge_cues(d).collect(), key=key)] == cues
+        assert [list(r) for r in sorted(folds.merge_sentences(d.select("path", "start", "end", "text")).collect(), key=key)] == sentences
+        lines = d.select(F.col("path").alias("ep"), F.col("pos").cast("long").alias("id"), F.col("start").cast("long").alias("t"), F.col("label").alias("spk"), "text")
+        assert [list(r) for r in sorted(folds.joined_turns(lines).collect(), key=key)] == turns
+        # a line without a text stays alone
+        odd = spark.createDataFrame([(1, k, 3 * k, "x", t) for k, t in enumerate(["one", None, "two", "three"])], "ep long, id long, t long, spk string, text string")
+        assert sorted((r.t, r.text) for r in folds.joined_turns(odd).collect()) == [(0, "one"), (3, None), (6, "two three")]
+        pieces = odd.select(F.lit("p").alias("path"), F.col("t").cast("double").alias("start"), (F.col("t") + 2.5).alias("end"), "text")
+        assert sorted((r.start, r.text) for r in folds.merge_sentences(pieces).collect()) == [(0.0, "one"), (3.0, None), (6.0, "two three")]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
