@@ -33,8 +33,9 @@ def numbered(rows: DataFrame, order: Sequence[str] = ("date", "ep", "t", "id", "
     """rows with their number in the order, from 0 and without gaps: by month of date, whose counts are summed first, so no task sees all rows."""
     r = rows.withColumn("_month", F.substring("date", 1, 7))
     before = r.groupBy("_month").agg(F.count(F.lit(1)).alias("_c"))  # a row a month
-    before = before.select(F.col("_month").alias("_m"), (F.sum("_c").over(Window.orderBy("_month")) - F.col("_c")).alias("_before"))
+    before = before.select(F.col("_month").alias("_m"), (F.coalesce(F.sum("_c").over(Window.orderBy("_month")), F.lit(0)) - F.col("_c")).alias("_before"))
     j = r.join(F.broadcast(before), F.col("_month").eqNullSafe(F.col("_m")))
+    # a sum may be null for all Spark knows; a number that may not be lets a plan that wants rows without one leave these out
     n = F.row_number().over(Window.partitionBy("_month").orderBy(*order)) - 1 + F.col("_before")
     return j.withColumn(out, n.cast("long")).drop("_month", "_m", "_before")
 
